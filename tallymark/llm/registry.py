@@ -7,11 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import exact_dedup, quality_rules
 from .curve_packing import op4_curve_packing
+from .exact_dedup import op7_chunk_recipe_dedup
+from .mixing import op6_systematic_mixing
+from .quality_rules import op9_quality_rules
 from .shared import ship
 from .token_file import op1_token_id_output
 
-_QUERIES = [op1_token_id_output, op4_curve_packing]
+_QUERIES = [op1_token_id_output, op4_curve_packing, op6_systematic_mixing, op7_chunk_recipe_dedup, op9_quality_rules]
+#: The other operators can't be said in SQL (or carry a random offset or a trained model); tests/llm holds them against brute force.
+_ORACLES = {"op7_chunk_recipe_dedup": exact_dedup.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
 
 
 def _shipped(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -28,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
