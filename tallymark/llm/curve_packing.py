@@ -60,12 +60,18 @@ def _axes(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((HASHED, DIMS))
 
 
-def project(ids: np.ndarray, lens: np.ndarray, axes: np.ndarray) -> np.ndarray:
+def slots(n_ids: int) -> np.ndarray:
+    """The hashed dimension of each id, times two, plus one for a negative sign."""
+    h = (np.arange(n_ids, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    return (h & np.uint64(2 * HASHED - 1)).astype(np.int32)
+
+
+def project(ids: np.ndarray, lens: np.ndarray, axes: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """Each document's hashed vector, of length 1, on the axes, in millionths."""
-    h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    doc = np.repeat(np.arange(len(lens)), lens)
-    sign = np.where(h >> np.uint64(8) & np.uint64(1), 1.0, -1.0)
-    flat = np.bincount(doc * HASHED + (h & np.uint64(HASHED - 1)).astype(np.int64), sign, len(lens) * HASHED).reshape(-1, HASHED)
+    doc = np.repeat(np.arange(0, len(lens) * 2 * HASHED, 2 * HASHED, dtype=np.int64), lens)
+    doc += slot[ids]
+    counts = np.bincount(doc, minlength=len(lens) * 2 * HASHED).reshape(-1, HASHED, 2)
+    flat = (counts[:, :, 0] - counts[:, :, 1]).astype(float)
     norm = np.sqrt((flat * flat).sum(axis=1, keepdims=True))
     return np.rint(flat @ axes / np.where(norm == 0, 1, norm) * 1e6).astype(np.int64)
 
@@ -87,9 +93,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, length: int = LE
 
     def code(batches):
         encoder = WordEncoder(tokenizer)
+        slot = slots(encoder.whole.get_vocab_size())
         for batch in slices(batches):
             ids, lens = encoder(batch.column("text"))
-            points = project(ids, lens, axes)
+            points = project(ids, lens, axes, slot)
             ids = np.insert(ids, np.cumsum(lens), end_id).astype("<u2" if encoder.whole.get_vocab_size() <= 65536 else "<u4")
             ends = (np.cumsum(lens) + np.arange(1, len(lens) + 1)) * ids.itemsize
             data = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(ids)])

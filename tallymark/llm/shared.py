@@ -85,7 +85,10 @@ def gather(starts: np.ndarray, lens: np.ndarray, pool: np.ndarray) -> np.ndarray
     """Concatenate pool[s : s + n] for every (s, n)."""
     ends = np.cumsum(lens)
     total = int(ends[-1]) if len(ends) else 0
-    return pool[np.arange(total) + np.repeat(starts - (ends - lens), lens)]
+    kind = np.int32 if max(total, len(pool)) < 2**31 else np.int64
+    at = np.repeat((starts - (ends - lens)).astype(kind), lens)
+    at += np.arange(total, dtype=kind)
+    return pool[at]
 
 
 def ship(spark: SparkSession) -> None:
