@@ -11,11 +11,25 @@ from . import exact_dedup, quality_rules
 from .curve_packing import op4_curve_packing
 from .exact_dedup import op7_chunk_recipe_dedup
 from .mixing import op6_systematic_mixing
+from .ngram_join import op8_ngram_jaccard_join
 from .quality_rules import op9_quality_rules
+from .secret_scan import op5_secret_scan
 from .shared import ship
+from .span_dedup import op10_sentence_span_dedup
+from .token_counts import op3_token_counts
 from .token_file import op1_token_id_output
 
-_QUERIES = [op1_token_id_output, op4_curve_packing, op6_systematic_mixing, op7_chunk_recipe_dedup, op9_quality_rules]
+_QUERIES = [
+    op1_token_id_output,
+    op3_token_counts,
+    op4_curve_packing,
+    op5_secret_scan,
+    op6_systematic_mixing,
+    op7_chunk_recipe_dedup,
+    op8_ngram_jaccard_join,
+    op9_quality_rules,
+    op10_sentence_span_dedup,
+]
 #: The other operators can't be said in SQL (or carry a random offset or a trained model); tests/llm holds them against brute force.
 _ORACLES = {"op7_chunk_recipe_dedup": exact_dedup.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
 
