@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import exact_dedup, quality_rules
 from .curve_packing import op4_curve_packing
 from .exact_dedup import op7_chunk_recipe_dedup
+from .language_crf import op2_language_id
 from .mixing import op6_systematic_mixing
 from .ngram_join import op8_ngram_jaccard_join
 from .quality_rules import op9_quality_rules
@@ -21,6 +22,7 @@ from .token_file import op1_token_id_output
 
 _QUERIES = [
     op1_token_id_output,
+    op2_language_id,
     op3_token_counts,
     op4_curve_packing,
     op5_secret_scan,
