@@ -29,9 +29,9 @@ def normalised(text):
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    base = base.select("doc_id", F.char_length("t").alias("n_points"), normalised(F.col("t")).alias("norm"))
-    return base.select("doc_id", "n_points", F.sha2("norm", 256).alias("text_sha256"), F.char_length("norm").alias("n_norm"), F.regexp_extract_all("norm", F.lit(CHUNK), F.lit(0)).alias("chunks"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    base = base.select("doc_id", "h", F.char_length("t").alias("n_points"), normalised(F.col("t")).alias("norm"))
+    return base.select("doc_id", "h", "n_points", F.sha2("norm", 256).alias("text_sha256"), F.char_length("norm").alias("n_norm"), F.regexp_extract_all("norm", F.lit(CHUNK), F.lit(0)).alias("chunks"))
 
 
 def clashing_ids(chunks: DataFrame) -> DataFrame:
@@ -40,10 +40,10 @@ def clashing_ids(chunks: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per document: doc_id, h (hash of its text), keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
     cut = _chunks(docs)
-    recipes = cut.select("doc_id", "n_points", "text_sha256", "n_norm", F.transform("chunks", lambda c: F.xxhash64(c)).alias("recipe"))
+    recipes = cut.select("doc_id", "h", "n_points", "text_sha256", "n_norm", F.transform("chunks", lambda c: F.xxhash64(c)).alias("recipe"))
     recipes = materialise(recipes.withColumn("rid", F.monotonically_increasing_id()), "recipes")  # rid is written, so it stays
     clashes = materialise(clashing_ids(cut.select(F.explode("chunks").alias("chunk")).select(F.xxhash64("chunk").alias("h"), "chunk")), "clashes")
     if clashes.isEmpty():
@@ -59,12 +59,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     joined = recipes.join(g, (F.col("recipe") == F.col("g_recipe")) & (F.col("n_norm") == F.col("g_n_norm")) & (F.col("verified") == F.col("g_verified")), "left")
     size = F.coalesce("group_size", F.lit(1).cast("long"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("g_keep"))
-    return joined.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), (F.col("rid") == F.coalesce("g_rid", "rid")).alias("kept"), "text_sha256")
+    return joined.select("doc_id", "h", keep.alias("keep_id"), size.alias("group_size"), (F.col("rid") == F.coalesce("g_rid", "rid")).alias("kept"), "text_sha256")
 
 
 def op7_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among all whole documents."""
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("h")
 
 
 ORACLE = r"""

@@ -196,6 +196,24 @@ def train(docs: DataFrame, per_label: int = PER_LABEL, passages: int = PASSAGES,
     return fit([(r["lang"], r["words"]) for r in found], seed=seed)
 
 
+def judge(text: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and number of words of each text."""
+    dictionary, codes, ends = split_words(text)
+    words = dictionary.to_pylist()
+    lettered = np.fromiter((_LETTER.search(w) is not None for w in words), bool, len(words))
+    lens = np.diff(np.concatenate([[0], ends])).astype(np.int64)
+    doc = np.repeat(np.arange(len(lens)), lens)
+    counted = lettered[codes] if len(codes) else np.zeros(0, bool)
+    n = np.bincount(doc[counted], minlength=len(lens))
+    if not model or not len(codes):
+        return ["und"] * len(lens), np.zeros(len(lens)), lens
+    probs, _ = marginals(model.scores(words)[codes], lens, model.steps)
+    sums = [np.bincount(doc[counted], probs[counted, k], len(lens)) for k in range(len(model.labels))]
+    mean = np.round(np.stack(sums, axis=1) / np.maximum(n, 1)[:, None], 6)
+    labels = [model.labels[b] if c else "und" for b, c in zip(mean.argmax(axis=1), n, strict=True)]
+    return labels, np.where(n > 0, np.clip(mean.max(axis=1), 0, 1), 0.0), lens
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, h (hash of the text), held_out, lang_pred, score, n_words."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
@@ -204,27 +222,24 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches):
         pa.set_memory_pool(pa.system_memory_pool())
         for batch in slices(batches, 6_000_000):
-            dictionary, codes, ends = split_words(batch.column("text"))
-            words = dictionary.to_pylist()
-            lettered = np.fromiter((_LETTER.search(w) is not None for w in words), bool, len(words))
-            lens = np.diff(np.concatenate([[0], ends]))
-            n = np.zeros(len(lens))
-            doc = np.repeat(np.arange(len(lens)), lens)
-            counted = lettered[codes] if len(codes) else np.zeros(0, bool)
-            n = np.bincount(doc[counted], minlength=len(lens))
-            labels, score = ["und"] * len(lens), np.zeros(len(lens))
-            if model and len(codes):
-                probs, _ = marginals(model.scores(words)[codes], lens, model.steps)
-                mean = np.stack([np.bincount(doc[counted], probs[counted, k], len(lens)) for k in range(len(model.labels))], axis=1) / np.maximum(n, 1)[:, None]
-                mean = np.round(mean, 6)
-                best = mean.argmax(axis=1)
-                labels = [model.labels[b] if c else "und" for b, c in zip(best, n, strict=True)]
-                score = np.where(n > 0, np.clip(mean.max(axis=1), 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), batch.column("held_out"), pa.array(labels, pa.string()), pa.array(score), pa.array(lens.astype(np.int64))], ["doc_id", "h", "held_out", "lang_pred", "score", "n_words"])
+            labels, score, n = judge(batch.column("text"), model)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), batch.column("held_out"), pa.array(labels, pa.string()), pa.array(score), pa.array(n)], ["doc_id", "h", "held_out", "lang_pred", "score", "n_words"])
 
     return source.select("doc_id", "h", "held_out", "text").mapInArrow(run, "doc_id long, h long, held_out boolean, lang_pred string, score double, n_words long")
 
 
+def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.4) -> DataFrame:
+    """The documents, all columns, whose language is told with a score of `least` or more; `und` goes."""
+
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        for batch in slices(batches, 6_000_000):
+            labels, score, _ = judge(batch.column("text").cast(pa.string()), model)
+            yield batch.filter(pa.array([lab != "und" and s >= least for lab, s in zip(labels, score, strict=True)]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict the language of every whole text of the table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, partitions
+from .shared import NULL_ID, materialise, partitions
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 
@@ -44,11 +44,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return levels.withColumn("target", F.coalesce(F.least(capped, open_level * F.col("w")), capped).cast("double")).select("source", "n", "source_size", "target")
 
 
-def plan(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", **rule) -> DataFrame:
+def plan(docs: DataFrame, seed: int = 11, **rule) -> DataFrame:
     """doc_id, h (hash of the text), source, size, source_size, target, copies; light columns only after the first scan."""
     spark = docs.sparkSession
     light = materialise(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), "text").alias("h")),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string")).alias("h")),
         "mix",
     )
     schema = light.schema.simpleString()[7:-1].replace(":", " ")
@@ -83,15 +83,14 @@ def plan(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", **rule) -> Dat
 
 def mix(docs: DataFrame, seed: int = 11, **rule) -> DataFrame:
     """The mixed documents themselves, all their columns, repeats as repeated rows."""
-    h = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text")
-    chosen = plan(docs, seed, **rule).groupBy("doc_id", "h", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows_alike"))
-    c = chosen.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("source").alias("__source"), "copies", "rows_alike")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
-    joined = docs.withColumn("__hash", h).join(c, same)
+    h = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))
+    chosen = plan(docs, seed, **rule).groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__tm_id"), F.col("h").alias("__tm_h")).agg(F.sum("copies").alias("__tm_copies"), F.count("*").alias("__tm_alike"))
+    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("__tm_id"), h.alias("__tm_h"))
+    joined = keyed.join(chosen.filter("__tm_copies > 0"), ["__tm_id", "__tm_h"])
     # Rows alike in id, text and source share their copies: the first of them carry one more when they don't divide evenly.
-    k = F.row_number().over(Window.partitionBy("__id", "__h", "__source").orderBy(F.lit(1)))
-    times = F.floor(F.col("copies") / F.col("rows_alike")) + (k <= F.col("copies") % F.col("rows_alike")).cast("long")
-    return joined.withColumn("__times", times).filter("__times > 0").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(docs.columns)
+    k = F.row_number().over(Window.partitionBy("__tm_id", "__tm_h").orderBy(F.lit(1)))
+    times = F.floor(F.col("__tm_copies") / F.col("__tm_alike")) + (k <= F.col("__tm_copies") % F.col("__tm_alike")).cast("long")
+    return joined.withColumn("__tm_times", times).filter("__tm_times > 0").withColumn("__tm_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__tm_times")))).select([F.col(c) for c in docs.columns])
 
 
 def op6_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

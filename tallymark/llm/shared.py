@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -103,3 +104,19 @@ def ship(spark: SparkSession) -> None:
         shutil.copytree(root, f"{folder}/src/{root.name}", ignore=shutil.ignore_patterns("__pycache__"))
         context.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", f"{folder}/src"))
         context._tallymark_shipped = True
+
+
+NULL_ID = -(2**63)
+
+
+def row_key():
+    """Two columns that know a row: its doc_id (null: the least long) and the hash of its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("__tm_id"), F.xxhash64(F.col("text").cast("string")).alias("__tm_h")
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc_id, h) is in kept, each such pair once. One shuffle of docs serves both steps."""
+    key_id, key_h = row_key()
+    keys = kept.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__tm_id"), F.col("h").alias("__tm_h"))
+    keyed = docs.select("*", key_id, key_h)
+    return keyed.join(keys, ["__tm_id", "__tm_h"], "left_semi").dropDuplicates(["__tm_id", "__tm_h"]).select(docs.columns)
