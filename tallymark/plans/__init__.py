@@ -1,9 +1,14 @@
 """Named queries over the reference operators and their DuckDB SQL."""
 
+from . import scoring
+from .base import ORACLES, QUERIES
+
+__all__ = ["oracle_sql", "queries", "scoring"]
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
