@@ -71,9 +71,11 @@ def plan(docs: DataFrame, seed: int = 11, **rule) -> DataFrame:
     total = targets(per_part.groupBy("source").agg(F.sum("m").alias("n"), F.sum("z").alias("source_size")), **rule)
     before = F.coalesce(F.sum("m").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     places = per_part.withColumn("before", before).alias("p").join(total.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
-    places = places.select(F.col("p.source").alias("source_"), F.col("p.part").alias("part_"), "before", "source_size", "target")
+    known = F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit("")))  # a key without nulls
+    places = places.select(F.col("p.source").alias("source"), F.col("p.part").alias("part"), "before", "source_size", "target")
+    places = places.withColumn("key", known).drop("source")
 
-    placed = ranked.join(F.broadcast(places), F.col("source").eqNullSafe(F.col("source_")) & (F.col("part") == F.col("part_")))
+    placed = ranked.withColumn("key", known).join(places, ["key", "part"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull()), F.lit(1 << 30)) / float(1 << 30)
     at = F.col("before") + F.col("rank")
