@@ -1,9 +1,9 @@
 """Named queries over the reference operators and their DuckDB SQL."""
 
-from . import scoring
+from . import hygiene, scoring
 from .base import ORACLES, QUERIES
 
-__all__ = ["oracle_sql", "queries", "scoring"]
+__all__ = ["hygiene", "oracle_sql", "queries", "scoring"]
 
 
 def queries():
