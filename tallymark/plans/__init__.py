@@ -1,9 +1,9 @@
 """Named queries over the reference operators and their DuckDB SQL."""
 
-from . import hygiene, inference, scoring
+from . import attempts, hygiene, inference, scoring
 from .base import ORACLES, QUERIES
 
-__all__ = ["hygiene", "inference", "oracle_sql", "queries", "scoring"]
+__all__ = ["attempts", "hygiene", "inference", "oracle_sql", "queries", "scoring"]
 
 
 def queries():
