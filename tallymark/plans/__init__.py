@@ -1,13 +1,14 @@
 """Named queries over the reference operators and their DuckDB SQL."""
 
-from . import attempts, hygiene, inference, scoring
+from ..shipping import shipped
+from . import attempts, hygiene, inference, parsing, scoring, similarity
 from .base import ORACLES, QUERIES
 
-__all__ = ["attempts", "hygiene", "inference", "oracle_sql", "queries", "scoring"]
+__all__ = ["attempts", "hygiene", "inference", "parsing", "oracle_sql", "queries", "scoring", "similarity"]
 
 
 def queries():
-    return dict(QUERIES)
+    return {k: shipped(f) for k, f in QUERIES.items()}
 
 
 def oracle_sql():
