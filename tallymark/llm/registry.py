@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import shipped
 from . import exact_dedup, quality_rules
 from .curve_packing import op4_curve_packing
 from .exact_dedup import op7_chunk_recipe_dedup
@@ -15,7 +15,6 @@ from .mixing import op6_systematic_mixing
 from .ngram_join import op8_ngram_jaccard_join
 from .quality_rules import op9_quality_rules
 from .secret_scan import op5_secret_scan
-from .shared import ship
 from .span_dedup import op10_sentence_span_dedup
 from .token_counts import op3_token_counts
 from .token_file import op1_token_id_output
@@ -36,17 +35,8 @@ _QUERIES = [
 _ORACLES = {"op7_chunk_recipe_dedup": exact_dedup.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
 
 
-def _shipped(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
-    @functools.wraps(f)
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
-        return f(spark, sf_dir)
-
-    return query
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in _QUERIES}
+    return {f.__name__: shipped(f) for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,6 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
+__all__ = ["NULL_ID", "cleanup", "gather", "keep_rows", "materialise", "partitions", "row_key", "shared_dir", "ship", "slices", "split_words"]
+
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -92,20 +96,6 @@ def gather(starts: np.ndarray, lens: np.ndarray, pool: np.ndarray) -> np.ndarray
     return pool[at]
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application, so that they need no installed copy."""
-    import shutil
-    from pathlib import Path
-
-    context = spark.sparkContext
-    if not getattr(context, "_tallymark_shipped", False):
-        root = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="tallymark-code-")
-        shutil.copytree(root, f"{folder}/src/{root.name}", ignore=shutil.ignore_patterns("__pycache__"))
-        context.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", f"{folder}/src"))
-        context._tallymark_shipped = True
-
-
 NULL_ID = -(2**63)
 
 
