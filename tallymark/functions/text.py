@@ -14,10 +14,14 @@ def normalized_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), r"\s+", " "))
 
 
-@F.pandas_udf("string")
-def exact_normalized_text(s: pd.Series) -> pd.Series:
+def exact_normalized_text(c: Column) -> Column:
     """NFKC, case folding, white space collapsed and trimmed. The JVM has neither of the first two as a built-in function."""
-    return s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
+
+    return run(c)
 
 
 def input_key(fields: dict[str, Column]) -> Column:

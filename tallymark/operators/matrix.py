@@ -18,13 +18,13 @@ def plan(records: DataFrame, dataset: str, models: list[tuple[str, int]]) -> Dat
 def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """1, 2, 3... over the whole order without bringing all rows into one task.
 
-    Rows are ranked inside 4096 ranges of the first order column's hash-free quantiles, and a range's base is the count of the
+    Rows are ranked inside ranges cut at approximate quantiles of the first order column, a number, and a range's base is the count of the
     ranges before it; only those counts are ordered in one place.
     """
     spark = df.sparkSession
     ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = df.agg(F.percentile_approx(order[0], [i / ranges for i in range(1, ranges)], 10_000).alias("c"))
-    cut = df.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("c", lambda x: x < F.col(order[0])))).drop("c")
+    cuts = df.agg(F.percentile_approx(order[0], [i / ranges for i in range(1, ranges)], 10_000).alias("__cuts"))
+    cut = df.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda x: x < F.col(order[0])))).drop("__cuts")
     sizes = cut.groupBy("__range").agg(F.count("*").alias("__n"))
     base = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))

@@ -143,7 +143,7 @@ def normalized_text(spark, d):
 
 @query(None)
 def normalized_text_exact(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(T.exact_normalized_text("text")).alias("normalized_md5"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.exact_normalized_text(F.col("text"))).alias("normalized_md5"))
 
 
 @query(f"SELECT item_id, '{{\"query\":' || to_json({N.format('text')}) || ',\"text\":' || to_json({N.format('text')}) || '}}' AS input_key FROM benchmark")
