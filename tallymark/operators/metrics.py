@@ -29,6 +29,15 @@ def classed(rows: DataFrame, labels: list[str]) -> DataFrame:
     return rows.withColumn("pred", F.when(ok, F.col("prediction"))).withColumn("outcome", outcome)
 
 
+def tally(rows: DataFrame, labels: list[str], by: list[str] = CELL) -> DataFrame:
+    """Rows counted by cell, group, gold label, predicted label and outcome: all that the metrics below need.
+
+    The counts are small and combined before they are shuffled; the metrics build on this one aggregation, so Spark computes
+    it once and reuses its exchange.
+    """
+    return classed(rows, labels).groupBy(*by, "group_id", "gold_label", "pred", "outcome").agg(F.count("*").alias("n"))
+
+
 def universe(spark: SparkSession, labels: list[str]) -> DataFrame:
     """The fixed label list in order; a few rows by contract."""
     return spark.createDataFrame([(label, i) for i, label in enumerate(labels)], "label string, position int")
@@ -36,25 +45,23 @@ def universe(spark: SparkSession, labels: list[str]) -> DataFrame:
 
 def confusion(rows: DataFrame, labels: list[str], by: list[str] = CELL) -> DataFrame:
     """Counts per gold label and predicted label or failure, zeros kept."""
-    spark = rows.sparkSession
-    counts = classed(rows, labels).groupBy(*by, F.col("gold_label").alias("gold"), F.coalesce("pred", F.lit(FAILED)).alias("predicted")).agg(F.count("*").alias("n"))
-    golds = universe(spark, labels).select(F.col("label").alias("gold"))
-    preds = universe(spark, [*labels, FAILED]).select(F.col("label").alias("predicted"))
-    frame = counts.select(*by).distinct().crossJoin(F.broadcast(golds.crossJoin(preds)))
+    t = tally(rows, labels, by)
+    counts = t.groupBy(*by, F.col("gold_label").alias("gold"), F.coalesce("pred", F.lit(FAILED)).alias("predicted")).agg(F.sum("n").alias("n"))
+    golds = universe(rows.sparkSession, labels).select(F.col("label").alias("gold"))
+    preds = universe(rows.sparkSession, [*labels, FAILED]).select(F.col("label").alias("predicted"))
+    frame = t.select(*by).distinct().crossJoin(F.broadcast(golds.crossJoin(preds)))  # cells x a fixed list
     return frame.join(counts, [*by, "gold", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def per_class(rows: DataFrame, labels: list[str], by: list[str] = CELL, valid_only: bool = False) -> DataFrame:
     """support, predicted, tp, precision, recall and f1 of every label of the list in every cell."""
-    spark = rows.sparkSession
-    c = classed(rows, labels)
-    # One pass: each row speaks for its gold label and, if it has one, for its predicted label.
-    said = F.array(F.struct(F.col("gold_label").alias("label"), F.lit(1).alias("g"), F.lit(0).alias("p")), F.struct(F.col("pred").alias("label"), F.lit(0).alias("g"), F.lit(1).alias("p")))
-    if valid_only:
-        c = c.filter(F.col("pred").isNotNull())
-    e = c.select(*by, F.explode(said).alias("s"), (F.col("pred") == F.col("gold_label")).alias("hit")).filter("s.label is not null")
+    t = tally(rows, labels, by)
+    used = t.filter(F.col("pred").isNotNull()) if valid_only else t
+    # Each tallied row speaks for its gold label and, if it has one, for its predicted label.
+    said = F.array(F.struct(F.col("gold_label").alias("label"), F.col("n").alias("g"), F.lit(0).cast("long").alias("p")), F.struct(F.col("pred").alias("label"), F.lit(0).cast("long").alias("g"), F.col("n").alias("p")))
+    e = used.select(*by, F.explode(said).alias("s"), (F.col("pred") == F.col("gold_label")).alias("hit")).filter("s.label is not null")
     counts = e.groupBy(*by, "s.label").agg(F.sum("s.g").alias("support"), F.sum("s.p").alias("predicted"), F.sum(F.when(F.coalesce("hit", F.lit(False)), F.col("s.g")).otherwise(0)).alias("tp"))
-    frame = rows.select(*by).distinct().crossJoin(F.broadcast(universe(spark, labels)))
+    frame = t.select(*by).distinct().crossJoin(F.broadcast(universe(rows.sparkSession, labels)))
     full = frame.join(counts, [*by, "label"], "left").na.fill(0, ["support", "predicted", "tp"])
     return full.select(*by, "label", "position", "support", "predicted", "tp", ratio(F.col("tp"), F.col("predicted")).alias("precision"), ratio(F.col("tp"), F.col("support")).alias("recall"), ratio(2 * F.col("tp"), F.col("predicted") + F.col("support")).alias("f1"))
 
@@ -67,18 +74,18 @@ def macro(classes: DataFrame, by: list[str] = CELL) -> DataFrame:
 
 def mean_group_accuracy(rows: DataFrame, labels: list[str], by: list[str] = CELL) -> DataFrame:
     """Each group counts once, whatever its size."""
-    hit = F.coalesce(F.col("pred") == F.col("gold_label"), F.lit(False)).cast("int")
-    per_group = classed(rows, labels).groupBy(*by, "group_id").agg((F.sum(hit) / F.count("*")).alias("a"))
+    hit = F.coalesce(F.col("pred") == F.col("gold_label"), F.lit(False)).cast("long") * F.col("n")
+    per_group = tally(rows, labels, by).groupBy(*by, "group_id").agg((F.sum(hit) / F.sum("n")).alias("a"))
     return per_group.groupBy(*by).agg(F.avg("a").alias("mean_group_accuracy"), F.count("*").alias("independent_groups"))
 
 
 def score(rows: DataFrame, labels: list[str], by: list[str] = CELL) -> DataFrame:
     """One row per cell: counts, accuracy over all planned rows, macro-F1, rates and completeness."""
-    c = classed(rows, labels)
-    pending, valid = F.count_if(F.col("outcome") == "pending"), F.count_if(F.col("outcome") == "valid")
-    counts = c.groupBy(*by).agg(
-        F.count("*").alias("planned"), (F.count("*") - pending).alias("terminal"), pending.alias("pending"), valid.alias("valid"),
-        (F.count("*") - pending - valid).alias("failed"), F.count_if(F.col("pred") == F.col("gold_label")).alias("correct"),
+    total = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    pending, valid = total(F.col("outcome") == "pending"), total(F.col("outcome") == "valid")
+    counts = tally(rows, labels, by).groupBy(*by).agg(
+        F.sum("n").alias("planned"), (F.sum("n") - pending).alias("terminal"), pending.alias("pending"), valid.alias("valid"),
+        (F.sum("n") - pending - valid).alias("failed"), total(F.col("pred") == F.col("gold_label")).alias("correct"),
     )
     joined = counts.join(macro(per_class(rows, labels, by), by), by).join(mean_group_accuracy(rows, labels, by), by)
     return joined.select(
