@@ -55,7 +55,7 @@ class _Models:
         a, b = self.a[:k], self.b[:k]
         self.s2 = lane * _SLOTS + (((a * 40_503 + b * 9_973) >> 3) & (_SLOTS - 1))
         self.s1 = lane * _SLOTS + (((b * 40_503) >> 4) & (_SLOTS - 1))
-        e2, e1 = self.two[self.s2], self.one[self.s1]
+        e2, e1 = self.two.take(self.s2), self.one.take(self.s1)
         self.i2, self.i1, c2, c1 = e2 >> 3, e1 >> 3, e2 & 7, e1 & 7
         self.c2, self.c1 = c2, c1
         cand = np.where(c2 >= np.minimum(c1, 1), self.i2, self.i1)
@@ -63,21 +63,23 @@ class _Models:
         own = lane * 32
         self.k2 = own + c2 + 8 * (self.i2 != cand)  # an order that says otherwise speaks against the candidate
         self.k1 = own + c1 + 16 + 8 * (self.i1 != cand)
-        self.k0 = self.seen[self.s0]
-        self.x = x = np.stack([_STRETCH[self.p[self.k2]], _STRETCH[self.p[self.k1]], self.k0.astype(np.int64) * 32 - 256])
-        self.pr = _SQUASH[np.clip((x * self.w[:, :k]).sum(axis=0) >> 16, -2048, 2047) + 2048]
+        self.k0 = self.seen.take(self.s0)
+        self.x = x = np.stack([_STRETCH.take(self.p.take(self.k2)), _STRETCH.take(self.p.take(self.k1)), self.k0.astype(np.int64) * 32 - 256])
+        w = self.w
+        mixed = (x[0] * w[0, :k] + x[1] * w[1, :k] + x[2] * w[2, :k]) >> 16
+        self.pr = _SQUASH.take(mixed + 2048, mode="clip")
         return cand, self.pr
 
     def learn(self, k: int, ids: np.ndarray, hit: np.ndarray) -> None:
         for slot in (self.k2, self.k1):
-            p = self.p[slot]
+            p = self.p.take(slot)
             self.p[slot] = p + ((hit * 4095 - p) >> 5)
         self.w[:, :k] += (self.x * (hit * 4096 - self.pr)) >> 10
         for table, slot, i, c in ((self.two, self.s2, self.i2, self.c2), (self.one, self.s1, self.i1, self.c1)):
             same = i == ids
             table[slot] = np.where(same, i * 8 + np.minimum(c + 1, 7), np.where(c > 1, i * 8 + (c >> 1), ids * 8 + 1))
         s = self.lane[:k] * _SLOTS + (ids & (_SLOTS - 1))
-        self.seen[s] = np.minimum(self.seen[s], 14) + 1
+        self.seen[s] = np.minimum(self.seen.take(s), 14) + 1
         self.a[:k] = self.b[:k]
         self.b[:k] = ids
 
@@ -100,34 +102,40 @@ class _Coder:
     def __init__(self, n: int):
         self.low, self.width = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
         self.at = np.zeros(n, np.int64)
+        self.lanes = np.arange(n)
 
     def narrow(self, lanes, start, size, bits: int) -> None:
-        unit = self.width[lanes] >> np.uint64(bits)
-        self.low[lanes] += unit * start.astype(np.uint64)
-        self.width[lanes] = unit * size.astype(np.uint64)
-        if isinstance(lanes, slice):
-            lanes = np.arange(lanes.stop)
-        while len(lanes):
-            low, width = self.low[lanes], self.width[lanes]
-            fixed = ((low ^ (low + width)) >> np.uint64(48)) == 0
-            short = ~fixed & (width < np.uint64(1 << 32))
-            need = np.flatnonzero(fixed | short)
+        whole = isinstance(lanes, slice)
+        low = self.low[lanes] if whole else self.low.take(lanes)
+        unit = (self.width[lanes] if whole else self.width.take(lanes)) >> np.uint64(bits)
+        low = low + unit * start.astype(np.uint64)
+        width = unit * size.astype(np.uint64)
+        self.low[lanes], self.width[lanes] = low, width
+        if whole:
+            lanes = self.lanes[lanes]
+        while True:
+            # Put out 16 bits where they are settled; where the interval is small yet straddles them, cut it off at the border.
+            open_ = (low ^ (low + width)) >= np.uint64(1 << 48)
+            need = np.flatnonzero(~open_ | (width < np.uint64(1 << 32)))
             if not len(need):
                 return
-            lanes, low, width = lanes[need], low[need], width[need]
-            width = np.where(short[need], (~low + np.uint64(1)) & np.uint64(0xFFFFFFFF), width)
+            lanes, low, width, open_ = lanes.take(need), low.take(need), width.take(need), open_.take(need)
+            width = np.where(open_, (~low + np.uint64(1)) & np.uint64(0xFFFFFFFF), width)
             self.shift(lanes, low)
-            self.low[lanes], self.width[lanes] = low << np.uint64(16), width << np.uint64(16)
+            low, width = low << np.uint64(16), width << np.uint64(16)
+            self.low[lanes], self.width[lanes] = low, width
 
 
 class _Encoder(_Coder):
     def __init__(self, n: int, block: int):
         super().__init__(n)
-        self.out = np.zeros((n, 3 * block + 16), np.uint16)
+        self.room = 3 * block + 16
+        self.out = np.zeros(n * self.room, np.uint16)
 
     def shift(self, lanes, low) -> None:
-        self.out[lanes, self.at[lanes]] = low >> np.uint64(48)
-        self.at[lanes] += 1
+        at = self.at.take(lanes)
+        self.out[lanes * self.room + at] = low >> np.uint64(48)
+        self.at[lanes] = at + 1
 
     def done(self) -> list[bytes]:
         lanes = np.arange(len(self.low))
@@ -135,24 +143,25 @@ class _Encoder(_Coder):
         for _ in range(4):
             self.shift(lanes, low)
             low <<= np.uint64(16)
-        return [self.out[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.at)]
+        return [self.out[i * self.room : i * self.room + n].astype("<u2").tobytes() for i, n in enumerate(self.at)]
 
 
 class _Decoder(_Coder):
     def __init__(self, payloads: list[bytes]):
         super().__init__(len(payloads))
         longest = max(map(len, payloads)) // 2 + 8
-        self.data = np.zeros((len(payloads), longest), np.uint16)
+        data = np.zeros((len(payloads), longest), np.uint64)
         for i, p in enumerate(payloads):
-            self.data[i, : len(p) // 2] = np.frombuffer(p, "<u2")
+            data[i, : len(p) // 2] = np.frombuffer(p, "<u2")
+        self.room, self.data = longest, data.reshape(-1)
         self.code = np.zeros(len(payloads), np.uint64)
         for _ in range(4):
-            self.code = self.code << np.uint64(16) | self.data[np.arange(len(payloads)), self.at]
-            self.at += 1
+            self.shift(self.lanes, None)
 
     def shift(self, lanes, low) -> None:
-        self.code[lanes] = self.code[lanes] << np.uint64(16) | self.data[lanes, self.at[lanes]]
-        self.at[lanes] += 1
+        at = self.at.take(lanes)
+        self.code[lanes] = self.code.take(lanes) << np.uint64(16) | self.data.take(lanes * self.room + at)
+        self.at[lanes] = at + 1
 
     def value(self, lanes, bits: int) -> np.ndarray:
         got = (self.code[lanes] - self.low[lanes]) // (self.width[lanes] >> np.uint64(bits))
@@ -184,9 +193,9 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
         y = x[miss]
         hi, lo = y >> 8, y & 255
         i = miss * 257 + hi
-        c.narrow(miss, m.cum_hi[i], m.cum_hi[i + 1] - m.cum_hi[i], 14)
+        c.narrow(miss, *_part(m.cum_hi, i), 14)
         i = m.low_table(miss, hi) * 257 + lo
-        c.narrow(miss, m.cum_lo[i], m.cum_lo[i + 1] - m.cum_lo[i], 14)
+        c.narrow(miss, *_part(m.cum_lo, i), 14)
         m.count(miss, y)
         m.learn(k, x, hit)
     raw = np.ascontiguousarray(ids, "<u4")
@@ -213,11 +222,11 @@ def decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
         miss = np.flatnonzero(hit == 0)
         hi = _find(m.cum_hi, miss * 257, c.value(miss, 14))
         i = miss * 257 + hi
-        c.narrow(miss, m.cum_hi[i], m.cum_hi[i + 1] - m.cum_hi[i], 14)
+        c.narrow(miss, *_part(m.cum_hi, i), 14)
         base = m.low_table(miss, hi) * 257
         lo = _find(m.cum_lo, base, c.value(miss, 14))
         i = base + lo
-        c.narrow(miss, m.cum_lo[i], m.cum_lo[i + 1] - m.cum_lo[i], 14)
+        c.narrow(miss, *_part(m.cum_lo, i), 14)
         x = cand.astype(np.int64)
         x[miss] = y = hi << 8 | lo
         m.count(miss, y)
@@ -231,9 +240,15 @@ def decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _part(cum: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and size of the symbols' parts of the interval."""
+    begin = cum.take(at)
+    return begin, cum.take(at + 1) - begin
+
+
 def _find(cum: np.ndarray, base: np.ndarray, value: np.ndarray) -> np.ndarray:
     """In each table the last symbol whose cumulative frequency is not above the value."""
     at = np.zeros(len(base), np.int64)
     for step in (128, 64, 32, 16, 8, 4, 2, 1):
-        at += step * (cum[base + at + step] <= value)
+        at += step * (cum.take(at + (base + step)) <= value)
     return at
