@@ -30,7 +30,6 @@ class WordEncoder:
     def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
-        pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back
         self.whole = Tokenizer.from_file(path)
         self.model, self.keep = self.whole.model, keep
         self.letters = byte_letters()
@@ -45,7 +44,7 @@ class WordEncoder:
         got = self.stems.get(piece)
         if got is None:
             got = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-            if len(self.stems) < self.keep // 4:
+            if len(self.stems) < self.keep // 2:
                 self.stems[piece] = got
         return got
 
