@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .shared import slices, split_words
 
 PER_LABEL, PASSAGES, PASSAGE_WORDS = 400, 3, 40
-_BUCKETS = 1 << 17
+_BUCKETS, _AT_ONCE = 1 << 17, 40_000
 _LETTER = re.compile(r"[^\W\d_]")
 _MUL = np.uint32(0x9E3779B1)
 
@@ -63,6 +63,8 @@ class Model:
 
     def scores(self, words: list[str], got: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """(words, labels) emission scores."""
+        if got is None and len(words) > _AT_ONCE:  # bounds the memory that features take
+            return np.concatenate([self.scores(words[i : i + _AT_ONCE]) for i in range(0, len(words), _AT_ONCE)])
         out = np.zeros((len(words), len(self.labels)))
         if not words:
             return out
@@ -77,8 +79,8 @@ class Model:
         return np.array([self.lexicon.get(w.lower(), none) for w in words]).reshape(len(words), len(self.labels))
 
 
-def marginals(emit: np.ndarray, lens: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Label probabilities of every position of chains laid end to end, and the chains' expected transitions.
+def marginals(emit: np.ndarray, lens: np.ndarray, steps: np.ndarray, moves: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Label probabilities of every position of chains laid end to end, and, if wanted, the chains' expected transitions.
 
     All chains move in step, longest first, so that those still running are a prefix.
     """
@@ -87,31 +89,36 @@ def marginals(emit: np.ndarray, lens: np.ndarray, steps: np.ndarray) -> tuple[np
     begin = (np.cumsum(lens) - lens)[order]
     longest = int(sizes[0]) if len(sizes) else 0
     running = np.searchsorted(-sizes, -np.arange(longest), side="left")
-    e = np.exp(emit - emit.max(axis=1, keepdims=True)) + 1e-30 if len(emit) else emit
+    e = emit
+    if len(emit):
+        e = emit - emit.max(axis=1, keepdims=True)
+        np.exp(e, out=e)
+        e += 1e-30
     a = np.exp(steps)
-    forward, out = np.empty_like(e), np.zeros_like(e)
+    out = np.empty_like(e)  # forward probabilities first; the backward pass turns them into marginals in place
     at = None
     for t in range(longest):
         k = running[t]
         here = begin[:k] + t
         x = e[here] if t == 0 else at[:k] @ a * e[here]
         at = x / x.sum(axis=1, keepdims=True)
-        forward[here] = at
-    moves = np.zeros_like(a)
-    back = np.ones((len(sizes), len(a)))
+        out[here] = at
+    expected = np.zeros_like(a)
+    back = np.ones((len(sizes), len(a)), e.dtype)
     for t in range(longest - 1, -1, -1):
         k = running[t]
         here = begin[:k] + t
-        p = forward[here] * back[:k]
+        p = out[here] * back[:k]
         out[here] = p / p.sum(axis=1, keepdims=True)
         if t:
             behind = e[here] * back[:k]
-            before = forward[here - 1]
             pull = behind @ a.T
-            norm = (before * pull).sum(axis=1, keepdims=True)
-            moves += (before / norm).T @ behind * a
+            if moves:
+                before = out[here - 1]
+                norm = (before * pull).sum(axis=1, keepdims=True)
+                expected += (before / norm).T @ behind * a
             back[:k] = pull / pull.sum(axis=1, keepdims=True)
-    return out, moves
+    return out, expected
 
 
 def fit(passages: list[tuple[str, list[str]]], rounds: int = 50, rate: float = 0.3, decay: float = 1e-4, seed: int = 5) -> Model | None:
@@ -202,13 +209,13 @@ def judge(text: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray, n
     words = dictionary.to_pylist()
     lettered = np.fromiter((_LETTER.search(w) is not None for w in words), bool, len(words))
     lens = np.diff(np.concatenate([[0], ends])).astype(np.int64)
-    doc = np.repeat(np.arange(len(lens)), lens)
+    doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
     counted = lettered[codes] if len(codes) else np.zeros(0, bool)
-    n = np.bincount(doc[counted], minlength=len(lens))
+    n = np.bincount(doc, counted, len(lens)).astype(np.int64)
     if not model or not len(codes):
         return ["und"] * len(lens), np.zeros(len(lens)), lens
-    probs, _ = marginals(model.scores(words)[codes], lens, model.steps)
-    sums = [np.bincount(doc[counted], probs[counted, k], len(lens)) for k in range(len(model.labels))]
+    probs, _ = marginals(model.scores(words).astype(np.float32)[codes], lens, model.steps.astype(np.float32), moves=False)
+    sums = [np.bincount(doc, probs[:, k] * counted, len(lens)) for k in range(len(model.labels))]
     mean = np.round(np.stack(sums, axis=1) / np.maximum(n, 1)[:, None], 6)
     labels = [model.labels[b] if c else "und" for b, c in zip(mean.argmax(axis=1), n, strict=True)]
     return labels, np.where(n > 0, np.clip(mean.max(axis=1), 0, 1), 0.0), lens
@@ -220,8 +227,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     source = source.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)))
 
     def run(batches):
-        pa.set_memory_pool(pa.system_memory_pool())
-        for batch in slices(batches, 6_000_000):
+        for batch in slices(batches, 4_000_000):
             labels, score, n = judge(batch.column("text"), model)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), batch.column("held_out"), pa.array(labels, pa.string()), pa.array(score), pa.array(n)], ["doc_id", "h", "held_out", "lang_pred", "score", "n_words"])
 
@@ -232,8 +238,7 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.4) ->
     """The documents, all columns, whose language is told with a score of `least` or more; `und` goes."""
 
     def run(batches):
-        pa.set_memory_pool(pa.system_memory_pool())
-        for batch in slices(batches, 6_000_000):
+        for batch in slices(batches, 4_000_000):
             labels, score, _ = judge(batch.column("text").cast(pa.string()), model)
             yield batch.filter(pa.array([lab != "und" and s >= least for lab, s in zip(labels, score, strict=True)]))
 
