@@ -212,6 +212,40 @@ def test_span_dedup(docs):
     assert span_dedup.dedup_spans(docs((1, passage)).limit(0)).count() == 0
 
 
+def all_runs_want(rows, min_words=15, long_words=40):
+    """From the definition: every run of sentences, of any length, that is not its first occurrence is removed whole."""
+    seen, out = set(), {}
+    for i, t in rows:
+        s = re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", t)
+        words, at = [x.lower().split() for x in s], [0]
+        for x in s:
+            at.append(at[-1] + len(x))
+        gone = set()
+        for a in range(len(s)):
+            for b in range(a + 1, len(s) + 1):
+                n, full = sum(map(len, words[a:b])), [w for w in words[a:b] if w]
+                if words[a] and words[b - 1] and (len(full) > 1 and n >= min_words or b == a + 1 and n >= long_words):
+                    key = tuple(map(tuple, full))
+                    gone |= set(range(at[a], at[b])) if key in seen else set()
+                    seen.add(key)
+        out[i] = "".join(c for k, c in enumerate(t) if k not in gone)
+    return out
+
+
+def test_span_dedup_covers_repeated_runs_whole(docs):
+    sentence = lambda k, n: " ".join(f"{k}{i}" for i in range(n)) + ". "
+    a, b, c, d = sentence("a", 45), sentence("b", 38), sentence("c", 14), sentence("d", 2)
+    rows = [(1, a + b), (2, "One. " + a + b + "Two."), (3, b + c + d), (4, "Three. " + b + c + d), (5, "\n. " + b + "...\n" + c + "\n" + d), (6, d * 3 + c), (7, "x. " + d * 3 + c), (8, sentence("e", 39)), (9, sentence("e", 39))]
+    rng = random.Random(11)
+    stock = [sentence(f"r{i}x", rng.choice([1, 2, 4, 7, 9, 14, 20, 41, 50])) for i in range(30)] + ["\n", "... "]
+    for i in range(10, 150):
+        at = rng.randrange(len(stock))
+        rows.append((i, "".join([*rng.choices(stock, k=rng.randrange(4)), *stock[at : at + rng.randrange(1, 9)], f"own{i}. ", *rng.choices(stock, k=rng.randrange(3))])))
+    got = {r.doc_id: r.text for r in span_dedup.dedup_spans(docs(*rows)).collect()}
+    assert got[2] == "One. Two." and got[4] == "Three. " and got[9] == rows[8][1]
+    assert got == all_runs_want(rows)
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
