@@ -29,7 +29,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+#: Headers of an encrypted key hold single hyphens; a body never holds the five of a border.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*+(?:-(?!----)[^-]*+)*+)-----END \1-----")
+_HEADERS = re.compile(r"\s*(?:[A-Za-z0-9-]+:[^\n]*\n(?:[ \t]+[^\n]*\n)*)+[ \t\r]*\n")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{48,}={0,2}")
 _HEXES = re.compile(r"[0-9a-fA-F]{64,}")
@@ -88,9 +90,10 @@ def _decoded(run: str) -> bytes:
 
 
 def _pem(m: re.Match) -> bool:
-    head, _, body = m[2].rpartition("\n\n") if "Proc-Type" in m[2] else ("", "", m[2])
+    headers = _HEADERS.match(m[2])
+    head, body = (headers[0], m[2][headers.end() :]) if headers else ("", m[2])
     data = _decoded(body)
-    return bool(head and "ENCRYPTED" in head and data) or _key(data)
+    return bool("Proc-Type" in head and "ENCRYPTED" in head and data) or _key(data)
 
 
 def _jwt(m: re.Match) -> bool:

@@ -177,6 +177,22 @@ def test_key_structures():
     assert kinds("eyJhbGciOiJub3Qganso.abcdefgh.zz") == []
 
 
+def test_encrypted_pem_blocks():
+    b64 = base64.encodebytes(bytes(range(256)) * 3).decode()
+    block = lambda head, body, kind="RSA PRIVATE KEY": f"-----BEGIN {kind}-----\n{head}{body}-----END {kind}-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    for text in (block(head, b64), block(head, b64).replace("\n", "\r\n"), block(head, b64, "EC PRIVATE KEY")):
+        (found,) = [(a, b) for a, k, b in secret_scan.scan(f"see {text} there") if secret_scan.KINDS[k] == "pem"]
+        assert found == (4, 4 + len(text))
+    assert "b64key" in kinds(base64.b64encode(block(head, b64).encode()).decode())  # nested
+    key = base64.encodebytes(PKCS1).decode()
+    assert "pem" in kinds(block("Comment: a-b\n\n", key)) and "pem" in kinds(block("", key))
+    assert "pem" not in kinds(block(head, "")) and "pem" not in kinds(block("Comment: a-b\n\n", b64))
+    open_block = "-----BEGIN RSA PRIVATE KEY-----\nlost "
+    assert kinds(open_block + block(head, b64)).count("pem") == 1  # a border without an end hides no block behind it
+    secret_scan.scan(open_block * 3000)
+
+
 def base_spans(text):
     """The base kinds, straight from their definition."""
     out = []
