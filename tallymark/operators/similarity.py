@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import char_ngrams
 from .iterate import cut
 
 
@@ -13,8 +15,16 @@ def tfidf(units: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), sublinear: bool
     """unit, gram, w (L2-normalised), df. Weights are tf x (ln((1 + N) / (1 + df)) + 1); df and N come from `fit` if given."""
 
     def counts(u: DataFrame) -> DataFrame:
-        grams = F.concat(*(char_ngrams(F.col("text"), n) for n in sizes))
-        return u.select("unit", F.explode(grams).alias("gram")).groupBy("unit", "gram").agg(F.count("*").alias("tf"))
+        # In Python: the JVM's substring walks from the text's start every time, which whole documents are too long for.
+        def run(batches):
+            for batch in batches:
+                for unit, text in zip(batch.column("unit"), batch.column("text").to_pylist(), strict=True):
+                    found = Counter((text or "")[i : i + n] for n in sizes for i in range(len(text or "") - n + 1))
+                    cols = pa.array([unit.as_py()] * len(found), batch.schema.field("unit").type), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())
+                    yield pa.RecordBatch.from_arrays(list(cols), ["unit", "gram", "tf"])
+
+        kind = u.schema["unit"].dataType.simpleString()
+        return u.select("unit", "text").mapInArrow(run, f"unit {kind}, gram string, tf long").groupBy("unit", "gram").agg(F.sum("tf").alias("tf"))
 
     tf = counts(units)
     source = tf if fit is None else counts(fit)
@@ -26,8 +36,8 @@ def tfidf(units: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), sublinear: bool
     return raw.select("unit", "gram", "df", (F.col("r") / norm).alias("w"))
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """i < j and their cosine, for every pair at or above the threshold; exact.
+def cosine_pairs(vectors: DataFrame, threshold: float, among: DataFrame | None = None) -> DataFrame:
+    """i < j and their cosine, for every pair at or above the threshold; exact. `among`: every pair holds one of its units.
 
     Grams stand in one order, rare ones first. A unit is indexed under its first grams until the rest of its vector is shorter
     than the threshold: two units that share none of these can't reach it. Only the pairs found so are compared whole.
@@ -37,6 +47,9 @@ def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     index = vectors.withColumn("rest", rest).filter(F.sqrt("rest") >= threshold - 1e-9).select("unit", "gram")
     a, b = index.select(F.col("unit").alias("i"), "gram"), index.select(F.col("unit").alias("j"), "gram")
     candidates = a.join(b, "gram").filter("i < j").select("i", "j").distinct()
+    if among is not None:
+        one = lambda k: among.select(F.col("unit").alias(k), F.lit(True).alias(f"{k}_in"))
+        candidates = candidates.join(one("i"), "i", "left").join(one("j"), "j", "left").filter("i_in or j_in").select("i", "j")
     x, y = vectors.select(F.col("unit").alias("i"), "gram", F.col("w").alias("wi")), vectors.select(F.col("unit").alias("j"), "gram", F.col("w").alias("wj"))
     dots = candidates.join(x, "i").join(y, ["j", "gram"]).groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("cosine"))
     return dots.filter(F.col("cosine") >= threshold)

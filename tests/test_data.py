@@ -180,6 +180,37 @@ def test_cosine_pairs_are_exact(spark):
     assert {(r.i, r.j) for r in got.collect()} == want and want
 
 
+def test_near_copies_of_records(spark, tmp_path):
+    import math
+    from collections import Counter
+    from hashlib import md5
+
+    from tallymark.plans import similarity as Q
+
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200)) for _ in range(6)]
+    texts = {i: base[i % 6][: 120 + rng.randrange(80)] + "".join(rng.choice("xyz ") for _ in range(rng.randrange(90))) for i in range(40)}
+    texts |= {40: "Q", 41: base[0].upper().replace(" ", " \n ")}
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in texts], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    priority = {i: 0 if (h := int(md5(f"split:{i}".encode()).hexdigest()[:8], 16) % 10) < 2 else 1 if h < 3 else 2 for i in texts}
+    order = sorted(texts, key=lambda i: (priority[i], i))
+    tf = {i: Counter(t[k : k + n] for n in (2, 3, 4) for k in range(len(t) - n + 1)) for i in texts if len(t := " ".join(texts[i].lower().split())) > 1}
+    df = Counter(g for c in tf.values() for g in c)
+    vec = {i: {g: n * (math.log((1 + len(tf)) / (1 + df[g])) + 1) for g, n in c.items()} for i, c in tf.items()}
+    dot = lambda a, b: sum(w * vec[b].get(g, 0) for g, w in vec[a].items())
+    like = lambda a, b: a in vec and b in vec and dot(a, b) / math.sqrt(dot(a, a) * dot(b, b)) >= 0.4
+    want, n_pairs = {}, 0
+    for k, i in enumerate(order):
+        if priority[i] < 2 and i not in want:
+            for j in order[k + 1 :]:
+                if like(i, j):
+                    n_pairs += 1
+                    want.setdefault(j, i)
+    assert {r.unit: r.kept_unit for r in Q.near_dedup(spark, str(tmp_path)).collect()} == want and want
+    assert Q.near_dup_audit(spark, str(tmp_path)).first()[:] == (n_pairs, len(want), 1)
+
+
 def test_execute_keeps_every_job(spark):
     def predictor(job):
         if job["job_id"] == "2":
