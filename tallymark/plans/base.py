@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LABELS = ["good", "poor", "toxic", "rare"]
 MODELS = [("local:a", 60, 1), ("local:t", 70, 5), ("remote:j", 80, 3), ("remote:g", 85, 3)]
@@ -73,6 +74,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with the item_id of the benchmark item each is paired with: doc_id modulo the number of items."""
+    n = table(spark, sf_dir, "benchmark").selectExpr("count(*) AS n_items")
+    docs = table(spark, sf_dir, "documents")
+    return docs.crossJoin(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n_items")).drop("n_items")
+
+
 def _derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = worded(_SQL[name], "spark")
     frames = {}

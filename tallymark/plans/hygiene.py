@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import hygiene as H
-from .base import LABELS, query, records, table
+from .base import LABELS, paired, query, records, table
 
 #: The normalisation of SQL engines, and records under the operators' column names.
 N = "trim(regexp_replace(replace(lower({}), 'ß', 'ss'), '\\s+', ' ', 'g'))"
@@ -186,7 +186,7 @@ def rule_predict(spark, d):
 @query("SELECT d.doc_id, coalesce(list_any_value([x for x in ['the', 'onst', 'eaux', 'ción', 'schung'] if contains(lower(d.text), x) AND contains(lower(b.text), x)]) IS NOT NULL, false) AS relevant FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40")
 def rule_relevance(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("q"))
-    p = table(spark, d, "documents").select("doc_id", F.lower("text").alias("p"), (F.col("doc_id") % 40).alias("item_id"))
+    p = paired(spark, d).select("doc_id", F.lower("text").alias("p"), "item_id")
     terms = F.array(*map(F.lit, ["the", "onst", "eaux", "ción", "schung"]))
     return p.join(b, "item_id").select("doc_id", F.exists(terms, lambda t: F.contains(F.col("q"), t) & F.contains(F.col("p"), t)).alias("relevant"))
 
@@ -196,7 +196,7 @@ SELECT doc_id, item_id, len(list_intersect(q, w)) AS shared, round(len(list_inte
 def token_jaccard(spark, d):
     tok = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
     t = table(spark, d, "benchmark").select("item_id", tok(F.col("text")).alias("q"))
-    p = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), tok(F.col("text")).alias("w"))
+    p = paired(spark, d).select("doc_id", "item_id", tok(F.col("text")).alias("w"))
     j = p.join(t, "item_id")
     return j.select("doc_id", "item_id", F.size(F.array_intersect("q", "w")).cast("long").alias("shared"), F.round(T.jaccard(F.col("q"), F.col("w")), 6).alias("jaccard"), F.round(T.coverage(F.col("q"), F.col("w")), 6).alias("coverage"))
 

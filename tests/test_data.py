@@ -211,6 +211,17 @@ def test_near_copies_of_records(spark, tmp_path):
     assert Q.near_dup_audit(spark, str(tmp_path)).first()[:] == (n_pairs, len(want), 1)
 
 
+def test_every_benchmark_item_is_paired(spark, tmp_path):
+    from tallymark.plans import QUERIES
+
+    spark.range(150).select(F.col("id").alias("doc_id"), F.concat(F.lit("the w"), "id").alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(70).select(F.col("id").alias("item_id"), F.concat(F.lit("the w"), "id").alias("text")).write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name in ("token_jaccard", "pair_features"):
+        got = {r.doc_id: (r.item_id, r.jaccard) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {i: (i % 70, 1.0 if i < 70 else 0.333333) for i in range(150)}
+    assert QUERIES["rule_relevance"](spark, str(tmp_path)).filter("relevant").count() == 150
+
+
 def test_execute_keeps_every_job(spark):
     def predictor(job):
         if job["job_id"] == "2":
