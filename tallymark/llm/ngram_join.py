@@ -9,9 +9,9 @@ those are indexed, with the set's size and the shingle's position. Three relatio
   a pair is passed over if what is left behind its positions can't reach the wanted overlap.
 * A long list isn't paired up. Its token goes to the end of the order and the sets in it are indexed anew, so that members of a
   family of copies meet only where they share what is rare. In lists that stay long, sets are compared with pivots (the first set of each range of sizes) and with their
-  predecessor; from these answers the rest is derived: sets in one component need no further look, and sets whose distances to
-  a common pivot differ by more than the wanted distance can't be similar (Jaccard distance is a metric). Only pairs between
-  different components that pass both, and a bound from bitmaps of the two sets, are looked at in the end, so no link is lost.
+  predecessor; sets whose distances to a common pivot differ by more than the wanted distance can't be similar (Jaccard distance is
+  a metric). All other pairs that pass a bound from bitmaps of the two sets are looked at in the end, so no link is lost. If
+  only components are wanted (all_links=False), sets in one component need no further look either.
 
 Every candidate that the two prefixes don't rule out is verified on the whole sets. Components come from min-label propagation with shortcuts, one written table a
 round.
@@ -202,8 +202,12 @@ def _components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def similar(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, h (hash of the text), n_shingles, links_seen (verified ones of its set), component_id, group_id. Sets of similarity num / den link."""
+def similar(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, all_links: bool = True) -> DataFrame:
+    """doc_id, h (hash of the text), n_shingles, links_seen, component_id, group_id. Sets of similarity num / den link.
+
+    links_seen is the number of other sets that a row's set links with. Without all_links, links inside a component that is
+    already connected aren't looked for: components stay exact, links_seen is a lower bound.
+    """
     spark = docs.sparkSession
     frequent = frequent_shingles(docs, n)
     parts = partitions(spark)
@@ -327,7 +331,7 @@ def similar(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFram
     labels = _components(links)
     if not long_lists.isEmpty():
         bits = materialise(family.mapInArrow(_bitmaps, "rid long, bits array<long>"), "bitmaps")
-        links, labels = _finish_long_lists(long_lists.join(bits, "rid"), answers, links, labels, compared, num, den)
+        links, labels = _finish_long_lists(long_lists.join(bits, "rid"), answers, links, labels, compared, num, den, all_links)
 
     least = labels.withColumnRenamed("v", "rep").join(groups.select("rep", "least_id"), "rep").groupBy("l").agg(F.min("least_id").alias("component"))
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("links_seen"))
@@ -340,7 +344,7 @@ def similar(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFram
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, all columns, that have the smallest doc_id of their component (null last)."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h"))
-    kept = similar(docs, **how).groupBy("group_id").agg(first.alias("first")).select("first.doc_id", "first.h")
+    kept = similar(docs, **how, all_links=False).groupBy("group_id").agg(first.alias("first")).select("first.doc_id", "first.h")
     return keep_rows(docs, kept)
 
 
@@ -355,12 +359,13 @@ def _bitmaps(batches):
         yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.ListArray.from_arrays(ends, pa.array(words.reshape(-1)))], ["rid", "bits"])
 
 
-def _finish_long_lists(long_lists, answers, links, labels, compared, num, den):
-    """Pairs of a long list that pivots left open: different components, sizes and positions in reach, pivot distances too."""
+def _finish_long_lists(long_lists, answers, links, labels, compared, num, den, all_links):
+    """Pairs of a long list that pivots left open: sizes, positions and pivot distances in reach; without all_links, different components only."""
     label = labels.select(F.col("v").alias("rid"), "l")
     rows = long_lists.join(label, "rid", "left").withColumn("l", F.coalesce("l", "rid"))
-    open_tokens = rows.groupBy("token").agg(F.min("l").alias("x"), F.max("l").alias("y")).filter("x < y").select("token")
-    rows = rows.join(open_tokens, "token", "left_semi")
+    if not all_links:
+        open_tokens = rows.groupBy("token").agg(F.min("l").alias("x"), F.max("l").alias("y")).filter("x < y").select("token")
+        rows = rows.join(open_tokens, "token", "left_semi")
     known = answers.select(F.col("b").alias("rid"), F.struct(F.col("a").alias("p"), "d").alias("pd")).union(answers.select(F.col("a").alias("rid"), F.struct(F.col("b").alias("p"), "d").alias("pd")))
     nearest = known.groupBy("rid").agg(F.min("pd").alias("pd"))
     rows = materialise(rows.join(nearest, "rid", "left"), "open-lists")
@@ -377,7 +382,9 @@ def _finish_long_lists(long_lists, answers, links, labels, compared, num, den):
     differ = sum((F.bit_count(F.get("bits_x", F.lit(k)).bitwiseXOR(F.get("bits_y", F.lit(k)))) for k in range(BITMAP // 64)), F.lit(0))
     reach = reach & (differ * (num + den) <= (den - num) * (F.col("n_x") + F.col("n_y")))
     ordered = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("rid_x") < F.col("rid_y")))
-    left = x.join(y, ["token", "c"]).filter((F.col("l_x") != F.col("l_y")) & ordered & reach & ~apart)
+    left = x.join(y, ["token", "c"]).filter(ordered & reach & ~apart)
+    if not all_links:
+        left = left.filter("l_x != l_y")
     ab = left.select(F.least("rid_x", "rid_y").alias("a"), F.greatest("rid_x", "rid_y").alias("b")).distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti")
     more = materialise(compared(ab).filter("link").select("a", "b"), "more-links")
     if more.isEmpty():

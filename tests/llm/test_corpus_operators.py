@@ -187,6 +187,22 @@ def test_ngram_join_of_one_large_group_and_of_nothing(docs):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
 
 
+def test_ngram_join_counts_all_links(docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "DEMOTIONS", 1)  # lists stay longer than LONG_LIST, which tasks read unpatched
+    base = [f"w{i}" for i in range(400)]
+    rng = random.Random(6)
+    rows = []
+    for i in range(150):  # copies that differ in a few words, some more than others, and some equal ones
+        t = list(base)
+        for _ in range(rng.randrange(6)):
+            t[rng.randrange(400)] = f"x{rng.randrange(99)}"
+        rows.append((i, " ".join(t)))
+    s = {i: frozenset(shingles(t, 3)) for i, t in rows}
+    want = {i: sum(10 * len(s[i] & o) >= 9 * len(s[i] | o) for o in set(s.values()) - {s[i]}) for i in s}
+    got = {r.doc_id: r.links_seen for r in ngram_join.similar(docs(*rows), 3, 9, 10).collect()}
+    assert got == want and max(want.values()) > 4 and len(set(want.values())) > 3
+
+
 def span_want(rows):
     """Sequential definition: the first place of a span by (doc_id, place) stays, null ids last."""
     seen, out = {}, {}
