@@ -10,6 +10,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Arrow batches are sent to Python workers this large at most, unless the session sets a size of its own.
+_BATCH, _DEFAULT_BATCH, _OWN_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application, so that they need no installed copy."""
@@ -20,6 +23,8 @@ def ship(spark: SparkSession) -> None:
         shutil.copytree(root, f"{folder}/src/{root.name}", ignore=shutil.ignore_patterns("__pycache__"))
         context.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", f"{folder}/src"))
         context._tallymark_shipped = True
+    if spark.conf.get(_BATCH, None) in (None, _DEFAULT_BATCH):
+        spark.conf.set(_BATCH, _OWN_BATCH)
 
 
 def shipped(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
