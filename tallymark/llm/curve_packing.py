@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encode import WordEncoder
+from .encode import with_end, word_encoder
 from .shared import materialise, partitions, slices
 
 END_ID, LENGTH, DIMS, BITS, HASHED = 1, 2048, 3, 10, 256
@@ -66,8 +66,12 @@ def slots(n_ids: int) -> np.ndarray:
     return (h & np.uint64(2 * HASHED - 1)).astype(np.int32)
 
 
-def project(ids: np.ndarray, lens: np.ndarray, axes: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    """Each document's hashed vector, of length 1, on the axes, in millionths."""
+def project(ids: np.ndarray, lens: np.ndarray, axes: np.ndarray, slot: np.ndarray, at_once: int = 512) -> np.ndarray:
+    """Each document's hashed vector, of length 1, on the axes, in millionths. at_once: documents whose vectors are held together."""
+    if len(lens) > at_once:
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        cuts = [*range(0, len(lens), at_once), len(lens)]
+        return np.concatenate([project(ids[ends[a] : ends[b]], lens[a:b], axes, slot) for a, b in zip(cuts, cuts[1:], strict=False)])
     doc = np.repeat(np.arange(0, len(lens) * 2 * HASHED, 2 * HASHED, dtype=np.int64), lens)
     doc += slot[ids]
     counts = np.bincount(doc, minlength=len(lens) * 2 * HASHED).reshape(-1, HASHED, 2)
@@ -76,6 +80,12 @@ def project(ids: np.ndarray, lens: np.ndarray, axes: np.ndarray, slot: np.ndarra
     return np.rint(flat @ axes / np.where(norm == 0, 1, norm) * 1e6).astype(np.int64)
 
 
+def _sortable(*columns: np.ndarray) -> np.ndarray:
+    """Rows of longs as bytes in the same order."""
+    flipped = np.stack([c.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63) for c in columns], axis=1)
+    return np.ascontiguousarray(flipped.astype(">u8")).view(f"S{8 * len(columns)}").reshape(-1)
+
+
 def _cut(total: int, length: int) -> list[tuple[int, int]]:
     """Start and size of the tail's sequences: what is left after the full ones, in powers of two."""
     at, out = total - total % length, []
@@ -92,12 +102,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, length: int = LE
     axes = _axes(seed)
 
     def code(batches):
-        encoder = WordEncoder(tokenizer)
-        slot = slots(encoder.whole.get_vocab_size())
+        encoder = word_encoder(tokenizer)
+        slot, kind = slots(encoder.n_ids), "<u2" if encoder.n_ids <= 65536 else "<u4"
         for batch in slices(batches):
             ids, lens = encoder(batch.column("text"))
             points = project(ids, lens, axes, slot)
-            ids = np.insert(ids, np.cumsum(lens), end_id).astype("<u2" if encoder.whole.get_vocab_size() <= 65536 else "<u4")
+            ids = with_end(ids, lens, end_id).astype(kind)
             ends = (np.cumsum(lens) + np.arange(1, len(lens) + 1)) * ids.itemsize
             data = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(lens + 1), data.cast(pa.binary()), *(pa.array(points[:, i].copy()) for i in range(DIMS))], ["doc_id", "h", "n", "ids", *(f"v{i}" for i in range(DIMS))])
@@ -131,15 +141,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, length: int = LE
     light = coded.select(key.alias("k"), F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "h", "n")
     ranges = light.repartitionByRange(parts, "k", "doc_id", "h").sortWithinPartitions("k", "doc_id", "h").mapInArrow(runs, "part int, k long, doc_id long, h long, n long").collect()
     ranges.sort(key=lambda r: r["part"])
-    edges = [(r["k"], r["doc_id"], r["h"]) for r in ranges][1:]
+    edges = _sortable(*(np.array([r[c] for r in ranges][1:], np.int64) for c in ("k", "doc_id", "h")))
     starts = np.cumsum([0, *(r["n"] for r in ranges)]).tolist()
     tail = _cut(starts[-1], length)
 
     @F.pandas_udf("int")
     def range_of(k: pd.Series, doc: pd.Series, h: pd.Series) -> pd.Series:
-        from bisect import bisect_right
-
-        return pd.Series([bisect_right(edges, x) for x in zip(k, doc, h, strict=True)], dtype="int32")
+        return pd.Series(np.searchsorted(edges, _sortable(*(x.to_numpy() for x in (k, doc, h))), side="right").astype(np.int32))
 
     def pieces(batches):
         at = starts[TaskContext.get().partitionId()] if TaskContext.get().partitionId() < len(starts) else 0

@@ -1,20 +1,29 @@
 """Whole-text encoding with the tokenizers library, one distinct word at a time.
 
 The word tokenizer drops white space between pieces, so a text's ids are its words' ids put end to end. Each distinct word
-of a slice of texts is encoded once by the library's model, and frequent words are kept per worker up to a fixed number.
+of a slice of texts is encoded once, and the words met first are kept per worker up to a fixed number, as one Arrow array.
+Words of Latin-1 letters, digits and ASCII marks are cut into the tokenizer's pieces here and go through the library's BPE
+model by the thousand; the model ends every piece with a token that says so, which tells words apart again. All other words
+go through the whole tokenizer.
 """
 
 from __future__ import annotations
 
-import re
+import functools
+import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .shared import gather, split_words
 
-# Plain words skip the library's normaliser: Latin-1 letters, optionally one closing mark, are one or two pieces by its pattern.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]?)")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Neither ' nor <: the tokenizer's pattern gives the first a meaning of its own, and its special tokens begin with the second.
+_MARKS = r"!-&(-/:;=>?@\[-`{-~"
+_PLAIN = rf"^(?:[{_LETTERS}0-9{_MARKS}])+$"
+_PIECE = rf"([{_LETTERS}]+|[0-9]|[{_MARKS}]+)"
+_END = "</w>"
 
 
 def byte_letters() -> dict[int, int]:
@@ -25,64 +34,89 @@ def byte_letters() -> dict[int, int]:
 
 
 class WordEncoder:
-    """Ids of texts; at most `keep` distinct words stay in memory."""
-
-    def __init__(self, path: str, keep: int = 600_000):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.model, self.keep = self.whole.model, keep
-        self.letters = byte_letters()
-        self.known: dict[str, int] = {}
-        self.stems: dict[str, list[int]] = {}
-        self.starts = np.zeros(keep + 1, np.int64)
-        self.lens = np.zeros(keep + 1, np.int64)
-        self.pool = np.zeros(1 << 20, np.int32)
-        self.used = 0
-
-    def _piece(self, piece: str) -> list[int]:
-        got = self.stems.get(piece)
-        if got is None:
-            got = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-            if len(self.stems) < self.keep // 2:
-                self.stems[piece] = got
-        return got
-
-    def word(self, word: str) -> list[int]:
-        if m := _PLAIN.fullmatch(word):
-            stem, mark = m.groups()
-            ids = self._piece(stem.lower())
-            return ids + self._piece(mark) if mark else ids
-        return self.whole.encode(word, add_special_tokens=False).ids
+    """Ids of texts; at most `keep` distinct words stay in memory (about 30 bytes each)."""
+
+    def __init__(self, path: str, keep: int = 300_000):
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        self.whole, self.keep = Tokenizer.from_file(path), keep
+        self.n_ids = self.whole.get_vocab_size()
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        if model["type"] != "BPE" or model.get("end_of_word_suffix") != _END:
+            raise ValueError("WordEncoder needs a BPE file whose pieces end with </w>")
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.bare = Tokenizer(models.BPE(model["vocab"], merges, cache_capacity=0, end_of_word_suffix=_END))
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = byte_letters() | {0x20: 0x20}
+        self.ends = np.zeros(self.n_ids, bool)
+        self.ends[[i for t, i in model["vocab"].items() if t.endswith(_END)]] = True
+        self.known = pa.array([], pa.string())
+        self.at = np.zeros(1, np.int64)  # where the known words' ids begin, and the end of the last
+        self.pool = np.zeros(0, np.int32)
+
+    def _pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Plain words' ids end to end and each word's number of ids."""
+        words = pc.utf8_lower(words)
+        mixed = pc.invert(pc.utf8_is_alpha(words))
+        spaced = pc.binary_join_element_wise(words, "", " ")
+        spaced = pc.replace_with_mask(spaced, mixed, pc.replace_substring_regex(words.filter(mixed), _PIECE, r"\1 "))
+        pieces = np.asarray(pc.count_substring(spaced, " "))
+        text = b"".join(np.asarray(spaced.cast(pa.binary()), dtype=object)).decode("latin-1").translate(self.letters)
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        upto = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(pieces)])]
+        return ids, np.diff(upto)
+
+    def _fresh(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.asarray(pc.match_substring_regex(words, _PLAIN))
+        n = np.zeros(len(words), np.int64)
+        ids, n[plain] = self._pieces(words.filter(pa.array(plain)))
+        if plain.all():
+            return ids, n
+        rest = [e.ids for e in self.whole.encode_batch_fast(words.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
+        n[~plain] = [len(x) for x in rest]
+        starts = np.zeros(len(words), np.int64)
+        starts[plain] = np.cumsum(n[plain]) - n[plain]
+        starts[~plain] = len(ids) + np.cumsum(n[~plain]) - n[~plain]
+        return gather(starts, n, np.concatenate([ids, np.fromiter((i for x in rest for i in x), np.int32)])), n
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and each text's number of ids."""
         words, codes, ends = split_words(text)
-        words = words.to_pylist()
-        known, room = self.known, self.keep
-        at = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+        at = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.known), -1)).astype(np.int64) if len(self.known) else np.full(len(words), -1)
         new = np.flatnonzero(at < 0)
-        fresh = [self.word(words[i]) for i in new]
-        n = np.fromiter(map(len, fresh), np.int64, len(fresh))
-        flat = np.fromiter((x for ids in fresh for x in ids), np.int32, int(n.sum()))
-        stored = min(len(new), room - len(known))
-        size = int(n[:stored].sum())
-        while self.used + size > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        begin = np.cumsum(n) - n
-        k = len(known)
-        self.pool[self.used : self.used + size] = flat[:size]
-        self.starts[k : k + stored] = self.used + begin[:stored]
-        self.lens[k : k + stored] = n[:stored]
-        for j, i in enumerate(new[:stored]):
-            known[words[i]] = k + j
-        self.used += size
-        starts, lens = self.starts[at], self.lens[at]
-        starts[new], lens[new] = begin + self.used, n
-        pool = np.concatenate([self.pool[: self.used], flat]) if len(new) > stored else self.pool
-        if len(new) <= stored:
-            starts[new] = self.used - size + begin
+        starts, lens = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        old = at >= 0
+        starts[old], lens[old] = self.at[at[old]], self.at[at[old] + 1] - self.at[at[old]]
+        pool = self.pool
+        if len(new):
+            fresh = words.take(pa.array(new))
+            flat, n = self._fresh(fresh)
+            stops = np.cumsum(n)
+            starts[new], lens[new] = len(self.pool) + stops - n, n
+            pool = np.concatenate([self.pool, flat])
+            stored = min(len(new), self.keep - len(self.known))
+            if stored:
+                self.at = np.concatenate([self.at, len(self.pool) + stops[:stored]])
+                self.pool = pool[: self.at[-1]]
+                self.known = pa.concat_arrays([self.known, fresh.slice(0, stored).cast(pa.string())])
         per_word = lens[codes]
         ids = gather(starts[codes], per_word, pool)
         upto = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], ends])]
         return ids, np.diff(upto)
+
+
+def with_end(ids: np.ndarray, lens: np.ndarray, end_id: int) -> np.ndarray:
+    """The ids with end_id after each text's own."""
+    out = np.full(len(ids) + len(lens), end_id, ids.dtype)
+    own = np.ones(len(out), bool)
+    own[np.cumsum(lens) + np.arange(len(lens))] = False
+    out[own] = ids
+    return out
+
+
+@functools.lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The one encoder of this process; tasks that follow each other in a worker share what it knows."""
+    return WordEncoder(path)

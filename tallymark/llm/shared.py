@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
+import ctypes
 import uuid
 
 import numpy as np
@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import iterate
 from ..shipping import ship
 
 __all__ = ["NULL_ID", "cleanup", "gather", "keep_rows", "materialise", "partitions", "row_key", "shared_dir", "ship", "slices", "split_words"]
@@ -21,12 +22,8 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (single-machine tests) a new temporary folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = tempfile.mkdtemp(prefix="tallymark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    """The folder in spark.checkpoint.dir. Unset, it is a new temporary folder on a local master, and an error on a cluster."""
+    return iterate.shared_dir(spark)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -55,17 +52,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches, most: int = 12_000_000):
-    """Cut record batches into runs of rows whose `text` holds about `most` bytes; one longer text is a run of its own."""
+def slices(batches, most: int = 4_000_000, rows: int = 4096):
+    """Cut record batches into runs of at most `rows` rows whose `text` holds about `most` bytes; one longer text is a run of its own.
+
+    They bound what a worker's arrays take; when all runs are done, the worker gives freed memory back to the system, since it
+    may serve other operators' tasks afterwards or stand idle beside the JVM.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
         text = batch.column("text")
         size = np.asarray(pc.fill_null(pc.binary_length(text), 0).cast(pa.int64()))
         run = (np.cumsum(size) - size) // most
-        edges = [0, *(np.flatnonzero(np.diff(run)) + 1), batch.num_rows]
+        edges = np.union1d(np.flatnonzero(np.diff(run)) + 1, np.arange(0, batch.num_rows + rows, rows).clip(max=batch.num_rows))
         for a, b in zip(edges, edges[1:], strict=False):
-            yield batch.slice(a, b - a)
+            yield batch.slice(int(a), int(b - a))
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def split_words(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
