@@ -3,10 +3,12 @@
 Three base kinds are found by pattern alone (assign, access, hex). Further kinds are reported only if what they encode has the
 structure of a key: `pem` (a PEM block around a key encoding), `jwt` (a signed token whose header and claims are JSON and whose
 header names an algorithm), `b64key` and `hexkey` (base64 or hex that decodes to a private-key encoding, or to text that holds
-a confirmed PEM block or token). A key encoding is an OpenSSH container or DER whose nested lengths fill each other exactly
-and whose outline is that of a private key (PKCS#1, PKCS#8, encrypted PKCS#8 or SEC 1).
+a confirmed PEM block or token; base64 may run over several lines). A key encoding is an OpenSSH container or DER whose nested
+lengths fill each other exactly and whose outline is that of a private key (PKCS#1, PKCS#8, encrypted PKCS#8 or SEC 1). The
+body of a traditional encrypted PEM block is ciphertext and has no outline: its length must be whole blocks of the cipher named.
 
-Edge cases: null counts as empty and has no spans; an empty table gives no rows; repeated rows are scanned alike; a span lies
+Edge cases: values and JSON nested without end are no keys; a text of any length is scanned whole, in time in proportion to it;
+null counts as empty and has no spans; an empty table gives no rows; repeated rows are scanned alike; a span lies
 by code points, its end exclusive; ties in start go by kind as listed in KINDS; other columns are not read.
 """
 
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 
 from .shared import slices
 
+#: Values nested deeper than this belong to no key.
+DEPTH = 16
 KINDS = ("assign", "access", "hex", "pem", "jwt", "b64key", "hexkey")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -32,8 +36,12 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Headers of an encrypted key hold single hyphens; a body never holds the five of a border.
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*+(?:-(?!----)[^-]*+)*+)-----END \1-----")
 _HEADERS = re.compile(r"\s*(?:[A-Za-z0-9-]+:[^\n]*\n(?:[ \t]+[^\n]*\n)*)+[ \t\r]*\n")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
+_CIPHER = re.compile(r"DEK-Info:\s*([A-Z0-9-]+),([0-9A-Fa-f]+)")
+_OPENSSH = b"openssh-key-v1\0"
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{5,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]*+")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{48,}={0,2}")
+#: Base64 over several lines without a PEM frame.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,}+\r?\n[ \t]*+)++[A-Za-z0-9+/]++={0,2}")
 _HEXES = re.compile(r"[0-9a-fA-F]{64,}")
 
 
@@ -53,15 +61,47 @@ def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
 
 
 def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """The values that fill data[at:end] exactly; constructed ones must be filled in turn."""
+    """The values that fill data[at:end] exactly; constructed ones must be filled in turn, DEPTH deep at most."""
+    out, inner = [], [(at, end, 0)]
+    while inner:
+        at, end, depth = inner.pop()
+        while at < end:
+            got = _tlv(data, at, end)
+            if not got or depth > DEPTH:
+                return None
+            if not depth:
+                out.append(got)
+            if got[0] & 0x20:
+                inner.append((got[1], got[2], depth + 1))
+            at = got[2]
+    return out
+
+
+def _strings(data: bytes, at: int, n: int) -> tuple[list[bytes], int] | None:
+    """The n strings that begin at `at`, each behind its 32-bit length, and where the last one ends."""
     out = []
-    while at < end:
-        got = _tlv(data, at, end)
-        if not got or got[0] & 0x20 and _children(data, got[1], got[2]) is None:
+    for _ in range(n):
+        size = int.from_bytes(data[at : at + 4])
+        if at + 4 + size > len(data):
             return None
-        out.append(got)
-        at = got[2]
-    return out
+        out.append(data[at + 4 : at + 4 + size])
+        at += 4 + size
+    return out, at
+
+
+def openssh_key(data: bytes) -> bool:
+    """The container whole: cipher, derivation and its options, as many public keys as it says, one private part, nothing behind."""
+    if not data.startswith(_OPENSSH) or not (names := _strings(data, len(_OPENSSH), 3)):
+        return False
+    (cipher, derivation, options), at = names
+    count = int.from_bytes(data[at : at + 4])
+    if not (cipher and cipher.isascii() and derivation.isascii() and 1 <= count <= len(data) // 4) or (cipher == b"none") != (derivation == b"none") or (cipher == b"none" and options):
+        return False
+    keys = _strings(data, at + 4, count + 1)
+    if not keys or keys[1] != len(data) or not all(_strings(k, 0, 1) for k in keys[0][:-1]):
+        return False
+    private = keys[0][-1]
+    return len(private) >= 16 and len(private) % 8 == 0 and (cipher != b"none" or private[:4] == private[4:8])
 
 
 def private_key_der(data: bytes) -> bool:
@@ -93,22 +133,23 @@ def _pem(m: re.Match) -> bool:
     headers = _HEADERS.match(m[2])
     head, body = (headers[0], m[2][headers.end() :]) if headers else ("", m[2])
     data = _decoded(body)
-    return bool("Proc-Type" in head and "ENCRYPTED" in head and data) or _key(data)
+    if "Proc-Type" in head and "ENCRYPTED" in head:  # ciphertext: whole blocks of the cipher, behind a start value of one block
+        how = _CIPHER.search(head)
+        block = how and (16 if how[1].startswith(("AES", "CAMELLIA")) else 8)
+        return bool(block) and len(how[2]) == 2 * block and len(data) >= 32 and len(data) % block == 0
+    return _key(data)
 
 
 def _jwt(m: re.Match) -> bool:
     try:
         head, claims = (json.loads(_decoded(x)) for x in m[0].split(".")[:2])
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return isinstance(head, dict) and isinstance(claims, dict) and isinstance(head.get("alg"), str)
 
 
 def _key(data: bytes, inside: bool = True) -> bool:
-    if data.startswith(b"openssh-key-v1\0"):
-        n = int.from_bytes(data[15:19])
-        return 0 < n < 64 and data[19 : 19 + n].isascii()
-    if private_key_der(data):
+    if openssh_key(data) or private_key_der(data):
         return True
     if inside and data.isascii():
         text = data.decode()
@@ -132,10 +173,17 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     for m in _B64.finditer(text):
         if _key(_decoded(m[0])):
             out.append((m.start(), 5, m.end()))
-        out += [(h.start() + m.start(), 6, h.end() + m.start()) for h in _HEXES.finditer(m[0]) if len(h[0]) % 2 == 0 and _key(bytes.fromhex(h[0]))]
+        out += [(h.start() + m.start() + skip, 6, h.end() + m.start() - (len(h[0]) % 2 - skip)) for h in _HEXES.finditer(m[0]) for skip in range(1 + len(h[0]) % 2) if _hex_key(h[0], skip)]
+    framed = [(a, b) for a, k, b in out if k == 3]
+    out += [(m.start(), 5, m.end()) for m in _WRAPPED.finditer(text) if not any(a <= m.start() < b for a, b in framed) and _key(_decoded(m[0]))]
     return sorted(out)
 
 
+def _hex_key(run: str, skip: int) -> bool:
+    """A run of odd length holds a key either before its last digit (skip 0) or behind its first (skip 1)."""
+    return _key(bytes.fromhex(run[skip : len(run) - (len(run) % 2 - skip)]))
+
+
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, a count for each base kind, the base spans' digest, all spans, and the number of confirmed ones."""
 
