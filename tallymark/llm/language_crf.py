@@ -9,7 +9,7 @@ language has the largest mean probability over its words that hold a letter, whi
 Training reads text and lang of at most about PER_LABEL rows a language, chosen by hash, PASSAGES passages of each at hashed
 places, of the rows that may be learned from (crc32(doc_id) mod 5 is not 0). Prediction sees text alone.
 
-Edge cases: null text or no letter: `und`, score 0; so is everything where no row can be learned from; ties go to the first
+Edge cases: null text or no letter: `und`, score 0; so is everything where no row can be learned from (keep_identified() then keeps what has a letter); ties go to the first
 label by code point; a null doc_id is neither learned from nor held out; repeated rows are predicted alike; an empty table
 gives no rows; a text of any length is labelled whole; other columns are not read.
 """
@@ -28,10 +28,15 @@ from .shared import slices, split_words
 
 PER_LABEL, PASSAGES, PASSAGE_WORDS = 400, 3, 40
 _BUCKETS, _AT_ONCE = 1 << 17, 40_000
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 _MUL = np.uint32(0x9E3779B1)
 
 
+def has_letter(word: str) -> bool:
+    """A character of one of Unicode's letter classes; numerals of other shapes (², ½, Ⅷ) are none."""
+    return _ASCII_LETTER.search(word) is not None or any(map(str.isalpha, word))
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every byte n-gram of every word, and where each word's begin. A word has at least its edge marks."""
     marked = [f"\x02{w.lower()}\x03".encode() for w in words]
@@ -207,7 +212,7 @@ def judge(text: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray, n
     """Language, score and number of words of each text."""
     dictionary, codes, ends = split_words(text)
     words = dictionary.to_pylist()
-    lettered = np.fromiter((_LETTER.search(w) is not None for w in words), bool, len(words))
+    lettered = np.fromiter(map(has_letter, words), bool, len(words))
     lens = np.diff(np.concatenate([[0], ends])).astype(np.int64)
     doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
     counted = lettered[codes] if len(codes) else np.zeros(0, bool)
@@ -235,7 +240,12 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.4) -> DataFrame:
-    """The documents, all columns, whose language is told with a score of `least` or more; `und` goes."""
+    """The documents, all columns, whose language is told with a score of `least` or more; `und` goes.
+
+    Without a model (no labelled row to learn from) no language can be told; then only documents without a letter go.
+    """
+    if model is None:
+        return docs.filter(F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches):
         for batch in slices(batches, 4_000_000):

@@ -57,6 +57,8 @@ def test_language_identification(docs):
     assert got[1003].lang_pred == "bb" and 0.9 < got[1003].score <= 1
     mixed = docs((1, " ".join(["lomo palo amolo mola"] * 10 + ["strk krst skrt trsk"] * 10)))
     assert language_crf.predict(mixed, model).first().score < 0.8  # code-switched
+    numerals = language_crf.predict(docs((1, "² ½ ①"), (2, "Ⅷ"), (3, "² é")), model).collect()
+    assert {r.doc_id: r.lang_pred == "und" for r in numerals} == {1: True, 2: True, 3: False}
     blind = docs(*[(i, t, None) for i, t, _ in rows])
     assert {r.lang_pred for r in language_crf.predict(blind, language_crf.train(blind)).collect()} == {"und"}
     assert language_crf.predict(d.limit(0), model).count() == 0
