@@ -77,22 +77,23 @@ def plan(docs: DataFrame, seed: int = 11, **rule) -> DataFrame:
 
     placed = ranked.withColumn("key", known).join(places, ["key", "part"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull()), F.lit(1 << 30)) / float(1 << 30)
-    at = F.col("before") + F.col("rank")
-    copies = F.floor(offset + at * rate) - F.floor(offset + (at - 1) * rate)
-    return placed.select("doc_id", "h", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    # Sums of expectations in whole units of 2**-40 copies, so that places stay exact however many documents a source has.
+    offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull()), F.lit(1 << 30)) * (1 << 10)
+    summed = placed.select("*", *(c.cast("decimal(19,0)").alias(k) for k, c in (("__offset", offset), ("__rate", F.floor(rate * float(1 << 40))), ("__at", F.col("before") + F.col("rank")))))
+    copies = F.expr(f"(__offset + __at * __rate) div {1 << 40} - (__offset + (__at - 1) * __rate) div {1 << 40}")
+    return summed.select("doc_id", "h", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 11, **rule) -> DataFrame:
     """The mixed documents themselves, all their columns, repeats as repeated rows."""
     h = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))
     chosen = plan(docs, seed, **rule).groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__tm_id"), F.col("h").alias("__tm_h")).agg(F.sum("copies").alias("__tm_copies"), F.count("*").alias("__tm_alike"))
-    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("__tm_id"), h.alias("__tm_h"))
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("__tm_id"), h.alias("__tm_h"))
     joined = keyed.join(chosen.filter("__tm_copies > 0"), ["__tm_id", "__tm_h"])
     # Rows alike in id, text and source share their copies: the first of them carry one more when they don't divide evenly.
     k = F.row_number().over(Window.partitionBy("__tm_id", "__tm_h").orderBy(F.lit(1)))
     times = F.floor(F.col("__tm_copies") / F.col("__tm_alike")) + (k <= F.col("__tm_copies") % F.col("__tm_alike")).cast("long")
-    return joined.withColumn("__tm_times", times).filter("__tm_times > 0").withColumn("__tm_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__tm_times")))).select([F.col(c) for c in docs.columns])
+    return joined.withColumn("__tm_times", times).filter("__tm_times > 0").withColumn("__tm_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__tm_times")))).select("row.*")
 
 
 def op6_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

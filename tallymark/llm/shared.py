@@ -114,8 +114,11 @@ def row_key():
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose (doc_id, h) is in kept, each such pair once. One shuffle of docs serves both steps."""
+    """The rows of docs whose (doc_id, h) is in kept, each such pair once. One shuffle of docs serves both steps.
+
+    The rows travel as one struct, so that none of their columns' names can clash with the keys.
+    """
     key_id, key_h = row_key()
     keys = kept.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__tm_id"), F.col("h").alias("__tm_h"))
-    keyed = docs.select("*", key_id, key_h)
-    return keyed.join(keys, ["__tm_id", "__tm_h"], "left_semi").dropDuplicates(["__tm_id", "__tm_h"]).select(docs.columns)
+    keyed = docs.select(F.struct("*").alias("row"), key_id, key_h)
+    return keyed.join(keys, ["__tm_id", "__tm_h"], "left_semi").dropDuplicates(["__tm_id", "__tm_h"]).select("row.*")
