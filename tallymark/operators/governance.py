@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.parsing import address, parse_response
+
 # The gates that a frozen bundle must pass.
 REQUIRED_GATES = (
     "provenance_license", "human_gold", "independent_test_units", "duplicate_audit", "local_validation_selection",
@@ -34,27 +38,132 @@ def resolve_one(refs: DataFrame, candidates: DataFrame) -> DataFrame:
     return joined.select("ref", F.coalesce("n", F.lit(0).cast("long")).alias("candidates"), F.when(F.col("n") == 1, F.col("full_id")).alias("resolved"))
 
 
-def contract(records: DataFrame, labels: list[str]) -> DataFrame:
-    """rule and number of violations of the frozen-input contract."""
-    groups = records.groupBy("group_id").agg(F.count_distinct("split").alias("s")).agg(F.count_if(F.col("s") > 1).alias("n")).select(F.lit("group_in_several_splits").alias("rule"), F.col("n").alias("violations"))
-    counts = records.agg(
-        F.count_if(~F.col("gold_label").isin(labels)).alias("a"), (F.count("*") - F.count_distinct("item_id")).alias("b"),
-        F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").alias("c"), (F.count_if(F.col("split") == "test") == 0).cast("long").alias("e"),
-    )
-    return groups.union(counts.select(F.expr("stack(4, 'label_outside_list', a, 'repeated_item', b, 'empty_text', c, 'no_test_rows', e) as (rule, violations)")))
+# The repeats that each local family must have been fitted for.
+LOCAL_REPEATS = {"majority": 1, "lr": 1, "linear_svc": 1, "gbt": 5, "forest": 5}
+_DIGEST = re.compile(r"[0-9a-f]{64}")
+
+
+def policy_violations(policy: dict, artifacts: dict[str, str]) -> list[tuple[str, str]]:
+    """(rule, subject) of a frozen policy document, from a table of what each field must be. artifacts: frozen path -> SHA-256."""
+    whole = lambda x, least, most=2**63: type(x) is int and least <= x <= most
+    pair = lambda x: isinstance(x, dict) and set(x) == set(policy.get("providers", ()))
+    run, link = policy.get("execution") or {}, policy.get("continuation")
+    sources, ids = policy.get("sources"), policy.get("dataset_ids")
+    table = [
+        ("dataset_ids", isinstance(ids, list) and ids and all(isinstance(i, str) for i in ids) and len(set(ids)) == len(ids)),
+        ("sources", isinstance(sources, dict) and set(policy.get("required_sources", ())) <= set(sources)),
+        ("remote_models", pair(run.get("remote_models")) and all(isinstance(m, str) and m for m in run["remote_models"].values())),
+        ("remote_addresses", pair(run.get("remote_base_urls")) and all(isinstance(u, str) and address(u) for u in run["remote_base_urls"].values())),
+        ("remote_repeats", whole(run.get("remote_repeats"), 3)),
+        ("attempt_limit", whole(run.get("max_http_attempts"), 1, 3)),
+        ("order_seed", whole(run.get("order_seed"), -(2**63))),
+        ("recovery_limit", whole(run.get("max_indeterminate_retries_per_job", 0), 0, 2)),
+        ("workers", run.get("workers") is None or whole(run["workers"], 1, 64)),
+        ("continuation", link is None or isinstance(link, dict) and _DIGEST.fullmatch(str(link.get("parent_bundle_sha256"))) and link["parent_bundle_sha256"] == link.get("journal_protocol_hash")),
+    ]
+    out = [(rule, "policy") for rule, holds in table if not holds]
+    for name, digest in sorted(sources.items()) if isinstance(sources, dict) else ():
+        if not re.fullmatch(r"[A-Za-z_][A-Za-z_0-9]*\.py", name) or not _DIGEST.fullmatch(str(digest)) or artifacts.get(name) != digest:
+            out.append(("source_hash", name))
+    return out
+
+
+def frozen_contract(policy: dict, artifacts: DataFrame, candidates: DataFrame, schemas: DataFrame, reports: DataFrame, records: DataFrame) -> DataFrame:
+    """rule and subject of everything that forbids a run on these frozen inputs; no row: it may begin.
+
+    artifacts: path, sha256 (frozen), actual (now, null: missing). candidates: alias, full_id, labels. schemas: alias, labels.
+    reports: alias, status, test_used, labels, families (family -> number of real fits, null: none selected). records: alias,
+    item_id, split, gold_label, group_id: the only table here that grows with the data; it is read by two aggregations.
+    """
+    spark = records.sparkSession
+    frozen = {r["path"]: r["sha256"] for r in artifacts.select("path", "sha256").collect()}  # a bundle's list of files
+    found = policy_violations(policy, frozen)
+    ids = policy.get("dataset_ids")
+    refs = spark.createDataFrame([(str(i),) for i in ids] if isinstance(ids, list) else [], "ref string")
+    out = [spark.createDataFrame(found, "rule string, subject string")] if found else []
+    out.append(freeze_diff(artifacts.select("path", "sha256"), artifacts.filter("actual is not null").select("path", F.col("actual").alias("sha256"))).select(F.concat(F.lit("artifact_"), "problem").alias("rule"), F.col("path").alias("subject")))
+    resolved = resolve_one(refs, candidates.select("full_id", "alias"))
+    out.append(resolved.filter("resolved is null").select(F.lit("dataset_not_resolved"), "ref"))
+    used = resolved.filter("resolved is not null").groupBy(F.col("resolved").alias("full_id")).agg(F.count("*").alias("n"))
+    out.append(used.filter("n > 1").select(F.lit("dataset_named_twice"), "full_id"))
+    d = candidates.join(used.select("full_id"), "full_id", "left_semi").select("alias", F.col("labels").alias("own"))
+    d = d.join(schemas.select("alias", F.col("labels").alias("schema_labels")), "alias", "left").join(reports.select("alias", "status", "test_used", F.col("labels").alias("report_labels"), "families"), "alias", "left")
+    needs = [F.array_contains(F.array(*map(F.lit, sorted(frozen))), F.concat(F.lit("artifacts/"), F.col("alias"), F.lit(end))) for end in ("/local_models", "/local_dev_report.json")]
+    fits = F.lit(True)
+    for family, n in LOCAL_REPEATS.items():
+        fits = fits & F.coalesce(F.col("families")[family] == n, F.lit(False))
+    rules = [
+        ("schema_labels", ~F.col("schema_labels").eqNullSafe(F.col("own"))),
+        ("model_and_report_frozen", ~(needs[0] & needs[1])),
+        ("report_complete", ~(F.col("status").eqNullSafe(F.lit("complete")) & F.col("test_used").eqNullSafe(F.lit(False)) & F.col("report_labels").eqNullSafe(F.col("own")))),
+        ("report_families", ~fits | ~F.coalesce(F.size("families") == len(LOCAL_REPEATS), F.lit(False))),
+    ]
+    out.append(d.select(_said(rules).alias("rule"), F.col("alias").alias("subject")))
+    test = records.filter("split = 'test'").join(F.broadcast(d.select("alias", "own")), "alias")  # one row a dataset
+    counts = test.groupBy("alias").agg(F.count("*").alias("n"), F.count_if(~F.coalesce(F.array_contains("own", F.col("gold_label")), F.lit(False)) | (F.coalesce("group_id", F.lit("")) == "")).alias("bad"))
+    repeats = test.groupBy("alias", "item_id").agg(F.count("*").alias("k")).filter("k > 1").select("alias").distinct()
+    out.append(d.join(counts, "alias", "left").select(_said([("test_rows", F.coalesce("n", F.lit(0)) == 0), ("test_labels_and_groups", F.col("bad") > 0)]), "alias"))
+    out.append(repeats.select(F.lit("test_ids_repeat"), "alias"))
+    every = out[0]
+    for more in out[1:]:
+        every = every.union(more)
+    return every.toDF("rule", "subject")
+
+
+SHARED = ("attempt", "execution_id", "provider", "request_model", "endpoint", "timeout_seconds", "started_at", "request_body")
+TRANSPORT = ("network_error", "transport_error")
+
+
+def _canonical(body: Column) -> Column:
+    """JSON text with sorted keys and no blanks; null if it is no JSON."""
+    return F.to_json(F.try_parse_json(body))
+
+
+def _said(rules: list[tuple[str, Column]]) -> Column:
+    """One row for every rule that is broken."""
+    return F.explode(F.filter(F.array(*(F.when(F.coalesce(broken, F.lit(False)), name) for name, broken in rules)), lambda x: x.isNotNull()))
 
 
-def audit_chain(jobs: DataFrame, events: DataFrame) -> DataFrame:
-    """Evidence of remote jobs: retry flags fit the attempts, and the last attempt says what the journal says.
+def evidence_chain(jobs: DataFrame, events: DataFrame, labels: list[str], most_attempts: int) -> DataFrame:
+    """job_id, attempt_id and problem of whatever keeps a terminal row's HTTP evidence from being whole.
 
-    jobs: job_id, status; events: also `said`, the status that an attempt's recorded body parses to.
+    jobs: job_id, provider, model, endpoint, body (expected), status, prediction; null status: pending. events: job_id, event_id,
+    attempt_id, phase, finished_at, outcome, said (prediction), http_status, raw_body, duration_ms, wait_seconds, will_retry,
+    retry_reason, error and SHARED. Rules are columns of one table of events, of their pairs and of their sequence; a job's
+    events stand together once, by job_id.
     """
-    last = events.filter("phase = 'started'").groupBy("job_id").agg(F.max("attempt").alias("last"))
-    e = events.filter("phase = 'finished'").drop("status").join(last, "job_id").join(jobs, "job_id")
-    is_last = F.col("attempt") == F.col("last")
-    problem = (
-        F.when((~is_last & ~F.col("will_retry")) | (is_last & F.col("will_retry")), "retry_flag")
-        .when(is_last & F.col("status").isNotNull() & ~F.col("said").eqNullSafe(F.col("status")), "outcome")
-        .when(is_last & (F.col("status") == "valid") & (F.col("http_status") != 200), "http_status")
-    )
-    return e.select("job_id", "attempt_id", problem.alias("problem")).filter("problem is not null")
+    j = jobs.select("job_id", F.col("provider").alias("j_provider"), F.col("model").alias("j_model"), F.col("endpoint").alias("j_endpoint"), _canonical(F.col("body")).alias("j_body"), F.col("status").alias("j_status"), F.col("prediction").alias("j_prediction"))
+    own = Window.partitionBy("job_id").orderBy("event_id")
+    started, finished = F.col("phase") == "started", F.col("phase") == "finished"
+    e = events.join(j, "job_id").withColumn("before", F.lag("phase").over(own))
+    e = e.withColumn("last", F.max_by("attempt_id", F.when(started, F.col("event_id"))).over(Window.partitionBy("job_id")))
+    e = e.withColumn("count", F.count_if(started).over(Window.partitionBy("job_id", "execution_id").orderBy("event_id")))
+    reply = F.when(F.col("http_status").between(200, 299), parse_response(F.col("raw_body"), labels))
+    e = e.withColumn("reply", reply)
+    bad_number = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.col(c) < 0)
+    time = lambda c: F.try_to_timestamp(F.col(c))
+    over = finished & ~F.col("will_retry")
+    is_last = F.col("attempt_id") == F.col("last")
+    rules = [
+        ("identity", (F.coalesce("attempt_id", F.lit("")) == "") | ~F.col("provider").eqNullSafe(F.col("j_provider")) | ~F.col("request_model").eqNullSafe(F.col("j_model")) | ~F.col("endpoint").eqNullSafe(F.col("j_endpoint")) | ~F.coalesce(F.col("timeout_seconds") > 0, F.lit(False))),
+        ("payload", ~_canonical(F.col("request_body")).eqNullSafe(F.col("j_body")) | F.col("j_body").isNull()),
+        ("time", time("started_at").isNull() | (finished & ~F.coalesce(time("finished_at") >= time("started_at"), F.lit(False)))),
+        ("overlap", started & (F.col("before") == "started")),
+        ("number", started & ((F.col("attempt") != F.col("count")) | (F.col("attempt") > most_attempts))),
+        ("metadata", finished & (bad_number("duration_ms") | bad_number("wait_seconds") | F.col("will_retry").isNull() | ~F.coalesce(F.col("http_status").between(100, 599), F.lit(True)))),
+        ("retry", finished & F.col("will_retry") & (F.col("outcome").isNotNull() | (F.coalesce("retry_reason", F.lit("")) == ""))),
+        ("no_outcome", over & F.col("outcome").isNull()),
+        ("transport", over & F.col("http_status").isNull() & ~F.coalesce(F.col("outcome").isin(*TRANSPORT) & (F.col("error") != ""), F.lit(False))),
+        ("response", over & F.col("reply").isNotNull() & (~F.col("outcome").eqNullSafe(F.col("reply.status")) | ~F.col("said").eqNullSafe(F.col("reply.prediction")))),
+        ("http_error", over & ~F.col("http_status").between(200, 299) & ~F.col("outcome").eqNullSafe(F.lit("http_error"))),
+        ("ended_early", over & ~is_last),
+        ("still_open", finished & F.col("will_retry") & is_last & F.col("j_status").isNotNull()),
+        ("journal", over & is_last & F.col("j_status").isNotNull() & (~F.col("outcome").eqNullSafe(F.col("j_status")) | ~F.col("said").eqNullSafe(F.col("j_prediction")))),
+    ]
+    single = e.select("job_id", "attempt_id", _said(rules).alias("problem"))
+    shape = F.struct(*SHARED)
+    pairs = events.groupBy("job_id", "attempt_id").agg(F.count_if(started).alias("s"), F.count_if(finished).alias("f"), (F.min(shape) != F.max(shape)).alias("changed"))
+    paired = pairs.join(jobs.select("job_id", F.col("status").isNotNull().alias("terminal")), "job_id")
+    double = paired.select("job_id", "attempt_id", _said([("unpaired", (F.col("s") != 1) | (F.col("f") > 1) | (F.col("terminal") & (F.col("f") != 1))), ("request_changed", F.col("changed"))]).alias("problem"))
+    none = jobs.filter("status is not null").join(events.select("job_id"), "job_id", "left_anti").select("job_id", F.lit(None).cast("string").alias("attempt_id"), F.lit("no_evidence").alias("problem"))
+    return single.union(double).union(none)

@@ -93,9 +93,17 @@ def audit_counts(records: DataFrame) -> DataFrame:
 
 
 def manifest_hash(records: DataFrame, fields: list[str], by: list[str] = ()) -> DataFrame:
-    """SHA-256 over the sorted hashes of the rows' canonical JSON: equal for equal sets of rows, in any order or partitioning."""
+    """A hash tree over the rows' canonical JSON: equal for equal sets of rows, in any order or partitioning.
+
+    Rows' SHA-256 are sorted and hashed in leaves of one prefix of six hex digits, leaves in nodes of three, nodes in the root, so
+    that no task ever holds more than a leaf's rows or 4096 digests.
+    """
     row = F.sha2(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}), 256)
-    return records.select(*by, row.alias("r")).groupBy(*by).agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("r")), "\n"), 256).alias("manifest_sha256"))
+    level = records.select(*by, row.alias("h"), row.alias("k")).withColumn("n", F.lit(1).cast("long"))
+    for digits in (6, 3, 0):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "\n")
+        level = level.withColumn("p", F.substring("k", 1, digits)).groupBy(*by, "p").agg(F.sha2(joined, 256).alias("h"), F.sum("n").alias("n")).withColumnRenamed("p", "k")
+    return level.select(*by, F.col("n").alias("rows"), F.col("h").alias("manifest_sha256"))
 
 
 def kish(records: DataFrame, by: list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .hygiene import seeded
+from .iterate import cut
+from .matrix import global_rank
 from .metrics import classed
 
 
@@ -39,15 +41,19 @@ def group_vectors(pairs: DataFrame, arm: str) -> DataFrame:
 
 
 def group_draws(groups: DataFrame, iterations: int, seed: str, stratum: str | None = None) -> DataFrame:
-    """iteration, group_id, weight: as many draws with replacement as there are groups (of the stratum), counted."""
-    spark = groups.sparkSession
-    by = [F.col(stratum)] if stratum else [F.lit("all")]
-    w = Window.partitionBy(*by)
-    g = groups.select("group_id", *(c.alias("stratum") for c in by), (F.row_number().over(w.orderBy("group_id")) - 1).alias("place"), F.count("*").over(w).alias("n"))
-    rounds = spark.range(iterations).withColumnRenamed("id", "iteration")
-    draw = rounds.crossJoin(F.broadcast(g)).select("iteration", "stratum", (seeded(seed, F.lit("boot"), F.col("stratum"), F.col("iteration"), F.col("place")) % F.col("n")).alias("place"))
+    """iteration, group_id, weight: as many draws with replacement as there are groups (of the stratum), counted.
+
+    Every group draws for its own place in every iteration, so iterations spread over the groups' tasks and equal draws are
+    counted there before they move.
+    """
+    by = F.col(stratum).cast("string") if stratum else F.lit("all")
+    ranked = global_rank(groups.select("group_id", by.alias("stratum")), ["stratum", "group_id"], "k")
+    sizes = ranked.groupBy("stratum").agg(F.min("k").alias("first"), F.count("*").alias("n"))
+    g = cut(ranked.join(sizes, "stratum").select("group_id", "stratum", (F.col("k") - F.col("first")).alias("place"), "n"))
+    each = g.select("stratum", "place", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))).alias("iteration"))
+    draw = each.select("iteration", "stratum", (seeded(seed, F.lit("boot"), F.col("stratum"), F.col("iteration"), F.col("place")) % F.col("n")).alias("place"))
     counts = draw.groupBy("iteration", "stratum", "place").agg(F.count("*").alias("weight"))
-    return counts.join(F.broadcast(g), ["stratum", "place"]).select("iteration", "group_id", "weight")
+    return counts.join(g, ["stratum", "place"]).select("iteration", "group_id", "weight")
 
 
 def bootstrap(a: DataFrame, b: DataFrame, labels: list[str], iterations: int, seed: str, stratum: str | None = None) -> DataFrame:
@@ -59,7 +65,7 @@ def bootstrap(a: DataFrame, b: DataFrame, labels: list[str], iterations: int, se
     groups = pairs.groupBy("group_id").agg(F.min("gold_label").alias("gold_label"))
     draws = group_draws(groups, iterations, seed, stratum)
     arms = group_vectors(pairs, "a").withColumn("arm", F.lit("a")).union(group_vectors(pairs, "b").withColumn("arm", F.lit("b")))
-    sums = draws.join(F.broadcast(arms), "group_id").groupBy("iteration", "arm", "label").agg(*(F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("gold", "predicted", "tp")))
+    sums = draws.join(arms, "group_id").groupBy("iteration", "arm", "label").agg(*(F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("gold", "predicted", "tp")))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("gold") + F.col("predicted")), F.lit(0.0))
     each = sums.groupBy("iteration", "arm").agg((F.sum("tp") / F.sum("gold")).alias("accuracy"), (F.sum(F.round(f1, 12).cast("decimal(20,12)")).cast("double") / len(labels)).alias("macro_f1"))
     wide = each.groupBy("iteration").agg(*(F.max(F.when(F.col("arm") == k, F.col(m))).alias(f"{m}_{k}") for m in ("accuracy", "macro_f1") for k in "ab"))
@@ -85,14 +91,13 @@ def repeated_groups(pairs: DataFrame) -> DataFrame:
 
 def permutation(pairs: DataFrame, iterations: int, seed: str, exact_up_to: int = 18) -> DataFrame:
     """Sign permutation of the groups' differences in right answers: all signs for up to exact_up_to groups, else a sample of them."""
-    spark = pairs.sparkSession
     d = pairs.groupBy("group_id").agg(F.sum(F.col("right_a").cast("int") - F.col("right_b").cast("int")).alias("d"))
-    d = d.select("d", (F.row_number().over(Window.orderBy("group_id")) - 1).alias("place"))  # one row a group
+    d = cut(global_rank(d, ["group_id"], "k").select("d", (F.col("k") - 1).alias("place")))
     groups = d.count()
     exact = groups <= exact_up_to
-    rounds = spark.range(2**groups if exact else iterations).withColumnRenamed("id", "iteration")
-    sign = F.when(F.expr("shiftright(iteration, place) & 1") == 1, 1).otherwise(-1) if exact else F.when(seeded(seed, F.lit("sign"), F.col("iteration"), F.col("place")) % 2 == 1, 1).otherwise(-1)
-    stats = rounds.crossJoin(F.broadcast(d)).groupBy("iteration").agg(F.abs(F.sum(sign * F.col("d"))).alias("s"))
+    rounds = F.sequence(F.lit(0).cast("long"), F.lit((2**groups if exact else iterations) - 1).cast("long"))
+    sign = F.when(F.expr("shiftright(iteration, cast(place as int)) & 1") == 1, 1).otherwise(-1) if exact else F.when(seeded(seed, F.lit("sign"), F.col("iteration"), F.col("place")) % 2 == 1, 1).otherwise(-1)
+    stats = d.select("d", "place", F.explode(rounds).alias("iteration")).groupBy("iteration").agg(F.abs(F.sum(sign * F.col("d"))).alias("s"))
     observed = d.agg(F.abs(F.sum("d")).alias("observed"), F.sum("d").alias("difference"))
     counted = stats.crossJoin(F.broadcast(observed)).groupBy("observed", "difference").agg(F.count_if(F.col("s") >= F.col("observed")).alias("reached"), F.count("*").alias("draws"))
     p = F.col("reached") / F.col("draws") if exact else (F.col("reached") + 1) / (F.col("draws") + 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import cut
+
 
 def plan(records: DataFrame, dataset: str, models: list[tuple[str, int]]) -> DataFrame:
     """One job per record, model and repeat; job_id is the SHA-256 of the identity list in JSON."""
@@ -18,17 +20,16 @@ def plan(records: DataFrame, dataset: str, models: list[tuple[str, int]]) -> Dat
 def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """1, 2, 3... over the whole order without bringing all rows into one task.
 
-    Rows are ranked inside ranges cut at approximate quantiles of the first order column, a number, and a range's base is the count of the
-    ranges before it; only those counts are ordered in one place.
+    Rows are dealt out by ranges of the whole order, so ties of its first column don't meet in one task, and written once in the
+    checkpoint folder, since ranges cut anew would differ. Within a range rows are numbered; its base is the number of rows in
+    the ranges before, of which there are as many as shuffle partitions.
     """
-    spark = df.sparkSession
-    ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = df.agg(F.percentile_approx(order[0], [i / ranges for i in range(1, ranges)], 10_000).alias("__cuts"))
-    cut = df.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda x: x < F.col(order[0])))).drop("__cuts")
-    sizes = cut.groupBy("__range").agg(F.count("*").alias("__n"))
+    parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = cut(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("__n"))
     base = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    return cut.withColumn("__k", inside).join(F.broadcast(base), "__range").withColumn(name, F.col("__base") + F.col("__k")).drop("__range", "__k", "__base")
+    return placed.withColumn("__k", inside).join(F.broadcast(base), "__range").withColumn(name, F.col("__base") + F.col("__k")).drop("__range", "__k", "__base")
 
 
 def pending(jobs: DataFrame) -> DataFrame:

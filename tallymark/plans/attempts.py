@@ -139,11 +139,19 @@ def plan_ordinal(spark, d):
     return r.select("job_id", (F.col("k") - 1).alias("ordinal"))
 
 
-@query(f"WITH q AS ({_PLAN}) SELECT count(*) AS jobs, count(DISTINCT job_id) AS ids, count(*) FILTER (WHERE item_id IS NULL OR gold_label IS NULL OR group_id IS NULL) AS incomplete, count(*) = count(DISTINCT job_id) AS accepted FROM q")
+@query(f"WITH q AS ({_PLAN}) SELECT job_id, row_number() OVER (ORDER BY item_id, model, repeat) - 1 AS ordinal, model LIKE 'local:%' AS pending FROM q")
 def journal_init(spark, d):
-    p = planned(spark, d)
-    missing = F.col("item_id").isNull() | F.col("gold_label").isNull() | F.col("group_id").isNull()
-    return p.agg(F.count("*").alias("jobs"), F.count_distinct("job_id").alias("ids"), F.count_if(missing).alias("incomplete")).withColumn("accepted", F.col("jobs") == F.col("ids"))
+    """Create a journal, resume it under the same protocol and manifest, and say which jobs are pending."""
+    import uuid
+
+    from ..operators.iterate import shared_dir
+    from ..sources import journal as J
+
+    path, order = f"{shared_dir(spark)}/tallymark/journal-{uuid.uuid4().hex}", ["item_id", "model", "repeat"]
+    J.open_journal(planned(spark, d), path, "protocol-1", order)
+    again = J.open_journal(planned(spark, d).repartition(3), path, "protocol-1", order)
+    left = J.pending(path, again.filter("model like 'remote:%'")).select("job_id", F.lit(True).alias("open"))
+    return again.join(left, "job_id", "left").select("job_id", "ordinal", F.coalesce("open", F.lit(False)).alias("pending"))
 
 
 _SIDES = f"a AS ({_PLAN}), b AS (SELECT job_id, item_id, group_id, model, CASE WHEN item_id % 9 = 0 THEN repeat + 1 ELSE repeat END AS repeat, gold_label FROM a WHERE item_id % 5 <> 0)"
@@ -284,18 +292,68 @@ def schema_match(spark, d):
     return records(spark, d).groupBy("split").agg(F.array_sort(F.collect_set("gold_label")).alias("got")).select("split", (F.col("got") == want).alias("matches"))
 
 
-@query("WITH s AS (SELECT group_id, count(DISTINCT split) AS splits FROM records GROUP BY ALL) SELECT 'group_in_several_splits' AS rule, count(*) FILTER (WHERE splits > 1) AS violations FROM s UNION ALL SELECT 'label_outside_list', count(*) FROM records WHERE gold_label NOT IN ('good', 'poor', 'toxic', 'rare') UNION ALL SELECT 'repeated_item', count(*) - count(DISTINCT item_id) FROM records UNION ALL SELECT 'empty_text', count(*) FROM records WHERE trim(coalesce(text, '')) = '' UNION ALL SELECT 'no_test_rows', (count(*) FILTER (WHERE split = 'test') = 0)::INT::BIGINT FROM records")
+@query("""WITH d AS (SELECT source AS alias, gold_label, group_id, item_id FROM (SELECT *, group_id AS source FROM records) WHERE split = 'test'), s AS (SELECT DISTINCT group_id AS alias FROM records)
+SELECT 'test_rows' AS rule, alias AS subject FROM s WHERE alias NOT IN (SELECT alias FROM d) UNION ALL SELECT DISTINCT 'test_labels_and_groups', alias FROM d WHERE gold_label NOT IN ('good', 'poor')
+UNION ALL SELECT 'schema_labels', min(alias) FROM s UNION ALL SELECT 'report_families', max(alias) FROM s UNION ALL SELECT 'dataset_not_resolved', 'nowhere' UNION ALL SELECT 'remote_repeats', 'policy' UNION ALL SELECT 'source_hash', 'other.py'
+UNION ALL SELECT 'artifact_changed', 'run.py' UNION ALL SELECT 'artifact_missing', 'lost.json'""")
 def contract_violations(spark, d):
-    from ..operators.governance import contract
-
-    return contract(records(spark, d), ["good", "poor", "toxic", "rare"])
-
-
-@query("""WITH b AS (SELECT a.*, CASE WHEN event_id % 71 = 0 THEN 'tampered' ELSE status END AS said FROM attempts a), l AS (SELECT job_id, max(attempt) AS last FROM b WHERE phase = 'started' GROUP BY ALL),
-v AS (SELECT b.job_id, b.attempt_id, CASE WHEN attempt < last AND NOT will_retry THEN 'retry_flag' WHEN attempt = last AND will_retry THEN 'retry_flag' WHEN attempt = last AND o.status IS NOT NULL AND said IS DISTINCT FROM o.status THEN 'outcome' WHEN attempt = last AND o.status = 'valid' AND http_status <> 200 THEN 'http_status' END AS problem FROM b JOIN l USING (job_id) JOIN outcomes o ON o.job_id = b.job_id WHERE phase = 'finished')
-SELECT * FROM v WHERE problem IS NOT NULL""")
+    """A bundle over the records, one dataset a source: some of its rules are broken on purpose, those about test rows by the data."""
+    from ..operators.governance import LOCAL_REPEATS, frozen_contract
+
+    r = records(spark, d).withColumn("alias", F.col("group_id"))
+    names = sorted(x["alias"] for x in r.select("alias").distinct().collect())  # the sources
+    digest, own = "a" * 64, ["good", "poor"]
+    policy = {
+        "providers": ["j", "g"], "required_sources": ["run.py"], "dataset_ids": [*names, "nowhere"], "sources": {"run.py": digest, "other.py": digest},
+        "execution": {"remote_models": {"j": "m1", "g": "m2"}, "remote_base_urls": {"j": "https://j.example/v1", "g": "https://g.example"}, "remote_repeats": 2, "max_http_attempts": 3, "order_seed": 7},
+    }
+    files = [("run.py", digest, "b" * 64), ("lost.json", digest, None), *((f"artifacts/{n}/{end}", digest, digest) for n in names for end in ("local_models", "local_dev_report.json"))]
+    families = lambda n: {k: v - (k == "gbt" and n == names[-1]) for k, v in LOCAL_REPEATS.items()}
+    return frozen_contract(
+        policy, spark.createDataFrame(files, "path string, sha256 string, actual string"), spark.createDataFrame([(n, f"set:{n}", own) for n in names], "alias string, full_id string, labels array<string>"),
+        spark.createDataFrame([(n, own[::-1] if n == names[0] else own) for n in names], "alias string, labels array<string>"), spark.createDataFrame([(n, "complete", False, own, families(n)) for n in names], "alias string, status string, test_used boolean, labels array<string>, families map<string, int>"), r,
+    )
+
+
+# Evidence of the remote jobs, worded alike for Spark and DuckDB. Each modulus tampers with one thing.
+_JOBS = """SELECT job_id, item_id, 'remote' AS provider, model, 'https://h/v1/chat/completions' AS endpoint, '{"item":' || item_id || ',"kind":"x"}' AS body,
+  CASE WHEN status IS NULL THEN NULL WHEN item_id % 59 = 0 THEN 'execution_error' WHEN status = 'valid' AND prediction = 'unlisted' THEN 'invalid_label' ELSE status END AS status,
+  CASE WHEN status = 'valid' AND prediction <> 'unlisted' THEN prediction END AS prediction FROM outcomes WHERE model LIKE 'remote:%'"""
+_EVIDENCE = """SELECT a.job_id, a.event_id, a.attempt_id, a.phase, a.execution_id, a.model AS request_model, 'https://h/v1/chat/completions' AS endpoint, a.will_retry, a.duration_ms, a.wait_seconds AS planned_wait,
+  CASE WHEN a.item_id % 37 = 0 THEN a.attempt + 1 ELSE a.attempt END AS attempt,
+  CASE WHEN a.item_id % 41 = 0 AND a.phase = 'finished' THEN 'other' ELSE 'remote' END AS provider,
+  CASE WHEN a.item_id % 61 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(30 AS DOUBLE) END AS timeout_seconds,
+  CASE WHEN a.item_id % 43 = 0 THEN '{"item":0,"kind":"x"}' ELSE '{"kind": "x", "item": ' || a.item_id || '}' END AS request_body,
+  '2026-01-01T00:00:05' AS started_at, CASE WHEN a.phase = 'started' THEN NULL WHEN a.item_id % 47 = 0 THEN '2026-01-01T00:00:04' ELSE '2026-01-01T00:00:06' END AS finished_at,
+  CASE WHEN a.http_status = 429 AND a.item_id % 67 = 0 THEN 700 ELSE a.http_status END AS http_status,
+  CASE WHEN a.phase = 'started' THEN NULL WHEN a.item_id % 71 = 0 THEN CAST(-1 AS DOUBLE) ELSE coalesce(a.wait_seconds, CAST(0 AS DOUBLE)) END AS wait_seconds,
+  CASE WHEN a.will_retry AND a.item_id % 73 <> 0 THEN 'rate' END AS retry_reason, CASE WHEN o.status = 'network_error' AND a.item_id % 5 <> 0 THEN 'reset' END AS error,
+  CASE WHEN a.phase = 'finished' AND NOT a.will_retry THEN CASE WHEN a.item_id % 53 = 0 THEN 'refusal' WHEN o.status = 'valid' AND o.prediction <> 'unlisted' THEN 'valid' WHEN o.status = 'valid' OR o.status IS NULL THEN 'invalid_label' ELSE o.status END END AS outcome,
+  CASE WHEN a.phase = 'finished' AND NOT a.will_retry AND o.status = 'valid' AND o.prediction <> 'unlisted' THEN o.prediction END AS said,
+  CASE WHEN a.http_status = 200 THEN CASE WHEN o.status = 'refusal' THEN '{"refusal": true}' WHEN o.status = 'malformed_response' THEN 'x' ELSE '{"prediction": "' || coalesce(o.prediction, 'none') || '"}' END END AS raw_body
+FROM attempts a JOIN outcomes o ON o.job_id = a.job_id"""
+_BROKEN = {
+    "identity": "provider <> 'remote' OR request_model <> j_model OR timeout_seconds <= 0", "payload": "item_id % 43 = 0 AND item_id <> 0", "time": "phase = 'finished' AND finished_at < started_at", "overlap": "phase = 'started' AND before = 'started'",
+    "number": "phase = 'started' AND (attempt <> seen OR attempt > 3)", "metadata": "phase = 'finished' AND (wait_seconds < 0 OR http_status > 599)", "retry": "will_retry AND retry_reason IS NULL",
+    "transport": "final AND http_status IS NULL AND NOT coalesce(outcome = 'network_error' AND error <> '', false)", "response": "final AND http_status = 200 AND (outcome IS DISTINCT FROM parsed OR said IS DISTINCT FROM parsed_label)",
+    "http_error": "final AND http_status <> 200 AND outcome <> 'http_error'", "ended_early": "final AND attempt_id <> last_id", "still_open": "will_retry AND attempt_id = last_id AND j_status IS NOT NULL", "journal": "final AND attempt_id = last_id AND j_status IS NOT NULL AND (outcome <> j_status OR said IS DISTINCT FROM j_label)",
+}
+
+
+@query(f"""WITH j AS ({_JOBS}), ev AS ({_EVIDENCE}), x AS (
+  SELECT ev.*, j.item_id, j.model AS j_model, j.status AS j_status, j.prediction AS j_label, coalesce(phase = 'finished' AND NOT will_retry, false) AS final, lag(phase) OVER w AS before, max_by(CASE WHEN phase = 'started' THEN attempt_id END, CASE WHEN phase = 'started' THEN event_id END) OVER (PARTITION BY ev.job_id) AS last_id,
+    count(*) FILTER (WHERE phase = 'started') OVER (PARTITION BY ev.job_id, execution_id ORDER BY event_id) AS seen, CASE WHEN raw_body = 'x' THEN 'malformed_response' WHEN raw_body LIKE '%refusal%' THEN 'refusal' WHEN raw_body LIKE '%"good"%' OR raw_body LIKE '%"poor"%' OR raw_body LIKE '%"toxic"%' THEN 'valid' ELSE 'invalid_label' END AS parsed,
+    CASE WHEN regexp_matches(raw_body, '"(good|poor|toxic)"') THEN regexp_extract(raw_body, '"(good|poor|toxic)"', 1) END AS parsed_label
+  FROM ev JOIN j ON j.job_id = ev.job_id WINDOW w AS (PARTITION BY ev.job_id ORDER BY event_id)),
+p AS (SELECT ev.job_id, attempt_id, count(*) FILTER (WHERE phase = 'started') AS s, count(*) FILTER (WHERE phase = 'finished') AS f, bool_or(j.status IS NOT NULL) AS terminal, count(DISTINCT ev.provider) AS providers FROM ev JOIN j ON j.job_id = ev.job_id GROUP BY ALL)
+SELECT problem, count(*) AS n FROM (
+{" UNION ALL ".join(f"SELECT '{name}' AS problem FROM x WHERE {test}" for name, test in _BROKEN.items())}
+UNION ALL SELECT 'unpaired' FROM p WHERE s <> 1 OR f > 1 OR (terminal AND f <> 1) UNION ALL SELECT 'request_changed' FROM p WHERE providers > 1
+UNION ALL SELECT 'no_evidence' FROM j WHERE status IS NOT NULL AND job_id NOT IN (SELECT job_id FROM ev)) GROUP BY ALL""")
 def audit_chain(spark, d):
-    from ..operators.governance import audit_chain as chain
+    """How many events, attempts and jobs break each rule of the evidence."""
+    from ..operators.governance import evidence_chain
 
-    a = attempts(spark, d).withColumn("said", F.when(F.col("event_id") % 71 == 0, "tampered").otherwise(F.col("status")))
-    return chain(outcomes(spark, d).select("job_id", "status"), a)
+    frames = {"attempts": attempts(spark, d), "outcomes": outcomes(spark, d)}
+    worded = lambda q: spark.sql(q.replace("{", "{{").replace("}", "}}").replace("FROM attempts", "FROM {attempts}").replace("FROM outcomes", "FROM {outcomes}").replace("JOIN outcomes", "JOIN {outcomes}"), **{k: v for k, v in frames.items() if k in q})
+    return evidence_chain(worded(_JOBS), worded(_EVIDENCE), ["good", "poor", "toxic"], 3).groupBy("problem").agg(F.count("*").alias("n"))

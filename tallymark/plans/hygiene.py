@@ -82,7 +82,7 @@ def audit_counts(spark, d):
     return H.audit_counts(base(spark, d))
 
 
-@query(f"WITH {_R}, h AS (SELECT split, sha256('{{\"group_id\":\"' || group_id || '\",\"id\":' || id || ',\"label\":\"' || label || '\"}}') AS h FROM r) SELECT split, count(*) AS rows, sha256(string_agg(h, chr(10) ORDER BY h)) AS manifest_sha256 FROM h GROUP BY ALL")
+@query(f"WITH {_R}, h AS (SELECT split, sha256('{{\"group_id\":\"' || group_id || '\",\"id\":' || id || ',\"label\":\"' || label || '\"}}') AS h FROM r) , l AS (SELECT split, substr(h, 1, 6) AS k, sha256(string_agg(h, chr(10) ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY ALL), m AS (SELECT split, substr(k, 1, 3) AS p, sha256(string_agg(h, chr(10) ORDER BY k)) AS h, sum(n) AS n FROM l GROUP BY ALL) SELECT split, sum(n)::BIGINT AS rows, sha256(string_agg(h, chr(10) ORDER BY p)) AS manifest_sha256 FROM m GROUP BY ALL")
 def manifest_hash(spark, d):
     return H.manifest_hash(base(spark, d), ["id", "group_id", "label"], ["split"])
 

@@ -164,6 +164,73 @@ def scan_jsonl(spark, d):
     return lines.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
+def _folder(spark, name):
+    """A new folder beside the checkpoints, where the queries below put the files that they read."""
+    import uuid
+
+    from ..operators.iterate import shared_dir
+
+    return f"{shared_dir(spark)}/tallymark/{name}-{uuid.uuid4().hex}"
+
+
+def run_files(spark, d, folder):
+    """One file a region, like a saved run: its nations as results, gold included. One run is incomplete and one is no JSON."""
+    n = table(spark, d, "nation").withColumn("gold", F.when(F.col("n_nationkey") % 2 == 0, "even").otherwise("odd"))
+    result = F.struct(F.col("n_nationkey").alias("id"), F.struct(F.col("n_name").alias("text")).alias("input"), "gold", F.lit("even").alias("prediction"))
+    runs = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(result)).alias("results"))  # 25 nations at every size
+    body = F.to_json(F.struct(F.col("n_regionkey").alias("run_id"), F.when(F.col("n_regionkey") != 3, F.col("results")).alias("results")), {"pretty": "true"})
+    text = runs.select(F.col("n_regionkey").alias("run"), F.when(F.col("n_regionkey") == 4, "{broken").otherwise(body).alias("value"))
+    text.repartition("run").write.partitionBy("run").text(folder)
+    return folder
+
+
+_RUN = "run_id long, results array<struct<id: long, input: struct<text: string>, gold: string, prediction: string>>"
+
+
+@query("SELECT n_regionkey AS run_id, count(*) AS results FROM nation WHERE n_regionkey = 1 GROUP BY ALL")
+def scan_json_doc(spark, d):
+    """A whole-document read, and the tolerant form of a broken document, which gives no row."""
+    folder = run_files(spark, d, _folder(spark, "runs"))
+    good, broken = S.read_json_doc(spark, f"{folder}/run=1", _RUN), S.read_json_doc(spark, f"{folder}/run=4", _RUN, tolerant=True)
+    return good.union(broken).select("run_id", F.size("results").cast("long").alias("results"))
+
+
+def _saved(spark, d):
+    from pyspark.sql import types as T
+
+    return S.read_saved_runs(spark, f"{run_files(spark, d, _folder(spark, 'runs'))}/run=*", T.StructType.fromDDL(_RUN))
+
+
+@query("SELECT n_regionkey AS run_id, count(*) AS results FROM nation WHERE n_regionkey < 3 GROUP BY ALL")
+def scan_saved_runs(spark, d):
+    return _saved(spark, d).orderBy("mtime").select("run_id", F.size("results").cast("long").alias("results"))
+
+
+@query("SELECT n_regionkey AS run_id, n_nationkey AS id, n_name AS text, CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS gold, 'even' AS prediction, n_nationkey % 2 = 0 AS correct FROM nation WHERE n_regionkey < 3")
+def saved_run_view(spark, d):
+    v = S.saved_run_view(_saved(spark, d))
+    return v.select("run_id", "id", "input.text", "input.gold", "prediction", (F.col("prediction") == F.col("input.gold")).alias("correct"))
+
+
+@query("SELECT n_nationkey, sha256(n_name || chr(10)) AS sha256, length(n_name) + 1 AS bytes FROM nation")
+def artifact_hash(spark, d):
+    folder = _folder(spark, "artifacts")
+    table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(folder)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/*").select("path").collect()  # one file a nation
+    names = ["/".join(r["path"].split("/")[-2:]) for r in found]
+    a = S.artifact_hashes(spark, folder, names)
+    return a.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("long").alias("n_nationkey"), "sha256", F.col("bytes").cast("long").alias("bytes"))
+
+
+@query("""SELECT conv_id, turn, '{"token": "[REDACTED]", "note": "Bearer [REDACTED] said [REDACTED]", "inner": "{\\"api_key\\": \\"[REDACTED]\\", \\"k\\": ' || turn || '}"}' AS redacted FROM conversations""")
+def redact_json(spark, d):
+    """Credentials of nested bodies: by key, wherever else they occur, in JSON inside strings and behind Bearer."""
+    k = F.concat_ws("-", "conv_id", "turn")
+    inner = F.concat(F.lit('{"api_key": "in'), k, F.lit('", "k": '), F.col("turn").cast("string"), F.lit("}"))
+    body = F.to_json(F.struct(F.concat(F.lit("tok"), k).alias("token"), F.concat(F.lit("Bearer b"), k, F.lit(" said tok"), k).alias("note"), inner.alias("inner")))
+    return table(spark, d, "conversations").select("conv_id", "turn", P.redacted_json(body).alias("redacted"))
+
+
 @query("SELECT doc_id, quality * 2 + toxic AS human_grade, quality * 2 + toxic >= 2 AS binary_relevant FROM labels")
 def scan_validated(spark, d):
     grade = F.col("quality") * 2 + F.col("toxic")
@@ -194,10 +261,12 @@ def catalog_lookup(spark, d):
     return S.lookup(table(spark, d, "region").select(F.col("r_name").alias("id"), F.col("r_regionkey").alias("n")), "ASIA")
 
 
-@query("SELECT item_id, '{\"text\":' || to_json(text) || '}' AS input FROM records WHERE trim(text) <> ''")
+@query("""SELECT item_id, 'classification' AS task, '{"text":' || to_json(text) || '}' AS input FROM records WHERE trim(text) <> ''
+UNION ALL SELECT item_id, 'relevance', '{"query":' || to_json('find item ' || item_id) || ',"passage":' || to_json(text) || '}' FROM benchmark""")
 def input_whitelist(spark, d):
-    r = records(spark, d).filter(F.trim("text") != "")
-    return r.select("item_id", F.to_json(F.struct("text")).alias("input"))
+    texts = records(spark, d).filter(F.trim("text") != "").select("item_id", F.lit("classification").alias("task"), P.task_input("classification").alias("input"))
+    pairs = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("find item "), F.col("item_id").cast("string")).alias("query"), F.col("text").alias("passage"), F.lit("gold").alias("label"))
+    return texts.union(pairs.select("item_id", F.lit("relevance").alias("task"), P.task_input("relevance").alias("input")))
 
 
 @query("SELECT conv_id, turn, concat_ws(' ', role, CASE WHEN turn % 2 = 0 THEN text END) AS record_text FROM conversations")
@@ -243,7 +312,16 @@ def regex_match(spark, d):
 
 @query("SELECT model, count(*) AS labelled, round(avg(coalesce(prediction = gold_label, false)::INT), 6) AS accuracy, list_sort(list(latency_ms))[least(count(latency_ms) - 1, floor(count(latency_ms) * 0.95)::BIGINT) + 1] AS p95_nearest, CASE WHEN count(*) = count(latency_ms) THEN round(sum(latency_ms), 6) END AS total_cost FROM outcomes WHERE repeat = 0 GROUP BY ALL")
 def ui_fallback(spark, d):
+    from pyspark.sql import Window
+
     o = outcomes(spark, d).filter("repeat = 0")
-    n = F.count("latency_ms")
-    at = F.least(n - 1, F.floor(n * 0.95)).cast("int")
-    return o.groupBy("model").agg(F.count("*").alias("labelled"), F.round(F.avg(F.coalesce(F.col("prediction") == F.col("gold_label"), F.lit(False)).cast("int")), 6).alias("accuracy"), F.get(F.array_sort(F.collect_list("latency_ms")), at).alias("p95_nearest"), F.when(F.count("*") == n, F.round(F.sum("latency_ms"), 6)).alias("total_cost"))
+    # One row for every model and latency: what is ordered per model are different values, not rows.
+    hit = F.coalesce(F.col("prediction") == F.col("gold_label"), F.lit(False)).cast("int")
+    values = o.groupBy("model", "latency_ms").agg(F.count("*").alias("rows"), F.sum(hit).alias("hits"))
+    own, known = Window.partitionBy("model"), F.when(F.col("latency_ms").isNotNull(), F.col("rows")).otherwise(0)
+    upto = F.sum(known).over(own.orderBy(F.col("latency_ms").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    v = values.withColumn("n", F.sum(known).over(own)).withColumn("upto", upto)
+    at = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
+    p95 = F.max(F.when(F.col("latency_ms").isNotNull() & (F.col("upto") - F.col("rows") <= at) & (at < F.col("upto")), F.col("latency_ms")))
+    cost = F.when(F.sum("rows") == F.max("n"), F.round(F.sum(F.col("latency_ms") * F.col("rows")), 6))
+    return v.groupBy("model").agg(F.sum("rows").alias("labelled"), F.round(F.sum("hits") / F.sum("rows"), 6).alias("accuracy"), p95.alias("p95_nearest"), cost.alias("total_cost"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,12 @@ def read_saved_runs(spark: SparkSession, pattern: str, schema: T.StructType) ->
     return runs.select("*", F.col("_metadata.file_modification_time").alias("mtime")).filter("_corrupt_record is null and results is not null").drop("_corrupt_record")
 
 
+def saved_run_view(runs: DataFrame) -> DataFrame:
+    """One row a result of each run; gold is moved into the input, where a display looks for it."""
+    each = runs.select("run_id", F.posexplode("results").alias("position", "r"))
+    return each.select("run_id", "position", "r.id", F.col("r.input").withField("gold", F.col("r.gold")).alias("input"), "r.prediction")
+
+
 def artifact_hashes(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
     """path, sha256 and bytes of artifacts inside root; paths that leave it and credential files are refused."""
     for name in names:
@@ -43,7 +51,9 @@ def artifact_hashes(spark: SparkSession, root: str, names: list[str]) -> DataFra
     if not names or len(set(names)) != len(names):
         raise ValueError("artifact names must be unique, and there must be some")
     files = spark.read.format("binaryFile").load([f"{root}/{n}" for n in names])
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    own = "/" + re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "", root).strip("/") + "/"
+    inside = F.col("path").substr(F.locate(own, F.col("path")) + len(own), F.char_length("path"))
+    return files.select(inside.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
 def balanced_records(spark: SparkSession, prefix: str, templates: dict[str, list[str]], suffixes: list[str]) -> DataFrame:

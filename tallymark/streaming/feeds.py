@@ -32,21 +32,25 @@ def windowed_counts(events: DataFrame, width: str = "10 minutes", delay: str = "
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "phase").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "phase", "n")
 
 
-def upsert_terminals(events: DataFrame, table: str, checkpoint: str, **trigger) -> StreamingQuery:
+def upsert_terminals(events: DataFrame, table: str, checkpoint: str, buckets: int = 256, **trigger) -> StreamingQuery:
     """Keep a Parquet folder of terminal rows where the first write of a job wins, across batches and restarts.
 
     A batch is reduced to one row a job, anti-joined with what is there, and appended under its batch id: a batch that is run
-    again after a failure replaces its own part.
+    again after a failure replaces its own part. Rows lie in buckets of a hash of their job, and a batch reads only the ids in
+    the buckets that its own jobs fall into: with many jobs a batch, choose more buckets.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        first = batch.filter("phase = 'finished' and not will_retry").groupBy("job_id").agg(F.min_by(F.struct("event_id", "outcome"), "event_id").alias("e")).select("job_id", "e.*")
+        first = batch.filter("phase = 'finished' and not will_retry").groupBy("job_id").agg(F.min_by(F.struct("event_id", "outcome"), "event_id").alias("e")).select("job_id", "e.*").withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")).persist()
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
         if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            earlier = spark.read.parquet(table).filter(F.col("batch") < batch_id).select("job_id")
-            first = first.join(earlier, "job_id", "left_anti")
-        first.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+            touched = [r["bucket"] for r in first.select("bucket").distinct().collect()]  # `buckets` numbers at most
+            earlier = spark.read.schema("job_id string, event_id long, outcome string, batch long, bucket int").parquet(table).filter(F.col("bucket").isin(touched) & (F.col("batch") < batch_id)).select("bucket", "job_id")
+            first.join(earlier, ["bucket", "job_id"], "left_anti").repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        else:
+            first.repartition("bucket").write.partitionBy("bucket").parquet(f"{table}/batch={batch_id}")
+        first.unpersist()
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "3 seconds"})).start()
 
