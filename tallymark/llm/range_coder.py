@@ -1,99 +1,106 @@
 """Op 1's codec: an adaptive context-mixing range coder over token ids, run over many blocks in step.
 
-A block starts from nothing, so it can be decoded alone. Three models predict the next id: order 2 and order 1 remember the
-id that last followed the context and how often it held, order 0 knows how often that id came up in the block. A logistic
-mixer with learned weights turns their confidences into the probability that the candidate is right, and the range coder
-codes that yes or no. After a no, order 0 codes the id itself as two adaptive bytes. All arithmetic is on integers, so that
-encoder and decoder agree on any machine. Blocks are the lanes of numpy vectors: each step handles one id of every block.
+The chance of the next id x is a mixture of three predictions:
+
+    P(x) = w2 [x is the id order 2 expects] + w1 [x is the id order 1 expects] + w0 P0(x)
+
+Order 2 and order 1 remember the id that last followed the last two ids or the last id, and how well that held; order 0, P0,
+is the distribution of ids in the shard, which the shard's head carries. The weights adapt: each pair of confidences, and
+whether both orders expect the same id, has its own, moved towards what turned out right. One step of the range coder codes an id
+whole, by its share of the mixture. All arithmetic is on integers, so encoder and decoder agree on any machine.
+
+Blocks start from empty orders 2 and 1 and from the same weights, so each is decoded alone (with the head), and each has a
+checksum. Blocks are the lanes of numpy vectors: each step handles one id of every block.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
 
 BLOCK = 4096
-_SLOTS = 1024  # of each context table
-_LO = 8  # contexts of the low byte
-_TOP = 1 << 14  # frequencies of a byte model sum to this
-_STRETCH = np.round(np.log(np.arange(1, 8192, 2) / (8192 - np.arange(1, 8192, 2))) * 256).astype(np.int64)
-_SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 32, 4064).astype(np.int64)
-
-
-class _Models:
-    """The adaptive state of `n` lanes; the same calls in the same order on both sides."""
+MOST_IDS = 1 << 16
+_BITS = 20  # frequencies of order 0 sum to 2**20
+_SLOTS = 2048  # of each context table
+_PART, _PART_MASK = np.uint64(21), np.uint64((1 << 21) - 1)
+_ONE, _MOST = 4096, 4032  # weights sum to _ONE, and orders 2 and 1 get _MOST at most
+
+
+def head(ids: np.ndarray) -> bytes:
+    """Order 0: the ids that occur and their frequencies out of 2**20, each 1 at least, as deltas and numbers under zlib."""
+    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < MOST_IDS:
+        raise ValueError(f"ids must be from 0 to {MOST_IDS - 1}")
+    counts = np.bincount(ids, minlength=1)
+    used = np.flatnonzero(counts)
+    room = (1 << _BITS) - len(used)
+    share = np.cumsum(counts[used]) * room // max(int(counts.sum()), 1)
+    freq = np.diff(share, prepend=0) + 1
+    return zlib.compress(struct.pack("<I", len(used)) + np.diff(used, prepend=0).astype("<u2").tobytes() + freq.astype("<u4").tobytes(), 9)
+
+
+class _Order0:
+    def __init__(self, data: bytes):
+        raw = zlib.decompress(data)
+        (n,) = struct.unpack_from("<I", raw)
+        used = np.cumsum(np.frombuffer(raw, "<u2", n, 4).astype(np.int64))
+        freq = np.frombuffer(raw, "<u4", n, 4 + 2 * n).astype(np.uint64)
+        #: begin << 21 | frequency of every id; a frequency may be the whole 2**20.
+        self.parts = np.zeros(MOST_IDS, np.uint64)
+        self.parts[used] = (np.cumsum(freq) - freq) << _PART | freq
+        self.used, self.sizes = used, freq.astype(np.int64)
+
+    def inverse(self) -> np.ndarray:
+        """The id at each place of the 2**20."""
+        return np.repeat(self.used, self.sizes).astype(np.int32)
+
+
+class _Contexts:
+    """The adaptive state of `n` lanes; the same calls in the same order on both sides. Row 0 is order 2, row 1 order 1."""
 
     def __init__(self, n: int):
-        self.n, self.lane = n, np.arange(n)
-        self.two = np.zeros(n * _SLOTS, np.int32)  # id * 8 + confidence
-        self.one = np.zeros(n * _SLOTS, np.int32)
-        self.seen = np.zeros(n * _SLOTS, np.uint8)
-        self.p = np.full(n * 32, 2048, np.int32)  # chance that a prediction of this order and confidence holds
-        self.w = np.full((3, n), 24_000, np.int64)
-        self.a = np.zeros(n, np.int64)
-        self.b = np.zeros(n, np.int64)
-        self.hi = np.ones((n, 256), np.int32)
-        self.lo = np.ones((n * _LO, 256), np.int32)
-        self.rebuild()
-
-    def rebuild(self) -> None:
-        """Cumulative frequencies from the counts so far; every symbol keeps at least 1."""
-        self.cum_hi, self.cum_lo = (self._cum(x) for x in (self.hi, self.lo))
-
-    @staticmethod
-    def _cum(counts: np.ndarray) -> np.ndarray:
-        cum = np.zeros((len(counts), 257), np.int32)
-        np.cumsum(counts, axis=1, out=cum[:, 1:])
-        cum = cum * (_TOP - 256) // cum[:, 256:]
-        cum += np.arange(257, dtype=np.int32)
-        return cum.reshape(-1)
-
-    def predict(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """For the first k lanes: the candidate id and its probability of 4096."""
-        lane = self.lane[:k]
-        a, b = self.a[:k], self.b[:k]
-        self.s2 = lane * _SLOTS + (((a * 40_503 + b * 9_973) >> 3) & (_SLOTS - 1))
-        self.s1 = lane * _SLOTS + (((b * 40_503) >> 4) & (_SLOTS - 1))
-        e2, e1 = self.two.take(self.s2), self.one.take(self.s1)
-        self.i2, self.i1, c2, c1 = e2 >> 3, e1 >> 3, e2 & 7, e1 & 7
-        self.c2, self.c1 = c2, c1
-        cand = np.where(c2 >= np.minimum(c1, 1), self.i2, self.i1)
-        self.s0 = lane * _SLOTS + (cand & (_SLOTS - 1))
-        own = lane * 32
-        self.k2 = own + c2 + 8 * (self.i2 != cand)  # an order that says otherwise speaks against the candidate
-        self.k1 = own + c1 + 16 + 8 * (self.i1 != cand)
-        self.k0 = self.seen.take(self.s0)
-        self.x = x = np.stack([_STRETCH.take(self.p.take(self.k2)), _STRETCH.take(self.p.take(self.k1)), self.k0.astype(np.int64) * 32 - 256])
-        w = self.w
-        mixed = (x[0] * w[0, :k] + x[1] * w[1, :k] + x[2] * w[2, :k]) >> 16
-        self.pr = _SQUASH.take(mixed + 2048, mode="clip")
-        return cand, self.pr
-
-    def learn(self, k: int, ids: np.ndarray, hit: np.ndarray) -> None:
-        for slot in (self.k2, self.k1):
-            p = self.p.take(slot)
-            self.p[slot] = p + ((hit * 4095 - p) >> 5)
-        self.w[:, :k] += (self.x * (hit * 4096 - self.pr)) >> 10
-        for table, slot, i, c in ((self.two, self.s2, self.i2, self.c2), (self.one, self.s1, self.i1, self.c1)):
-            same = i == ids
-            table[slot] = np.where(same, i * 8 + np.minimum(c + 1, 7), np.where(c > 1, i * 8 + (c >> 1), ids * 8 + 1))
-        s = self.lane[:k] * _SLOTS + (ids & (_SLOTS - 1))
-        self.seen[s] = np.minimum(self.seen.take(s), 14) + 1
-        self.a[:k] = self.b[:k]
-        self.b[:k] = ids
-
-    def low_table(self, lanes: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return lanes * _LO + (hi & (_LO - 1))
-
-    def count(self, lanes: np.ndarray, ids: np.ndarray) -> None:
-        hi = ids >> 8
-        self.hi[lanes, hi] += 24
-        self.lo[self.low_table(lanes, hi), ids & 255] += 24
-
-
-def _due(t: int) -> bool:
-    return t in (32, 64, 128, 256) or t % 512 == 0
+        lane = np.arange(n)
+        self.slots = np.stack([lane * _SLOTS, (n + lane) * _SLOTS])
+        self.own = lane * 128
+        self.seen = np.zeros(2 * n * _SLOTS, np.int32)  # id * 8 + confidence
+        self.before = np.zeros(n, np.int64)  # the hash of the id before the last
+        sure = np.arange(128)
+        c2, c1, same = sure >> 4, sure >> 1 & 7, sure & 1
+        first = np.where(c2 > 0, 256 + 420 * c2, 0)
+        second = np.where((c1 > 0) & (same == 0), np.minimum(64 + 90 * c1, _MOST - first), 0)
+        self.weights = np.tile((first << 16 | second).astype(np.int32), n)  # of order 2 above, of order 1 below
+
+    def expect(self, k: int, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the first k lanes whose last ids are given: what orders 2 and 1 expect (two rows), and their weights."""
+        h = last * np.int64(40_503)
+        at = np.empty((2, k), np.int64)
+        np.add(self.before[:k] >> 6, h, out=at[0])
+        at[0] ^= h >> 9
+        at[1] = h
+        at >>= 4
+        at &= _SLOTS - 1
+        at += self.slots[:, :k]
+        self.before = h
+        self.at, self.entry = at, self.seen.take(at)
+        self.i, self.c = self.entry >> 3, self.entry & 7
+        self.cell = self.own[:k] + ((self.c[0] << 4) + (self.c[1] << 1) + (self.i[0] == self.i[1]))
+        held = self.weights.take(self.cell)
+        self.v2, self.v1 = held >> 16, held & 0xFFFF
+        return self.i, self.v2, self.v1
+
+    def learn(self, x: np.ndarray, hit: np.ndarray) -> None:
+        step = _STEP.take(self.c + (hit.view(np.int8) << 3))
+        self.seen[self.at] = np.where(step == _NEW, (x << 3) + 1, self.entry + step)
+        one = hit[1] & ~hit[0]
+        v2 = self.v2 + (hit[0] * np.int32(_MOST) - self.v2 >> 5)
+        v1 = self.v1 + (one * np.int32(_MOST) - self.v1 >> 5)
+        self.weights[self.cell] = v2 << 16 | v1
+
+
+#: By confidence, then by confidence of a hit: what is added to an entry, or _NEW where it goes to the new id.
+_NEW = -100
+_STEP = np.array([_NEW, _NEW, *(-(c + 1 >> 1) for c in range(2, 8)), *[1] * 7, 0], np.int32)
 
 
 class _Coder:
@@ -104,23 +111,19 @@ class _Coder:
         self.at = np.zeros(n, np.int64)
         self.lanes = np.arange(n)
 
-    def narrow(self, lanes, start, size, bits: int) -> None:
-        whole = isinstance(lanes, slice)
-        low = self.low[lanes] if whole else self.low.take(lanes)
-        unit = (self.width[lanes] if whole else self.width.take(lanes)) >> np.uint64(bits)
-        low = low + unit * start.astype(np.uint64)
-        width = unit * size.astype(np.uint64)
-        self.low[lanes], self.width[lanes] = low, width
-        if whole:
-            lanes = self.lanes[lanes]
+    def narrow(self, k: int, begin: np.ndarray, size: np.ndarray) -> None:
+        """Of the first k lanes, go on with the part of this begin and size."""
+        low = self.low[:k] + begin
+        self.low[:k], self.width[:k] = low, size
+        lanes, width = self.lanes[:k], size
         while True:
             # Put out 16 bits where they are settled; where the interval is small yet straddles them, cut it off at the border.
             open_ = (low ^ (low + width)) >= np.uint64(1 << 48)
-            need = np.flatnonzero(~open_ | (width < np.uint64(1 << 32)))
+            need = np.flatnonzero(~open_ | (width < np.uint64(1 << 40)))
             if not len(need):
                 return
             lanes, low, width, open_ = lanes.take(need), low.take(need), width.take(need), open_.take(need)
-            width = np.where(open_, (~low + np.uint64(1)) & np.uint64(0xFFFFFFFF), width)
+            width = np.where(open_, (~low + np.uint64(1)) & np.uint64((1 << 40) - 1), width)
             self.shift(lanes, low)
             low, width = low << np.uint64(16), width << np.uint64(16)
             self.low[lanes], self.width[lanes] = low, width
@@ -129,7 +132,7 @@ class _Coder:
 class _Encoder(_Coder):
     def __init__(self, n: int, block: int):
         super().__init__(n)
-        self.room = 3 * block + 16
+        self.room = 2 * block + 16
         self.out = np.zeros(n * self.room, np.uint16)
 
     def shift(self, lanes, low) -> None:
@@ -138,10 +141,9 @@ class _Encoder(_Coder):
         self.at[lanes] = at + 1
 
     def done(self) -> list[bytes]:
-        lanes = np.arange(len(self.low))
         low = self.low.copy()
         for _ in range(4):
-            self.shift(lanes, low)
+            self.shift(self.lanes, low)
             low <<= np.uint64(16)
         return [self.out[i * self.room : i * self.room + n].astype("<u2").tobytes() for i, n in enumerate(self.at)]
 
@@ -149,11 +151,10 @@ class _Encoder(_Coder):
 class _Decoder(_Coder):
     def __init__(self, payloads: list[bytes]):
         super().__init__(len(payloads))
-        longest = max(map(len, payloads)) // 2 + 8
-        data = np.zeros((len(payloads), longest), np.uint64)
+        self.room = max(map(len, payloads)) // 2 + 8
+        self.data = np.zeros(len(payloads) * self.room, np.uint16)
         for i, p in enumerate(payloads):
-            data[i, : len(p) // 2] = np.frombuffer(p, "<u2")
-        self.room, self.data = longest, data.reshape(-1)
+            self.data[i * self.room : i * self.room + len(p) // 2] = np.frombuffer(p, "<u2")
         self.code = np.zeros(len(payloads), np.uint64)
         for _ in range(4):
             self.shift(self.lanes, None)
@@ -163,74 +164,83 @@ class _Decoder(_Coder):
         self.code[lanes] = self.code.take(lanes) << np.uint64(16) | self.data.take(lanes * self.room + at)
         self.at[lanes] = at + 1
 
-    def value(self, lanes, bits: int) -> np.ndarray:
-        got = (self.code[lanes] - self.low[lanes]) // (self.width[lanes] >> np.uint64(bits))
-        return np.minimum(got, np.uint64((1 << bits) - 1)).astype(np.int64)
 
+_TWELVE, _TWENTY = np.uint64(12), np.uint64(_BITS)
+
+
+def _units(width: np.ndarray, v2: np.ndarray, v1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The widths of orders 2 and 1 (two rows), and of one of order 0's 2**20 parts."""
+    unit = width >> _TWELVE
+    v = np.empty((2, len(v2)), np.uint64)
+    v[0], v[1] = v2, v1
+    return unit * v, unit * (_ONE - v2 - v1).astype(np.uint64) >> _TWENTY
 
-def encode(ids: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
-    """Blocks of the ids (below 65536), in order: number of ids, their crc32 as little-endian u32, payload."""
+
+def _share(zero: _Order0, x: np.ndarray, i: np.ndarray, hit: np.ndarray, u: np.ndarray, u0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and size of x in the mixture."""
+    part = zero.parts.take(x)
+    before, own = u * (i < x), u * hit
+    return u0 * (part >> _PART) + before[0] + before[1], u0 * (part & _PART_MASK) + own[0] + own[1]
+
+
+def encode(ids: np.ndarray, first: bytes, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
+    """Blocks of the ids, in order: number of ids, their crc32 as little-endian u32, payload. first: the head of these ids."""
     total = len(ids)
     n = -(-total // block)
     if not n:
         return []
+    zero = _Order0(first)
     lens = np.minimum(block, total - np.arange(n) * block)  # only the last is shorter, so active lanes are a prefix
-    grid = np.zeros(n * block, np.int64)
+    grid = np.zeros(n * block, np.int32)
     grid[:total] = ids
     grid = grid.reshape(n, block).T.copy()
-    m, c = _Models(n), _Encoder(n, block)
+    m, c = _Contexts(n), _Encoder(n, block)
+    last = np.zeros(n, np.int32)
     for t in range(block):
         k = n if t < lens[-1] else n - 1
         if not k:
             break
-        if t and _due(t):
-            m.rebuild()
         x = grid[t, :k]
-        cand, pr = m.predict(k)
-        hit = (cand == x).astype(np.int64)
-        c.narrow(slice(0, k), np.where(hit, 0, pr), np.where(hit, pr, 4096 - pr), 12)
-        miss = np.flatnonzero(hit == 0)
-        y = x[miss]
-        hi, lo = y >> 8, y & 255
-        i = miss * 257 + hi
-        c.narrow(miss, *_part(m.cum_hi, i), 14)
-        i = m.low_table(miss, hi) * 257 + lo
-        c.narrow(miss, *_part(m.cum_lo, i), 14)
-        m.count(miss, y)
-        m.learn(k, x, hit)
+        i, v2, v1 = m.expect(k, last[:k])
+        u, u0 = _units(c.width[:k], v2, v1)
+        hit = i == x
+        c.narrow(k, *_share(zero, x, i, hit, u, u0))
+        m.learn(x, hit)
+        last = x
     raw = np.ascontiguousarray(ids, "<u4")
     return [(int(k), zlib.crc32(raw[i * block : i * block + k].tobytes()), p) for i, (k, p) in enumerate(zip(lens, c.done(), strict=True))]
 
 
-def decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
+def decode(blocks: list[tuple[int, int, bytes]], first: bytes) -> np.ndarray:
     """The ids of blocks that stand in any order of length; a wrong checksum raises."""
     if not blocks:
         return np.zeros(0, np.int64)
+    zero = _Order0(first)
+    inverse, final = zero.inverse(), np.uint64((1 << _BITS) - 1)
     lens = np.array([b[0] for b in blocks])
     order = np.argsort(-lens, kind="stable")
     n, longest = len(blocks), int(lens.max())
-    sorted_lens = lens[order]
-    m, c = _Models(n), _Decoder([blocks[i][2] for i in order])
-    grid = np.zeros((longest, n), np.int64)
-    for t in range(longest):
-        k = int(np.searchsorted(-sorted_lens, -t, side="left"))
-        if t and _due(t):
-            m.rebuild()
-        cand, pr = m.predict(k)
-        hit = (c.value(slice(0, k), 12) < pr).astype(np.int64)
-        c.narrow(slice(0, k), np.where(hit, 0, pr), np.where(hit, pr, 4096 - pr), 12)
-        miss = np.flatnonzero(hit == 0)
-        hi = _find(m.cum_hi, miss * 257, c.value(miss, 14))
-        i = miss * 257 + hi
-        c.narrow(miss, *_part(m.cum_hi, i), 14)
-        base = m.low_table(miss, hi) * 257
-        lo = _find(m.cum_lo, base, c.value(miss, 14))
-        i = base + lo
-        c.narrow(miss, *_part(m.cum_lo, i), 14)
-        x = cand.astype(np.int64)
-        x[miss] = y = hi << 8 | lo
-        m.count(miss, y)
-        m.learn(k, x, hit)
+    running = np.searchsorted(-lens[order], -np.arange(longest), side="left").tolist()
+    m, c = _Contexts(n), _Decoder([blocks[i][2] for i in order])
+    grid = np.zeros((longest, n), np.int32)
+    last = np.zeros(n, np.int32)
+    for t, k in enumerate(running):
+        i, v2, v1 = m.expect(k, last[:k])
+        u, u0 = _units(c.width[:k], v2, v1)
+        place = c.code[:k] - c.low[:k]
+        # Where the expected ids' own parts end: what lies beyond has their shares before it, and the rest is order 0's.
+        part, other = zero.parts.take(i), u[::-1]
+        begin = u0 * (part >> _PART) + other * (i[::-1] < i)
+        end = begin + u0 * (part & _PART_MASK) + u + other * (i[0] == i[1])
+        past = place >= end
+        hit = (place >= begin) & ~past
+        shares = u * past
+        left = (place - shares[0] - shares[1]) // np.maximum(u0, np.uint64(1))
+        x = inverse.take(np.minimum(left, final).view(np.int64))
+        x = np.where(hit[0], i[0], np.where(hit[1], i[1], x))
+        c.narrow(k, *_share(zero, x, i, hit, u, u0))
+        m.learn(x, hit)
+        last = x
         grid[t, :k] = x
     out = [None] * n
     for j, i in enumerate(order):
@@ -238,17 +248,3 @@ def decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
         if zlib.crc32(out[i].astype("<u4").tobytes()) != blocks[i][1]:
             raise ValueError(f"block {i} does not match its checksum")
     return np.concatenate(out)
-
-
-def _part(cum: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and size of the symbols' parts of the interval."""
-    begin = cum.take(at)
-    return begin, cum.take(at + 1) - begin
-
-
-def _find(cum: np.ndarray, base: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """In each table the last symbol whose cumulative frequency is not above the value."""
-    at = np.zeros(len(base), np.int64)
-    for step in (128, 64, 32, 16, 8, 4, 2, 1):
-        at += step * (cum.take(at + (base + step)) <= value)
-    return at

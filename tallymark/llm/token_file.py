@@ -2,8 +2,9 @@
 
 Format: a folder of Parquet part files whose rows are shards. A shard holds consecutive documents in ascending doc_id order:
 `part` and `shard` (its place), `start_in_part` (ids before it in the part), `doc_ids`, `doc_tokens`, and `payload`: the magic
-`TMK1`, the number of blocks (u32), per block its number of ids, crc32 and payload length (u32 each), then the payloads. A
-block is one reset of the coder (range_coder.py); its crc32 is checked on reading.
+`TMK2`, the length of the head and the number of blocks (u32 each), the head (order 0 of the shard), per block its number of
+ids, crc32 and payload length (u32 each), then the payloads. A block is one reset of the coder (range_coder.py) and can be
+decoded with the head alone; its crc32 is checked on reading.
 
 Edge cases: a null or empty text is the end id alone; null doc_ids come first; rows that repeat a doc_id stand side by side in
 the order of a hash of their text; an empty table writes an empty folder; other columns are not read. A text of any length is
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .encode import WordEncoder
+from .encode import with_end, word_encoder
 from .shared import _WRITTEN, partitions, shared_dir, slices
 
 END_ID = 2
@@ -32,28 +33,30 @@ _DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def pack_shard(ids: np.ndarray, block: int = range_coder.BLOCK) -> bytes:
-    blocks = range_coder.encode(ids, block)
+    first = range_coder.head(ids)
+    blocks = range_coder.encode(ids, first, block)
     table = b"".join(struct.pack("<3I", n, crc, len(p)) for n, crc, p in blocks)
-    return b"TMK1" + struct.pack("<I", len(blocks)) + table + b"".join(p for *_, p in blocks)
+    return b"TMK2" + struct.pack("<2I", len(first), len(blocks)) + first + table + b"".join(p for *_, p in blocks)
 
 
 def unpack_shard(data: bytes) -> np.ndarray:
-    if data[:4] != b"TMK1":
+    if data[:4] != b"TMK2":
         raise ValueError("not a token shard")
-    (n,) = struct.unpack_from("<I", data, 4)
-    at, blocks = 8 + 12 * n, []
-    for k, crc, size in struct.iter_unpack("<3I", data[8:at]):
-        blocks.append((k, crc, data[at : at + size]))
-        at += size
-    return range_coder.decode(blocks)
+    size, n = struct.unpack_from("<2I", data, 4)
+    begin = 12 + size
+    at, blocks = begin + 12 * n, []
+    for k, crc, length in struct.iter_unpack("<3I", data[begin:at]):
+        blocks.append((k, crc, data[at : at + length]))
+        at += length
+    return range_coder.decode(blocks, data[12:begin])
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_ids: int = 4_000_000) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_ids: int = 8_000_000) -> None:
     """Encode every text, append end_id, and write the shards. `shard_ids`: a shard is closed when it has so many ids."""
     spark = docs.sparkSession
 
     def shards(batches):
-        encoder, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = word_encoder(tokenizer), TaskContext.get().partitionId()
         doc_ids, lens, held, n, start, shard = [], [], [], 0, 0, 0
 
         def close():
@@ -63,8 +66,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
 
         for batch in slices(batches):
             ids, per_doc = encoder(batch.column("text"))
-            ends = np.cumsum(per_doc)
-            held.append(np.insert(ids, ends, end_id))
+            held.append(with_end(ids, per_doc, end_id))
             doc_ids += batch.column("doc_id").to_pylist()
             lens += (per_doc + 1).tolist()
             n += len(held[-1])

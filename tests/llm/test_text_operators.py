@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -42,25 +43,48 @@ def test_word_by_word_is_the_whole_text(whole):
 @pytest.mark.parametrize("n", [0, 1, 2, 31, 32, 33, 255, 256, 257, 1000])
 def test_range_coder_round_trip(n):
     rng = np.random.default_rng(n)
-    for x in (rng.integers(0, 65536, n), rng.zipf(1.4, n) % 49408, np.zeros(n, int), np.arange(n) % 3):
-        blocks = range_coder.encode(x, block=256)
-        assert (range_coder.decode(blocks) == x).all()
+    for x in (rng.integers(0, 65536, n), rng.zipf(1.4, n) % 49408, np.zeros(n, int), np.arange(n) % 3, np.repeat(65535, n)):
+        first = range_coder.head(x)
+        blocks = range_coder.encode(x, first, block=256)
+        assert (range_coder.decode(blocks, first) == x).all()
         if blocks:  # blocks stand alone, in any order
-            assert (range_coder.decode(blocks[-1:]) == x[len(x) - blocks[-1][0] :]).all()
+            assert (range_coder.decode(blocks[-1:], first) == x[len(x) - blocks[-1][0] :]).all()
+            assert (range_coder.decode(blocks[::-1], first) == np.concatenate([x[i * 256 :][:256] for i in range(len(blocks))][::-1])).all()
 
 
-def test_range_coder_compresses_and_checks():
+def test_range_coder_codes_rare_ids_among_sure_ones():
+    x = np.tile(np.arange(7), 40_000)
+    x[np.random.default_rng(1).integers(0, len(x), 300)] = 60_000
+    first = range_coder.head(x)
+    blocks = range_coder.encode(x, first)
+    assert (range_coder.decode(blocks, first) == x).all() and sum(len(p) for *_, p in blocks) < len(x) / 30
+
+
+def test_range_coder_checks():
     x = np.tile(np.arange(50), 100)
-    blocks = range_coder.encode(x)
-    assert sum(len(p) for *_, p in blocks) < len(x)
-    n, crc, payload = blocks[0]
+    first = range_coder.head(x)
+    n, crc, payload = range_coder.encode(x, first)[0]
     with pytest.raises(ValueError, match="checksum"):
-        range_coder.decode([(n, crc ^ 1, payload)])
+        range_coder.decode([(n, crc ^ 1, payload)], first)
     with pytest.raises(ValueError, match="not a token shard"):
         token_file.unpack_shard(b"none")
+    for bad in ([1, 65536], [-1, 3]):
+        with pytest.raises(ValueError):
+            token_file.pack_shard(np.array(bad))
     assert (token_file.unpack_shard(token_file.pack_shard(x)) == x).all()
 
 
+def test_range_coder_beats_other_codes_on_real_ids():
+    """Against the least size by frequencies alone, and zlib over the same blocks and over all of them."""
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column("text").combine_chunks()
+    ids, _ = WordEncoder(WORDS)(texts)
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    size = len(token_file.pack_shard(ids))
+    raw = ids.astype("<u2")
+    assert size < -(share * np.log2(share)).sum() * len(ids) / 8
+    assert size < len(zlib.compress(raw.tobytes(), 9)) < sum(len(zlib.compress(raw[i : i + 4096].tobytes(), 9)) for i in range(0, len(raw), 4096))
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -193,6 +217,53 @@ def test_encrypted_pem_blocks():
     secret_scan.scan(open_block * 3000)
 
 
+def openssh(cipher=b"none", derivation=b"none", options=b"", private=b"\1\2\3\4" * 2 + b"k" * 56, keys=1):
+    string = lambda x: len(x).to_bytes(4) + x
+    return b"openssh-key-v1\0" + string(cipher) + string(derivation) + string(options) + keys.to_bytes(4) + string(string(b"ssh-ed25519") + string(b"p" * 32)) * keys + string(private)
+
+
+def test_openssh_containers_are_read_whole():
+    for good in (openssh(), openssh(keys=2), openssh(b"aes256-ctr", b"bcrypt", b"s" * 24, b"x" * 64)):
+        assert secret_scan.openssh_key(good)
+        assert kinds(f"k {base64.b64encode(good).decode()} k") == ["b64key"] and "hexkey" in kinds(good.hex())
+    body_missing = b"openssh-key-v1\0" + (4).to_bytes(4) + b"none"
+    for bad in (body_missing, body_missing + b"\0" * 60, openssh()[:-1], openssh() + b"\0", openssh(private=b"\1\2\3\4\5\6\7\10" * 8), openssh(cipher=b"aes256-ctr"), openssh(keys=0), openssh(private=b"k" * 15)):
+        assert not secret_scan.openssh_key(bad)
+
+
+def test_nesting_without_end_is_no_key(docs):
+    nested = b"\x05\x00"
+    for _ in range(1500):
+        nested = der(0x30, nested)
+    deep = base64.urlsafe_b64encode(b'{"alg":' + b"[" * 100_000 + b"]" * 100_000 + b"}").rstrip(b"=").decode()
+    texts = [base64.b64encode(nested).decode(), f"{deep}.{deep}.c2ln", nested.hex(), "eyJ" * 200_000, "A" * 2_000_000, "-----BEGIN PRIVATE KEY-----" * 20_000]
+    assert all(kinds(t) == [] for t in texts[:2])
+    got = secret_scan.find_secrets(docs(*enumerate(texts))).collect()
+    assert len(got) == len(texts) and {r.n_confirmed for r in got} == {0}
+
+
+def test_odd_hex_and_wrapped_base64():
+    run = PKCS1.hex()
+    for text, span in ((f"x {run}0 y", (2, 2 + len(run))), (f"x 0{run} y", (3, 3 + len(run)))):
+        assert span in [(a, b) for a, k, b in secret_scan.scan(text) if secret_scan.KINDS[k] == "hexkey"]
+    wrapped = base64.encodebytes(PKCS8).decode().strip()
+    for text in (wrapped, wrapped.replace("\n", "\r\n    ")):
+        assert (6, 5, 6 + len(text)) in secret_scan.scan(f"key:  {text}\n--")
+    assert kinds(base64.encodebytes(PUBLIC * 2).decode()) == []
+
+
+def test_planted_secrets_come_out_of_the_query(spark, docs, tmp_path):
+    pem = f"-----BEGIN PRIVATE KEY-----\n{base64.encodebytes(PKCS8).decode()}-----END PRIVATE KEY-----"
+    planted = [pem, jwt({"alg": "HS256"}, {"sub": 1}), base64.b64encode(PKCS8).decode(), PKCS1.hex().upper()]
+    docs(*[(i, f"see {t} there") for i, t in enumerate(planted)], (7, None), (8, ""), (9, "clean"), (9, "clean"), (None, "password = abcdef")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = secret_scan.op5_secret_scan(spark, str(tmp_path)).collect()
+    by_id = {r.doc_id: r.spans for r in got}
+    assert len(got) == 9 and all(f"{k}:4:{4 + len(t)}" in by_id[i].split(",") for i, (k, t) in enumerate(zip(("pem", "jwt", "b64key", "hexkey"), planted, strict=True)))
+    assert by_id[7] == by_id[8] == by_id[9] == "" and by_id[None] == "assign:0:17"
+    spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert secret_scan.op5_secret_scan(spark, f"{tmp_path}/none").count() == 0
+
+
 def base_spans(text):
     """The base kinds, straight from their definition."""
     out = []
