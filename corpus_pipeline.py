@@ -3,6 +3,11 @@
 language_id drops documents whose language can't be told; exact_dedup and near_dedup keep one of equal and of similar
 documents (five-word shingles, similarity 0.8); mix_sources repeats and leaves out documents towards the target weights;
 pack lays what is left into sequences and returns the pieces.
+
+Edge cases: a null text and one without a letter go in the first stage, the latter also where no row is labelled and so no language
+can be told; rows alike in doc_id and text count as one another's copies, and a null doc_id is kept like any other; a null source is
+a source of its own; an empty table goes through every stage and gives no pieces; texts of any length are read whole; columns may
+have any names, all but the last stage return them as they came.
 """
 
 from __future__ import annotations
