@@ -1,7 +1,7 @@
 """Op 7 [native]: exact deduplication by content-defined chunk recipes.
 
-A text without its white space is cut where its own content says so: a chunk ends after the first pair of characters of the
-boundary set once it is long enough, or at the longest length. A chunk's identifier is its 64-bit hash; identifiers are
+A text without its white space is cut where its own content says so: over its UTF-8 bytes, a chunk ends behind the first window
+of three bytes whose hashes fit (one window in 64 of random bytes, in any script) once it is long enough, or at the longest length. A chunk's identifier is its 64-bit hash; identifiers are
 verified over all chunks by counting the different contents behind each (distinct in every task before anything moves), and a
 chunk whose identifier stands for two contents is named by its SHA-256 as well. Documents are then compared by their ordered
 lists of identifiers, so a long text moves once, as distinct chunks, and never again.
@@ -19,8 +19,17 @@ from pyspark.sql import functions as F
 from .shared import materialise
 
 SPACE = " \t\n\x0b\x0c\r"
-#: Shortest and longest chunk, and the pairs that end one: (?s) so that every character counts.
-CHUNK = r"(?s).{512,4096}?[aeios][nrst]|.{1,4096}"
+#: Shortest and longest chunk in bytes.
+SHORTEST, LONGEST = 512, 4096
+
+
+def _class(salt: int) -> str:
+    """A quarter of all byte values, those with two given leading bits of a multiplicative hash, as a class of Latin-1 characters."""
+    return "[" + "".join(f"\\x{b:02x}" for b in range(256) if ((b + salt) * 0x9E3779B1 & 0xFFFFFFFF) >> 30 == 1) + "]"
+
+
+#: A chunk ends behind the first three bytes whose hashes fit once it is long enough. (?s): every byte counts.
+CHUNK = rf"(?s).{{{SHORTEST},{LONGEST}}}?{_class(0)}{_class(1)}{_class(2)}|.{{1,{LONGEST}}}"
 
 
 def normalised(text):
@@ -31,7 +40,7 @@ def normalised(text):
 def _chunks(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     base = base.select("doc_id", "h", F.char_length("t").alias("n_points"), normalised(F.col("t")).alias("norm"))
-    return base.select("doc_id", "h", "n_points", F.sha2("norm", 256).alias("text_sha256"), F.char_length("norm").alias("n_norm"), F.regexp_extract_all("norm", F.lit(CHUNK), F.lit(0)).alias("chunks"))
+    return base.select("doc_id", "h", "n_points", F.sha2("norm", 256).alias("text_sha256"), F.char_length("norm").alias("n_norm"), F.regexp_extract_all(F.decode(F.encode("norm", "UTF-8"), "ISO-8859-1"), F.lit(CHUNK), F.lit(0)).alias("chunks"))
 
 
 def clashing_ids(chunks: DataFrame) -> DataFrame:
