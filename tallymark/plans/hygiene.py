@@ -183,7 +183,7 @@ def rule_predict(spark, d):
     return table(spark, d, "documents").select("doc_id", T.argmax(s).alias("prediction"), F.greatest(*s.values()).alias("confidence"))
 
 
-@query("SELECT d.doc_id, coalesce(list_any_value([x for x in ['the', 'onst', 'eaux', 'ción', 'schung'] if contains(lower(d.text), x) AND contains(lower(b.text), x)]) IS NOT NULL, false) AS relevant FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40")
+@query("SELECT d.doc_id, coalesce(list_any_value([x for x in ['the', 'onst', 'eaux', 'ción', 'schung'] if contains(lower(d.text), x) AND contains(lower(b.text), x)]) IS NOT NULL, false) AS relevant FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)")
 def rule_relevance(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("q"))
     p = paired(spark, d).select("doc_id", F.lower("text").alias("p"), "item_id")
@@ -192,7 +192,7 @@ def rule_relevance(spark, d):
 
 
 @query("""WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q FROM benchmark), p AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents)
-SELECT doc_id, item_id, len(list_intersect(q, w)) AS shared, round(len(list_intersect(q, w)) / greatest(1, len(list_distinct(list_concat(q, w)))), 6) AS jaccard, round(len(list_intersect(q, w)) / greatest(1, len(q)), 6) AS coverage FROM p JOIN t ON item_id = doc_id % 40""")
+SELECT doc_id, item_id, len(list_intersect(q, w)) AS shared, round(len(list_intersect(q, w)) / greatest(1, len(list_distinct(list_concat(q, w)))), 6) AS jaccard, round(len(list_intersect(q, w)) / greatest(1, len(q)), 6) AS coverage FROM p JOIN t ON item_id = doc_id % (SELECT count(*) FROM benchmark)""")
 def token_jaccard(spark, d):
     tok = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
     t = table(spark, d, "benchmark").select("item_id", tok(F.col("text")).alias("q"))

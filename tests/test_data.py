@@ -180,13 +180,14 @@ def test_cosine_pairs_are_exact(spark):
     assert {(r.i, r.j) for r in got.collect()} == want and want
 
 
-def test_near_copies_of_records(spark, tmp_path):
+def test_near_copies_of_records(spark, tmp_path, monkeypatch):
     import math
     from collections import Counter
     from hashlib import md5
 
     from tallymark.plans import similarity as Q
 
+    monkeypatch.setattr(Q, "THRESHOLD", 0.4)  # many more pairs than the query's own
     rng = random.Random(8)
     base = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200)) for _ in range(6)]
     texts = {i: base[i % 6][: 120 + rng.randrange(80)] + "".join(rng.choice("xyz ") for _ in range(rng.randrange(90))) for i in range(40)}
