@@ -65,7 +65,7 @@ def measure(docs: DataFrame) -> DataFrame:
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
-        F.regexp_count("t", F.lit(rf"(?i)(?<![^\x20\x09-\x0D])(?:{'|'.join(STOP_WORDS)})(?![^\x20\x09-\x0D])")).cast("long").alias("n_stop_words"),
+        F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         windows.alias("windows"),
     )
 
