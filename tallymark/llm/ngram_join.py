@@ -5,20 +5,22 @@ last, otherwise by hash. Two sets of the wanted similarity share a shingle withi
 those are indexed, with the set's size and the shingle's position. Three relations between sets save work:
 
 * Equal sets are one set: the smallest row stands for all (a 128-bit digest of the set groups them).
-* Within an index list, sorted by size, positions skip whole blocks: a list stops where sizes leave the similarity's range, and
-  a pair is passed over if what is left behind its positions can't reach the wanted overlap.
+* Within an index list, sets of one position form a block sorted by size. What the wanted overlap asks of the sizes behind both
+  positions is a range of sizes; blocks without a size in it are skipped, of the others only the range is paired.
 * A long list isn't paired up. Its token goes to the end of the order and the sets in it are indexed anew, so that members of a
-  family of copies meet only where they share what is rare. In lists that stay long, sets are compared with pivots (the first set of each range of sizes) and with their
-  predecessor; sets whose distances to a common pivot differ by more than the wanted distance can't be similar (Jaccard distance is
-  a metric). All other pairs that pass a bound from bitmaps of the two sets are looked at in the end, so no link is lost. If
-  only components are wanted (all_links=False), sets in one component need no further look either.
+  family of copies meet only where they share what is rare. In lists that stay long, a set's answers follow from those of a
+  similar one: sets are compared with pivots (the first set of each range of sizes) and with their predecessor; sets whose
+  distances to a common pivot differ by more than the wanted distance can't be similar (Jaccard distance is a metric), and sets
+  that are in one component already need no look. All other pairs that pass a bound from bitmaps of the two sets are looked at in
+  the end, so components are exact. The links inside components are counted block by block afterwards.
 
-Every candidate that the two prefixes don't rule out is verified on the whole sets. Components come from min-label propagation with shortcuts, one written table a
-round.
+Every candidate that the two prefixes don't rule out is verified on the whole sets. Components come from min-label propagation
+with shortcuts, one written table a round.
 
 Edge cases: no words or null text: empty set, linked with nothing; fewer words than n: the whole sequence is the one shingle;
 rows that repeat a doc_id are separate rows of which equal sets link; a null doc_id is never a component's name unless it is
-alone; an empty table gives no rows; other columns are not read.
+alone; an empty table gives no rows; a text of any length is read whole, its set in one worker's memory; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ from .shared import keep_rows, materialise, partitions, slices, split_words
 LONG_LIST = 64
 #: So many of the most frequent shingles go to the end of the order (8 MB).
 FREQUENT = 1_000_000
+#: Sets, and shingles, of one block of a component when its links are counted.
+BLOCK, BLOCK_TOKENS = 512, 1_000_000
 #: Bits of the bitmap by which sets in long lists are compared before they are moved.
 BITMAP = 2048
 #: How often tokens of long lists are put to the end of the order before pivots finish what is left.
@@ -133,22 +137,41 @@ class _Lists:
         self.rest = None  # a short list whose end may still come
         self.long = None  # (token, previous, pivot) of a long list whose end may still come
 
-    def likely(self, x, y) -> np.ndarray:
-        """x and y: (size, row, position), sizes of x not above those of y: may this be the pair's first common token?"""
-        need = _need(x[0], y[0], self.num, self.den)
-        fits = self.den * x[0] >= self.num * y[0]
-        first = x[2] <= x[0] - _need(x[0], x[0], self.num, self.den)
-        return fits & first & (1 + np.minimum(x[0] - x[2], y[0] - y[2]) - 1 >= need)
-
-    def short(self, rows: np.ndarray, starts: np.ndarray, lens: np.ndarray):
-        for size in np.unique(lens):
-            if size < 2:
-                continue
-            i, j = np.triu_indices(size, 1)
-            at = starts[lens == size]
-            x, y = (rows[1:4, (at[:, None] + k[None, :]).ravel()] for k in (i, j))
-            ok = self.likely(x, y)
-            yield x[1][ok], y[1][ok]
+    def blocks(self, rows: np.ndarray, starts: np.ndarray, lens: np.ndarray):
+        """Pairs of short lists. A list's sets of one position are a block, sorted by size.
+
+        For a set x and a block, the wanted overlap leaves a range of sizes: not below what the sets behind the block's position
+        need, and not above what is left behind x's own position allows. A block without a size in the range is skipped whole.
+        """
+        num, den = self.num, self.den
+        starts, lens = starts[lens > 1], lens[lens > 1]
+        if not len(lens):
+            return
+        ends = np.cumsum(lens)
+        which = np.repeat(np.arange(len(lens)), lens)
+        _, size, row, pos = rows[:, np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1])]
+        order = np.lexsort((row, size, pos, which))
+        which, size, row, pos = which[order], size[order], row[order], pos[order]
+        new = np.concatenate([[True], (np.diff(which) != 0) | (np.diff(pos) != 0)])
+        block = np.cumsum(new) - 1
+        at, depth = which[new], pos[new]  # the list and the position of each block
+        first = np.searchsorted(at, np.arange(len(lens)))
+        blocks_of = np.diff(np.append(first, len(at)))
+        span = int(size.max()) + 2
+        key = block * span + size
+        probe = np.flatnonzero(pos <= size - _need(size, size, num, den))
+        n = blocks_of[which[probe]]
+        upto = np.cumsum(n)
+        x = np.repeat(probe, n)
+        y = np.repeat(first[which[probe]] - (upto - n), n) + np.arange(len(x))
+        least = np.maximum(size[x], -(-(num * size[x] + depth[y] * (num + den)) // den))
+        most = np.minimum(den * size[x] // num, (size[x] - pos[x]) * (num + den) // num - size[x])
+        begin = np.searchsorted(key, y * span + np.minimum(least, span - 1))
+        count = np.maximum(np.searchsorted(key, y * span + np.minimum(most, span - 2), "right") - begin, 0)
+        x = np.repeat(x, count)
+        y = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(len(x))
+        ok = (size[x] < size[y]) | (row[x] < row[y])
+        yield row[x[ok]], row[y[ok]]
 
     def add(self, rows: np.ndarray, last: bool = False):
         """rows: token, size, row, position. Yields (left, right) rows of candidates, or (None, rows) of long lists."""
@@ -165,7 +188,7 @@ class _Lists:
         if not last and not is_long[-1]:  # wait for the last list's end
             self.rest = rows[:, starts[-1] :].copy()
             starts, lens, is_long = starts[:-1], lens[:-1], is_long[:-1]
-        yield from self.short(rows, starts[~is_long], lens[~is_long])
+        yield from self.blocks(rows, starts[~is_long], lens[~is_long])
         for s, k in zip(starts[is_long], lens[is_long], strict=True):
             part = rows[:, s : s + k]
             yield None, part
@@ -188,15 +211,20 @@ class _Lists:
         return np.array(left, np.int64), np.array(right, np.int64)
 
 
+def _moved(df: DataFrame) -> DataFrame:
+    """df as one side of a join by shuffle, whatever its size: tables made of documents are never sent to all tasks."""
+    return df.hint("merge")
+
+
 def _components(edges: DataFrame) -> DataFrame:
     """v and its component's least vertex, for every vertex of edges (a, b)."""
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("l")), "labels")
     while True:
-        near = both.join(labels.select(F.col("v").alias("b"), "l"), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
-        stepped = labels.join(near, "v").select("v", F.col("l").alias("old"), F.least("l", "m").alias("l"))
+        near = both.join(_moved(labels.select(F.col("v").alias("b"), "l")), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
+        stepped = labels.join(_moved(near), "v").select("v", F.col("l").alias("old"), F.least("l", "m").alias("l"))
         jump = labels.select(F.col("v").alias("l"), F.col("l").alias("far"))
-        moved = materialise(stepped.join(jump, "l", "left").select("v", "old", F.least("l", "far").alias("l")), "labels")
+        moved = materialise(stepped.join(_moved(jump), "l", "left").select("v", "old", F.least("l", "far").alias("l")), "labels")
         labels = moved.select("v", "l")
         if moved.filter("l < old").isEmpty():
             return labels
@@ -205,8 +233,8 @@ def _components(edges: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, all_links: bool = True) -> DataFrame:
     """doc_id, h (hash of the text), n_shingles, links_seen, component_id, group_id. Sets of similarity num / den link.
 
-    links_seen is the number of other sets that a row's set links with. Without all_links, links inside a component that is
-    already connected aren't looked for: components stay exact, links_seen is a lower bound.
+    links_seen is the number of other sets that a row's set links with. Without all_links they aren't counted: components stay
+    exact, links_seen is a lower bound.
     """
     spark = docs.sparkSession
     frequent = frequent_shingles(docs, n)
@@ -234,7 +262,7 @@ def similar(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, all_links:
     groups = materialise(groups, "groups")
 
     # The index: only the rows that stand for a set.
-    standing = rows.select("rid", "n", "prefix").join(groups.select(F.col("rep").alias("rid")), "rid", "left_semi")
+    standing = rows.select("rid", "n", "prefix").join(_moved(groups.select(F.col("rep").alias("rid"))), "rid", "left_semi")
     index = standing.select("rid", "n", F.posexplode("prefix").alias("pos", "token"))
 
     def pairs(batches):
@@ -267,10 +295,10 @@ def similar(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, all_links:
         of copies shares goes last; what tells its members apart comes first, and members that differ in much no longer meet.
         """
         late = tokens.withColumn("late", F.lit(True))
-        each = family.join(long_lists.select("rid").distinct(), "rid", "left_semi").select("rid", F.size("s").cast("long").alias("n"), F.explode("s").alias("token"))
+        each = family.join(_moved(long_lists.select("rid").distinct()), "rid", "left_semi").select("rid", F.size("s").cast("long").alias("n"), F.explode("s").alias("token"))
         order = F.array_sort(F.collect_list(F.struct(F.coalesce("late", F.lit(False)).alias("late"), "token")))
         first = (F.col("n") - F.ceil(num * F.col("n") / den) + 1).cast("int")
-        again = each.join(late, "token", "left").groupBy("rid", "n").agg(order.alias("order"))
+        again = each.join(_moved(late), "token", "left").groupBy("rid", "n").agg(order.alias("order"))
         return again.select("rid", "n", F.posexplode(F.slice("order", F.lit(1), first)).alias("pos", "t")).select("rid", "n", "pos", "t.token")
 
     prefixes = standing.select("rid", "n", "prefix")
@@ -282,17 +310,17 @@ def similar(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, all_links:
         end = F.least(F.element_at("pa", -1), F.element_at("pb", -1))
         known = F.size(F.filter("pa", lambda v: v <= end)) + F.size(F.filter("pb", lambda v: v <= end))
         most = (F.col("na") + F.col("nb") - known) / 2 + F.size(F.array_intersect("pa", "pb"))
-        likely = ab.join(x, "a").join(y, "b").filter(most * (num + den) >= num * (F.col("na") + F.col("nb")))
+        likely = ab.join(_moved(x), "a").join(_moved(y), "b").filter(most * (num + den) >= num * (F.col("na") + F.col("nb")))
         likely = materialise(likely.select("a", "b", "na", "nb"), "likely")
         contents = whole_sets(likely.select(F.col("a").alias("rid")).union(likely.select("b")).distinct())
         x, y = (contents.select(F.col("rid").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
-        sized = likely.join(x, "a").join(y, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"))
+        sized = likely.join(_moved(x), "a").join(_moved(y), "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"))
         union = F.col("na") + F.col("nb") - F.col("o")
         return sized.select("a", "b", (1 - F.col("o") / union).alias("d"), (den * F.col("o") >= num * union).alias("link"))
 
     def whole_sets(needed: DataFrame) -> DataFrame:
         """rid and s, the whole set: texts are read again, and only sets that a bitmap of fixed size lets through move."""
-        places = materialise(rows.select("doc_id", "h", "rid").join(needed, "rid", "left_semi"), "places")
+        places = materialise(rows.select("doc_id", "h", "rid").join(_moved(needed), "rid", "left_semi"), "places")
         size = 1 << max(15, min(FILTER_BITS, (16 * places.count()).bit_length()))
         bit = F.pmod("h", F.lit(size)) + 1
         maps = places.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
@@ -311,7 +339,7 @@ def similar(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, all_links:
 
         found = _keyed(docs).mapInArrow(read, "doc_id long, h long, s array<long>")
         keys = places.select(F.col("doc_id").alias("d"), F.col("h").alias("th"), "rid")
-        joined = found.join(keys, (F.col("h") == F.col("th")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("rid", "s")
+        joined = found.join(_moved(keys), (F.col("h") == F.col("th")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("rid", "s")
         return materialise(joined.dropDuplicates(["rid"]), "contents")
 
     candidates, long_lists = searched(index)
@@ -331,13 +359,16 @@ def similar(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, all_links:
     labels = _components(links)
     if not long_lists.isEmpty():
         bits = materialise(family.mapInArrow(_bitmaps, "rid long, bits array<long>"), "bitmaps")
-        links, labels = _finish_long_lists(long_lists.join(bits, "rid"), answers, links, labels, compared, num, den, all_links)
-
-    least = labels.withColumnRenamed("v", "rep").join(groups.select("rep", "least_id"), "rep").groupBy("l").agg(F.min("least_id").alias("component"))
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("links_seen"))
-    named = groups.join(labels.withColumnRenamed("v", "rep").join(least, "l").select("rep", "component", "l"), "rep", "left").join(degree, "rep", "left")
+        links, labels = _finish_long_lists(long_lists.join(_moved(bits), "rid"), answers, links, labels, compared, num, den)
+
+    least = labels.withColumnRenamed("v", "rep").join(_moved(groups.select("rep", "least_id")), "rep").groupBy("l").agg(F.min("least_id").alias("component"))
+    if all_links:
+        degree = _count_links(whole_sets(labels.select(F.col("v").alias("rid"))), labels, num, den, parts)
+    else:
+        degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("links_seen"))
+    named = groups.join(_moved(labels.withColumnRenamed("v", "rep").join(_moved(least), "l").select("rep", "component", "l")), "rep", "left").join(_moved(degree), "rep", "left")
     named = named.select(F.col("s1").alias("g1"), F.col("s2").alias("g2"), F.col("n").alias("gn"), F.coalesce("component", "least_id").alias("component_id"), F.coalesce("links_seen", F.lit(0).cast("long")).alias("links_seen"), F.coalesce("l", "rep").alias("group_id"))
-    joined = rows.select("doc_id", "h", "rid", "n", "s1", "s2").join(named, (F.col("s1") == F.col("g1")) & (F.col("s2") == F.col("g2")) & (F.col("n") == F.col("gn")), "left")
+    joined = rows.select("doc_id", "h", "rid", "n", "s1", "s2").join(_moved(named), (F.col("s1") == F.col("g1")) & (F.col("s2") == F.col("g2")) & (F.col("n") == F.col("gn")), "left")
     return joined.select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("links_seen", F.lit(0).cast("long")).alias("links_seen"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("group_id", "rid").alias("group_id"))
 
 
@@ -359,16 +390,15 @@ def _bitmaps(batches):
         yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.ListArray.from_arrays(ends, pa.array(words.reshape(-1)))], ["rid", "bits"])
 
 
-def _finish_long_lists(long_lists, answers, links, labels, compared, num, den, all_links):
-    """Pairs of a long list that pivots left open: sizes, positions and pivot distances in reach; without all_links, different components only."""
+def _finish_long_lists(long_lists, answers, links, labels, compared, num, den):
+    """Pairs of a long list that pivots left open: sizes, positions and pivot distances in reach, components different."""
     label = labels.select(F.col("v").alias("rid"), "l")
-    rows = long_lists.join(label, "rid", "left").withColumn("l", F.coalesce("l", "rid"))
-    if not all_links:
-        open_tokens = rows.groupBy("token").agg(F.min("l").alias("x"), F.max("l").alias("y")).filter("x < y").select("token")
-        rows = rows.join(open_tokens, "token", "left_semi")
+    rows = long_lists.join(_moved(label), "rid", "left").withColumn("l", F.coalesce("l", "rid"))
+    open_tokens = rows.groupBy("token").agg(F.min("l").alias("x"), F.max("l").alias("y")).filter("x < y").select("token")
+    rows = rows.join(_moved(open_tokens), "token", "left_semi")
     known = answers.select(F.col("b").alias("rid"), F.struct(F.col("a").alias("p"), "d").alias("pd")).union(answers.select(F.col("a").alias("rid"), F.struct(F.col("b").alias("p"), "d").alias("pd")))
     nearest = known.groupBy("rid").agg(F.min("pd").alias("pd"))
-    rows = materialise(rows.join(nearest, "rid", "left"), "open-lists")
+    rows = materialise(rows.join(_moved(nearest), "rid", "left"), "open-lists")
     x, y = (rows.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("n", "rid", "pos", "l", "pd", "bits"))) for k in "xy")
     need = F.ceil(num * (F.col("n_x") + F.col("n_y")) / (num + den))
     # A list is joined by (token, class of sizes): sizes in reach are of the same class or of the next.
@@ -382,10 +412,8 @@ def _finish_long_lists(long_lists, answers, links, labels, compared, num, den, a
     differ = sum((F.bit_count(F.get("bits_x", F.lit(k)).bitwiseXOR(F.get("bits_y", F.lit(k)))) for k in range(BITMAP // 64)), F.lit(0))
     reach = reach & (differ * (num + den) <= (den - num) * (F.col("n_x") + F.col("n_y")))
     ordered = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("rid_x") < F.col("rid_y")))
-    left = x.join(y, ["token", "c"]).filter(ordered & reach & ~apart)
-    if not all_links:
-        left = left.filter("l_x != l_y")
-    ab = left.select(F.least("rid_x", "rid_y").alias("a"), F.greatest("rid_x", "rid_y").alias("b")).distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti")
+    left = x.join(_moved(y), ["token", "c"]).filter(ordered & reach & ~apart & (F.col("l_x") != F.col("l_y")))
+    ab = left.select(F.least("rid_x", "rid_y").alias("a"), F.greatest("rid_x", "rid_y").alias("b")).distinct().join(_moved(answers.select("a", "b")), ["a", "b"], "left_anti")
     more = materialise(compared(ab).filter("link").select("a", "b"), "more-links")
     if more.isEmpty():
         return links, labels
@@ -393,6 +421,69 @@ def _finish_long_lists(long_lists, answers, links, labels, compared, num, den, a
     return links, _components(links)
 
 
+def _count_links(contents: DataFrame, labels: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+    """rep and its number of links, from the whole sets (rid, s) of all components (v, l).
+
+    Links lie inside components. A component's sets are dealt into blocks of BLOCK sets or BLOCK_TOKENS shingles, and every two
+    of its blocks meet once, in one group of bounded size: overlaps there are a product of two 0/1 matrices, and what leaves it is
+    one count a set, never a pair.
+    """
+    sized = contents.select("rid", "s", F.size("s").cast("long").alias("n")).join(_moved(labels.select(F.col("v").alias("rid"), "l")), "rid")
+    blocks = sized.groupBy("l").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
+    placed = sized.join(_moved(blocks), "l").withColumn("b", F.pmod(F.xxhash64("rid"), F.col("blocks")))
+    met = placed.select("l", "rid", "s", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
+    met = met.select("l", F.least("b", "j").alias("b1"), F.greatest("b", "j").alias("b2"), "b", "rid", "s")
+
+    def count(batches):
+        key, held = None, []
+        for batch in batches:
+            out = []
+            now = np.stack([np.asarray(batch.column(c)) for c in ("l", "b1", "b2")], axis=1)
+            edges = [0, *(np.flatnonzero((now[1:] != now[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for x, y in zip(edges, edges[1:], strict=False):
+                if x < y:
+                    if held and tuple(now[x]) != key:
+                        out.append(block_links(held, num, den))
+                        held = []
+                    key = tuple(now[x])
+                    held.append(batch.slice(x, y - x))
+            yield from _counts(out)
+        if held:
+            yield from _counts([block_links(held, num, den)])
+
+    dealt = met.repartition(parts, "l", "b1", "b2").sortWithinPartitions("l", "b1", "b2", "rid")
+    return dealt.mapInArrow(count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links_seen"))
+
+
+def _counts(found: list[tuple[np.ndarray, np.ndarray]]):
+    if found:
+        rep, links = (np.concatenate(x) for x in zip(*found, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(links)], ["rep", "links"])
+
+
+def block_links(held: list[pa.RecordBatch], num: int, den: int, width: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of one meeting of two blocks (or of one with itself), and how many of the others each links with there."""
+    rid, b = (np.concatenate([np.asarray(x.column(c)) for x in held]) for c in ("rid", "b"))
+    sizes = np.concatenate([np.diff(np.asarray(x.column("s").offsets)) for x in held]).astype(np.int64)
+    tokens = np.concatenate([np.asarray(x.column("s").flatten()) for x in held])
+    known, column = np.unique(tokens, return_inverse=True)
+    row = np.repeat(np.arange(len(rid)), sizes)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    overlap = np.zeros((len(rid), len(rid)), np.float32)
+    cuts = np.searchsorted(column, np.arange(0, len(known) + width, width))
+    for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        part = np.zeros((len(rid), min(width, len(known) - k * width)), np.float32)
+        part[row[x:y], column[x:y] - k * width] = 1
+        overlap += part @ part.T
+    overlap = overlap.astype(np.int64)
+    link = den * overlap >= num * (sizes[:, None] + sizes[None, :] - overlap)
+    if b.min() != b.max():
+        link &= b[:, None] != b[None, :]
+    np.fill_diagonal(link, False)
+    return rid, link.sum(axis=1).astype(np.int64)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity 0.9, all whole documents."""
     return similar(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 9, 10).select("doc_id", "n_shingles", "component_id", "links_seen")

@@ -205,6 +205,17 @@ def test_ngram_join_counts_all_links(docs, monkeypatch):
     assert got == want and max(want.values()) > 4 and len(set(want.values())) > 3
 
 
+def test_ngram_join_counts_links_over_many_blocks(docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w for k, w in enumerate(words) if k != i % 40 or i % 7 == 0) + (" x" if rng.random() < 0.3 else "")) for i in range(45)]
+    s = {i: frozenset(shingles(t, 3)) for i, t in rows}
+    want = {i: sum(10 * len(s[i] & o) >= 9 * len(s[i] | o) for o in set(s.values()) - {s[i]}) for i in s}
+    got = {r.doc_id: r.links_seen for r in ngram_join.similar(docs(*rows), 3, 9, 10).collect()}
+    assert got == want and max(want.values()) > 6
+
+
 def span_want(rows):
     """Sequential definition: the first place of a span by (doc_id, place) stays, null ids last."""
     seen, out = {}, {}
