@@ -478,7 +478,7 @@ def block_links(held: list[pa.RecordBatch], num: int, den: int, width: int = 409
         overlap += part @ part.T
     overlap = overlap.astype(np.int64)
     link = den * overlap >= num * (sizes[:, None] + sizes[None, :] - overlap)
-    if b.min() != b.max():
+    if held[0].column("b1")[0] != held[0].column("b2")[0]:  # two blocks, of which one may hold no set
         link &= b[:, None] != b[None, :]
     np.fill_diagonal(link, False)
     return rid, link.sum(axis=1).astype(np.int64)
