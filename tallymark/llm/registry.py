@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import shipped
-from . import exact_dedup, quality_rules
+from . import conversation_trie, exact_dedup, quality_rules, vector_codes
+from .conversation_trie import op11_conversation_trie
 from .curve_packing import op4_curve_packing
 from .exact_dedup import op7_chunk_recipe_dedup
 from .language_crf import op2_language_id
+from .learned_partitions import op12_learned_partitions
 from .mixing import op6_systematic_mixing
 from .ngram_join import op8_ngram_jaccard_join
 from .quality_rules import op9_quality_rules
@@ -18,6 +20,7 @@ from .secret_scan import op5_secret_scan
 from .span_dedup import op10_sentence_span_dedup
 from .token_counts import op3_token_counts
 from .token_file import op1_token_id_output
+from .vector_codes import op13_segment_mean_codes
 
 _QUERIES = [
     op1_token_id_output,
@@ -30,9 +33,17 @@ _QUERIES = [
     op8_ngram_jaccard_join,
     op9_quality_rules,
     op10_sentence_span_dedup,
+    op11_conversation_trie,
+    op12_learned_partitions,
+    op13_segment_mean_codes,
 ]
 #: The other operators can't be said in SQL (or carry a random offset or a trained model); tests/llm holds them against brute force.
-_ORACLES = {"op7_chunk_recipe_dedup": exact_dedup.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
+_ORACLES = {
+    "op7_chunk_recipe_dedup": exact_dedup.ORACLE,
+    "op9_quality_rules": quality_rules.ORACLE,
+    "op11_conversation_trie": conversation_trie.ORACLE,
+    "op13_segment_mean_codes": vector_codes.ORACLE,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
