@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
+
 FAILED = "NO_VALID_OUTPUT"
 CELL = ["model", "repeat"]
 
@@ -127,17 +129,19 @@ def legacy_metrics(rows: DataFrame, labels: list[str], by: list[str] = CELL) ->
     """Completed rows only for precision, recall and F1; accuracy_attempted keeps the others. Empty input gives 0."""
     done = F.col("status") == "valid"
     hit = F.coalesce(done & (F.col("prediction") == F.col("gold_label")), F.lit(False))
-    pct = lambda p: F.coalesce(F.percentile(F.when(done, F.col("latency_ms")), p), F.lit(0.0))
-    counts = rows.groupBy(*by).agg(F.count("*").alias("attempted"), F.count_if(done).alias("completed"), F.count_if(hit).alias("correct"), F.avg(F.when(done, F.col("latency_ms"))).alias("mean_latency_ms"), pct(0.5).alias("p50"), pct(0.95).alias("p95"))
+    pct = percentiles(rows.filter(done), by, {"p50": ("latency_ms", 0.5), "p95": ("latency_ms", 0.95)})
+    counts = rows.groupBy(*by).agg(F.count("*").alias("attempted"), F.count_if(done).alias("completed"), F.count_if(hit).alias("correct"), F.avg(F.when(done, F.col("latency_ms"))).alias("mean_latency_ms"))
     f1 = macro(per_class(rows.filter(done), labels, by), by).select(*by, "macro_f1")
-    return counts.join(f1, by, "left").select(*by, "attempted", "completed", ratio(F.col("correct"), F.col("completed")).alias("accuracy_completed"), ratio(F.col("correct"), F.col("attempted")).alias("accuracy_attempted"), F.coalesce("macro_f1", F.lit(0.0)).alias("macro_f1"), F.coalesce("mean_latency_ms", F.lit(0.0)).alias("mean_latency_ms"), "p50", "p95")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return counts.join(f1, by, "left").join(pct, by, "left").select(*by, "attempted", "completed", ratio(F.col("correct"), F.col("completed")).alias("accuracy_completed"), ratio(F.col("correct"), F.col("attempted")).alias("accuracy_attempted"), zero("macro_f1"), zero("mean_latency_ms"), zero("p50"), zero("p95"))
 
 
 def distribution(values: DataFrame, by: list[str], column: str) -> DataFrame:
     """count, mean, median, p90 and p95 (linear interpolation) of usable numbers; null where there is none."""
     v = F.col(column)
     good = values.filter(v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v < float("inf")))
-    return good.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.9).alias("p90"), F.percentile(v, 0.95).alias("p95"))
+    ranks = percentiles(good, by, {"median": (column, 0.5), "p90": (column, 0.9), "p95": (column, 0.95)})
+    return good.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean")).join(ranks, by)
 
 
 def repeat_stability(rows: DataFrame, labels: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import attempts as A
 from ..operators import matrix as X
+from ..operators.quantiles import percentiles
 from .base import MODELS, attempts, outcomes, query, records, table
 
 _H8 = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
@@ -219,7 +220,7 @@ def model_order(spark, d):
 
 @query("SELECT model, round(p95, 6) AS p95 FROM (SELECT model, quantile_cont(latency_ms, 0.95) AS p95 FROM outcomes WHERE status = 'valid' GROUP BY ALL) WHERE p95 > 0 ORDER BY p95, model LIMIT 1")
 def fastest_model(spark, d):
-    p = outcomes(spark, d).filter("status = 'valid'").groupBy("model").agg(F.percentile("latency_ms", 0.95).alias("p95")).filter("p95 > 0")
+    p = percentiles(outcomes(spark, d).filter("status = 'valid'"), ["model"], {"p95": ("latency_ms", 0.95)}).filter("p95 > 0")
     return p.agg(F.min(F.struct("p95", "model")).alias("m")).select("m.model", F.round("m.p95", 6).alias("p95"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..operators.quantiles import percentiles
 from .base import LABELS, attempts, outcomes, query, table
 
 _L = "('good'), ('poor'), ('toxic'), ('rare')"
@@ -87,8 +88,8 @@ def legacy_metrics(spark, d):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_quantity, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90 FROM lineitem GROUP BY ALL")
 def percentile_linear(spark, d):
-    x = table(spark, d, "lineitem").groupBy("l_returnflag")
-    return rounded(x.agg(F.percentile("l_quantity", 0.5).alias("p50"), F.percentile("l_extendedprice", 0.95).alias("p95"), F.percentile("l_extendedprice", 0.9).alias("p90")))
+    x = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
+    return rounded(percentiles(x, ["l_returnflag"], {"p50": ("l_quantity", 0.5), "p95": ("l_extendedprice", 0.95), "p90": ("l_extendedprice", 0.9)}))
 
 
 _SCOPES = """WITH s AS (
@@ -193,5 +194,5 @@ def figure_data_scores(spark, d):
 
 @query("SELECT model, count(*) AS n, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95 FROM outcomes WHERE repeat = 0 AND status = 'valid' GROUP BY ALL")
 def figure_data_latency(spark, d):
-    o = outcomes(spark, d).filter("repeat = 0 and status = 'valid'").groupBy("model")
-    return rounded(o.agg(F.count("*").alias("n"), F.percentile("latency_ms", 0.5).alias("p50"), F.percentile("latency_ms", 0.95).alias("p95")))
+    o = outcomes(spark, d).filter("repeat = 0 and status = 'valid'").select("model", "latency_ms")
+    return rounded(o.groupBy("model").agg(F.count("*").alias("n")).join(percentiles(o, ["model"], {"p50": ("latency_ms", 0.5), "p95": ("latency_ms", 0.95)}), "model"))
