@@ -30,12 +30,10 @@ from .shared import materialise, release
 
 #: About so many rows are sampled to learn from.
 SAMPLE = 16_384
-#: Rows aimed at in a part, and the most parts.
-PART, PARTS = 1024, 256
-#: Parts of a table of fewer rows.
-FEW = 4
+#: A table of n rows has sqrt(n) / SPARSE parts, FEW to PARTS of them, rounded up to a power of two.
+SPARSE, FEW, PARTS = 8, 4, 256
 #: Rows of a part's shard and queries of a block, about, that meet in one task.
-ROWS, QUERIES = 2048, 4096
+ROWS, QUERIES = 4096, 4096
 #: Neighbours in the graph and in the recall that is calibrated.
 NEIGHBOURS = 20
 #: Recall aimed at on rows of the sample that the classifier has not learned from.
@@ -154,7 +152,7 @@ def _classifier(x: np.ndarray, target: np.ndarray, rng: np.random.Generator, epo
 def fit(x: np.ndarray, rows: int, recall: float = RECALL, seed: int = 0) -> Router:
     """Learn the partitions of a table of `rows` rows from sample vectors x."""
     x = np.unique(x, axis=0)
-    parts = 2 ** max(0, math.ceil(math.log2(max(1, min(max(rows / PART, FEW), PARTS, len(x) / 32)))))
+    parts = 2 ** max(0, math.ceil(math.log2(max(1, min(max(math.sqrt(rows) / SPARSE, FEW), PARTS, len(x) / 32)))))
     if parts == 1:
         return Router([], 1, 1.0)
     rng = np.random.default_rng(seed)
