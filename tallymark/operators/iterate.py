@@ -1,8 +1,11 @@
-"""Cutting lineage between the rounds of an iteration, in the cluster's shared checkpoint folder."""
+"""Cutting lineage between the rounds of an iteration, and folders of an application's own, in the cluster's shared checkpoint folder."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +27,25 @@ def cut(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """The path of a new folder beside the checkpoints. It is deleted by clean_scratch(), when the application ends at the latest."""
+    path = f"{shared_dir(spark)}/tallymark/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def clean_scratch() -> None:
+    """Delete all folders that scratch() named. Call it once the results that read them are stored."""
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
+        with contextlib.suppress(Exception):
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+atexit.register(clean_scratch)

@@ -143,12 +143,10 @@ def plan_ordinal(spark, d):
 @query(f"WITH q AS ({_PLAN}) SELECT job_id, row_number() OVER (ORDER BY item_id, model, repeat) - 1 AS ordinal, model LIKE 'local:%' AS pending FROM q")
 def journal_init(spark, d):
     """Create a journal, resume it under the same protocol and manifest, and say which jobs are pending."""
-    import uuid
-
-    from ..operators.iterate import shared_dir
+    from ..operators.iterate import scratch
     from ..sources import journal as J
 
-    path, order = f"{shared_dir(spark)}/tallymark/journal-{uuid.uuid4().hex}", ["item_id", "model", "repeat"]
+    path, order = scratch(spark, "journal"), ["item_id", "model", "repeat"]
     J.open_journal(planned(spark, d), path, "protocol-1", order)
     again = J.open_journal(planned(spark, d).repartition(3), path, "protocol-1", order)
     left = J.pending(path, again.filter("model like 'remote:%'")).select("job_id", F.lit(True).alias("open"))

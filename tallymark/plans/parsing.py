@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing as P
 from ..sources import readers as S
-from .base import LABELS, outcomes, query, records, table
+from ..operators.iterate import cut, scratch
+from .base import LABELS, attempts, outcomes, query, records, table
 
 _SHAPES = [
     """'{"choices":[{"finish_reason":"stop","message":{"content":"{\\\\"prediction\\\\":\\\\"' || gold_label || '\\\\",\\\\"confidence\\\\":0.4}"}}]}'""",
@@ -160,17 +161,12 @@ def json_safe(spark, d):
 
 @query("SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events WHERE event_type = 'click'")
 def scan_jsonl(spark, d):
-    lines = table(spark, d, "events").filter("event_type = 'click'")
-    return lines.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
-
-
-def _folder(spark, name):
-    """A new folder beside the checkpoints, where the queries below put the files that they read."""
-    import uuid
-
-    from ..operators.iterate import shared_dir
-
-    return f"{shared_dir(spark)}/tallymark/{name}-{uuid.uuid4().hex}"
+    """JSON-lines files with blank lines, of which one locale (here: the event type) is kept."""
+    e = table(spark, d, "events")
+    line = F.to_json(F.struct("event_id", F.col("event_type").alias("locale"), F.from_json("props", "k bigint")["k"].alias("k")))
+    folder = scratch(spark, "lines")
+    e.select(F.explode(F.array(line, F.when(F.col("event_id") % 3 == 0, "  ").otherwise("")))).write.text(folder)
+    return S.read_jsonl(spark, folder, "event_id long, locale string, k long", "locale = 'click'").select("event_id", "k")
 
 
 def run_files(spark, d, folder):
@@ -190,7 +186,7 @@ _RUN = "run_id long, results array<struct<id: long, input: struct<text: string>,
 @query("SELECT n_regionkey AS run_id, count(*) AS results FROM nation WHERE n_regionkey = 1 GROUP BY ALL")
 def scan_json_doc(spark, d):
     """A whole-document read, and the tolerant form of a broken document, which gives no row."""
-    folder = run_files(spark, d, _folder(spark, "runs"))
+    folder = run_files(spark, d, scratch(spark, "runs"))
     good, broken = S.read_json_doc(spark, f"{folder}/run=1", _RUN), S.read_json_doc(spark, f"{folder}/run=4", _RUN, tolerant=True)
     return good.union(broken).select("run_id", F.size("results").cast("long").alias("results"))
 
@@ -198,7 +194,7 @@ def scan_json_doc(spark, d):
 def _saved(spark, d):
     from pyspark.sql import types as T
 
-    return S.read_saved_runs(spark, f"{run_files(spark, d, _folder(spark, 'runs'))}/run=*", T.StructType.fromDDL(_RUN))
+    return S.read_saved_runs(spark, f"{run_files(spark, d, scratch(spark, 'runs'))}/run=*", T.StructType.fromDDL(_RUN))
 
 
 @query("SELECT n_regionkey AS run_id, count(*) AS results FROM nation WHERE n_regionkey < 3 GROUP BY ALL")
@@ -214,7 +210,7 @@ def saved_run_view(spark, d):
 
 @query("SELECT n_nationkey, sha256(n_name || chr(10)) AS sha256, length(n_name) + 1 AS bytes FROM nation")
 def artifact_hash(spark, d):
-    folder = _folder(spark, "artifacts")
+    folder = scratch(spark, "artifacts")
     table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(folder)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/*").select("path").collect()  # one file a nation
     names = ["/".join(r["path"].split("/")[-2:]) for r in found]
@@ -238,11 +234,22 @@ def scan_validated(spark, d):
     return S.validated_pairs(rows).drop("id")
 
 
-@query("SELECT job_id, model, repeat, status FROM outcomes WHERE model LIKE 'remote:%'")
+@query("SELECT o.job_id, o.model, o.repeat, o.status, count(a.event_id) AS events FROM outcomes o LEFT JOIN attempts a ON a.job_id = o.job_id AND a.attempt = 1 WHERE o.model LIKE 'remote:%' GROUP BY ALL")
 def scan_journal(spark, d):
-    o = outcomes(spark, d).filter("model like 'remote:%'")
-    text = o.select(F.to_json(F.struct("job_id", "model", "repeat", "status")).alias("j"))
-    return text.select(F.from_json("j", "job_id string, model string, repeat int, status string").alias("r")).select("r.*")
+    """The three tables of a journal at one version, read while a writer goes on: what is committed later (second attempts) isn't seen."""
+    from ..sources.journal import Journal
+
+    o = cut(outcomes(spark, d).filter("model like 'remote:%'"))
+    events = attempts(spark, d).select("job_id", "event_id", "attempt_id", "phase", "attempt", "execution_id", "will_retry", "http_status", "duration_ms", F.lit(None).cast("string").alias("outcome"))
+    planned = o.select("job_id", F.col("item_id").cast("string").alias("item_id"), F.coalesce("group_id", F.lit("-")).alias("group_id"), "model", "repeat", "gold_label")
+    journal = Journal.create(planned, scratch(spark, "journal"), "protocol-1", ["job_id"])
+    journal.append(events.filter("attempt = 1"))
+    done = o.filter("status is not null").select("job_id", "status", "prediction", F.lit(None).cast("timestamp").alias("terminal_at"))
+    seen = journal.snapshot(journal.finish(done).number)
+    journal.append(events.filter("attempt > 1"))
+    counts = seen["attempts"].groupBy("job_id").agg(F.count("*").alias("events"))
+    rows = seen["planned"].join(seen["outcomes"].select("job_id", "status"), "job_id", "left").join(counts, "job_id", "left")
+    return rows.select("job_id", "model", "repeat", "status", F.coalesce("events", F.lit(0)).alias("events"))
 
 
 @query("SELECT printf('demo-%03d', row_number() OVER (ORDER BY l, t, s)) AS id, label, text || suffix AS text, 'demo-' || label || '-' || t AS group_id FROM (VALUES (0, 'billing', 0, 'charged twice'), (0, 'billing', 1, 'refund missing'), (1, 'technical', 0, 'login fails'), (1, 'technical', 1, 'page is blank'), (2, 'complaint', 0, 'nobody answers')) v(l, label, t, text) CROSS JOIN (VALUES (0, ''), (1, ', please help'), (2, ' again')) x(s, suffix)")
