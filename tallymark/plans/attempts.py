@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import attempts as A
 from ..operators import matrix as X
+from ..operators import run_states as R
 from ..operators.quantiles import percentiles
 from .base import MODELS, attempts, outcomes, query, records, table
 
@@ -240,15 +241,38 @@ def events_after(spark, d):
     return e.crossJoin(F.broadcast(top)).filter("event_id >= m - 49").select("event_id", "event_type", (F.col("m") + 1).alias("next_cursor"))
 
 
-@query("SELECT user_id, arg_max(event_type, event_id) AS state, count(*) AS events FROM events GROUP BY ALL")
+#: events as the events of runs: a user's day is a run.
+_RUN_KIND = "CASE event_type WHEN 'signup' THEN 'started' WHEN 'view' THEN 'record_started' WHEN 'click' THEN 'prediction' WHEN 'purchase' THEN 'finished' ELSE CASE WHEN event_id % 3 = 0 THEN 'error' WHEN event_id % 3 = 1 THEN 'stopping' ELSE 'stopped' END END"
+_RUNS = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER w AS k, coalesce(ms - lag(ms) OVER w > {R.SILENCE_MS}, false) AS gap
+  FROM (SELECT user_id || '-' || day(ts) AS run_id, event_id, epoch_ms(ts) AS ms, {_RUN_KIND} AS kind FROM events) WINDOW w AS (PARTITION BY run_id ORDER BY ms, event_id)),
+moves(here, kind, there) AS (VALUES {", ".join(f"('{s}', '{k}', '{t}')" for (s, k), t in R.MOVES.items())}),
+r AS (SELECT run_id, k - 1 AS k, 'queued' AS state, 0::BIGINT AS accepted, 0::BIGINT AS refused, false AS silent, ms FROM e WHERE k = 1
+  UNION ALL SELECT e.run_id, e.k, coalesce(there, was), accepted + (there IS NOT NULL)::INT, refused + (there IS NULL)::INT, silent OR e.gap AND state IN ('running', 'stopping'), e.ms
+  FROM (SELECT r.*, CASE WHEN n.gap AND r.state IN ('running', 'stopping') THEN 'failed' ELSE r.state END AS was FROM r JOIN e n ON n.run_id = r.run_id AND n.k = r.k + 1) r
+  JOIN e ON e.run_id = r.run_id AND e.k = r.k + 1 LEFT JOIN moves ON here = was AND moves.kind = e.kind),
+f AS (SELECT *, state IN ('running', 'stopping') AND (SELECT max(ms) FROM e) - ms > {R.SILENCE_MS} AS quiet FROM r QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY k DESC) = 1),
+s AS (SELECT run_id, CASE WHEN quiet THEN 'failed' ELSE state END AS state, accepted, refused, quiet OR silent AS silent FROM f)
+"""
+
+
+def run_events(spark, d):
+    return table(spark, d, "events").select(F.concat_ws("-", "user_id", F.dayofmonth("ts")).alias("run_id"), "event_id", F.expr(_RUN_KIND).alias("kind"), "ts")
+
+
+@query(_RUNS + "SELECT run_id, state, CASE WHEN state = 'failed' THEN CASE WHEN silent THEN 'silent' ELSE 'error' END END AS reason, accepted, refused FROM s")
 def run_state(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("state"), F.count("*").alias("events"))
+    return R.run_states(run_events(spark, d)).drop("last_ms")
 
 
-@query("WITH s AS (SELECT user_id, arg_max(event_type, event_id) AS state FROM events GROUP BY ALL) SELECT count(*) AS runs, count(*) FILTER (WHERE state IN ('click', 'view')) AS active FROM s")
+@query(_RUNS + "SELECT count(*) AS runs, count(*) FILTER (WHERE state IN ('running', 'stopping')) AS active, count(*) FILTER (WHERE state = 'failed' AND silent) AS silent FROM s")
 def active_runs(spark, d):
-    s = table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("state"))
-    return s.agg(F.count("*").alias("runs"), F.count_if(F.col("state").isin("click", "view")).alias("active"))
+    return R.run_states(run_events(spark, d)).agg(F.count("*").alias("runs"), F.count_if(F.col("state").isin(*R.ACTIVE)).alias("active"), F.count_if(F.col("reason") == "silent").alias("silent"))
+
+
+@query(_RUNS + """SELECT e.run_id, e.event_id, e.kind, CASE WHEN e.gap AND r.state IN ('running', 'stopping') THEN 'failed' ELSE r.state END AS state
+FROM e JOIN r ON r.run_id = e.run_id AND r.k = e.k - 1 LEFT JOIN moves ON here = CASE WHEN e.gap AND r.state IN ('running', 'stopping') THEN 'failed' ELSE r.state END AND moves.kind = e.kind WHERE there IS NULL""")
+def refused_events(spark, d):
+    return R.refused(run_events(spark, d))
 
 
 @query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
