@@ -275,6 +275,23 @@ def refused_events(spark, d):
     return R.refused(run_events(spark, d))
 
 
+_REQUESTS = "SELECT model AS budget, event_id AS seq, CASE phase WHEN 'started' THEN 'ask' ELSE 'return' END AS kind, attempt_id AS request_id, CASE phase WHEN 'started' THEN 1 + item_id % 7 ELSE item_id % 4 END AS n FROM attempts WHERE repeat = 0 AND attempt < 3"
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT *, row_number() OVER (PARTITION BY budget ORDER BY seq) AS k FROM ({_REQUESTS})),
+r AS (SELECT budget, 0::BIGINT AS k, 300::BIGINT AS free, '' AS request_id, 0::BIGINT AS seq, 0::BIGINT AS granted, false AS refused, MAP {{}}::MAP(VARCHAR, BIGINT) AS held FROM q WHERE k = 1
+  UNION ALL SELECT budget, k, CASE WHEN kind = 'ask' THEN free - granted WHEN refused THEN free ELSE free + has - n END, request_id, seq, granted, refused,
+    CASE WHEN kind = 'ask' THEN map_concat(held, MAP {{request_id: granted}}) WHEN refused THEN held ELSE map_concat(held, MAP {{request_id: -1::BIGINT}}) END
+  FROM (SELECT *, CASE WHEN kind = 'ask' THEN greatest(0, least(n, 5, free)) ELSE 0 END AS granted, kind = 'return' AND NOT (n BETWEEN 0 AND has) AS refused
+    FROM (SELECT q.*, r.free, r.held, coalesce(r.held[q.request_id], -1) AS has FROM r JOIN q ON q.budget = r.budget AND q.k = r.k + 1)))
+SELECT budget, request_id, seq, granted, free, refused FROM r WHERE k > 0""")
+def lease_deals(spark, d):
+    """Calls leased to attempts as they start and given back as they finish, for budgets of 300 calls in blocks of 5."""
+    from ..operators.budget import deal
+
+    return deal(spark.sql(_REQUESTS.replace("FROM attempts", "FROM {attempts}"), attempts=attempts(spark, d)), 300, 5)
+
+
 @query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
 def latest_runs(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
