@@ -6,6 +6,8 @@ header names an algorithm), `b64key` and `hexkey` (base64 or hex that decodes to
 a confirmed PEM block or token; base64 may run over several lines). A key encoding is an OpenSSH container or DER whose nested
 lengths fill each other exactly and whose outline is that of a private key (PKCS#1, PKCS#8, encrypted PKCS#8 or SEC 1). The
 body of a traditional encrypted PEM block is ciphertext and has no outline: its length must be whole blocks of the cipher named.
+Base64 over several lines is walked line by line: a key says itself how long it is, so it ends where its encoding does, at the end of a line, whatever
+comes after it.
 
 Edge cases: values and JSON nested without end are no keys; a text of any length is scanned whole, in time in proportion to it;
 null counts as empty and has no spans; an empty table gives no rows; repeated rows are scanned alike; a span lies
@@ -16,7 +18,9 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
+import itertools
 import json
 import re
 
@@ -38,10 +42,13 @@ _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*+(?:-(?!----)[^
 _HEADERS = re.compile(r"\s*(?:[A-Za-z0-9-]+:[^\n]*\n(?:[ \t]+[^\n]*\n)*)+[ \t\r]*\n")
 _CIPHER = re.compile(r"DEK-Info:\s*([A-Z0-9-]+),([0-9A-Fa-f]+)")
 _OPENSSH = b"openssh-key-v1\0"
+_OPENSSH_B64 = base64.b64encode(_OPENSSH).decode()
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{5,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]*+")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{48,}={0,2}")
-#: Base64 over several lines without a PEM frame.
-_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,}+\r?\n[ \t]*+)++[A-Za-z0-9+/]++={0,2}")
+#: Base64 over several lines without a PEM frame: a line that goes on, and what follows the last such line.
+_LINE = re.compile(r"(?<![A-Za-z0-9+/])([A-Za-z0-9+/]{40,}+)\r?\n[ \t]*+")
+_LAST = re.compile(r"[A-Za-z0-9+/]*+={0,2}")
+_PADDING = re.compile(r"(?:(?:\r?\n[ \t]*+)?={1,2})?")
 _HEXES = re.compile(r"[0-9a-fA-F]{64,}")
 
 
@@ -157,6 +164,118 @@ def _key(data: bytes, inside: bool = True) -> bool:
     return False
 
 
+class _Run:
+    """The base64 of a block of lines as one string, decoded only where it is looked at."""
+
+    def __init__(self, lines: list[tuple[int, str]]):
+        self.starts, self.offsets, at = [p for p, _ in lines], [], 0
+        for _, chars in lines:
+            self.offsets.append(at)
+            at += len(chars)
+        self.chars, self.ends = "".join(chars for _, chars in lines), {*self.offsets[1:], at}
+
+    def bytes(self, start: int, at: int, n: int) -> bytes:
+        """n bytes from byte `at` of what begins at character `start`."""
+        a = start + at // 3 * 4
+        return base64.b64decode(self._even(self.chars[a : a + (at % 3 + n + 2) // 3 * 4]))[at % 3 : at % 3 + n]
+
+    @staticmethod
+    def _even(chars: str) -> str:
+        chars = chars[: len(chars) - (len(chars) % 4 == 1)]
+        return chars + "=" * (-len(chars) % 4)
+
+    def whole(self, start: int, n: int) -> tuple[bytes, int] | None:
+        """The n bytes from character `start`, and the character behind their encoding, if that is where a line ends."""
+        end = start + (n * 4 + 2) // 3
+        return (base64.b64decode(self._even(self.chars[start:end]))[:n], end) if end in self.ends else None
+
+    def text_end(self, end: int) -> int:
+        """The place in the text behind character `end` - 1."""
+        k = bisect.bisect_right(self.offsets, end - 1) - 1
+        return self.starts[k] + end - self.offsets[k]
+
+
+def _der_size(run: _Run, start: int) -> int | None:
+    """The size of a value that opens like a key, if its parts fill it: only their heads are decoded."""
+    top = _tlv_head(run.bytes(start, 0, 6))
+    if not top or top[0] != 0x30 or start + (sum(top[1:]) * 4 + 2) // 3 not in run.ends:
+        return None
+    at, end = top[1], sum(top[1:])
+    for _ in range(12):  # no key has more parts
+        part = _tlv_head(run.bytes(start, at, 6))
+        if not part:
+            return None
+        at += sum(part[1:])
+        if at >= end:
+            return end if at == end else None
+    return None
+
+
+def _tlv_head(data: bytes) -> tuple[int, int, int] | None:
+    """Tag, size of the head and size of the value."""
+    if len(data) < 2:
+        return None
+    if not data[1] & 0x80:
+        return data[0], 2, data[1]
+    k = data[1] & 0x7F
+    n = int.from_bytes(data[2 : 2 + k])
+    return (data[0], 2 + k, n) if 1 <= k <= 4 and len(data) >= 2 + k and data[2] and n >= 0x80 else None
+
+
+def _openssh_size(run: _Run, start: int) -> int | None:
+    """The size of an OpenSSH container, by the sizes of its parts."""
+    at, number = len(_OPENSSH), lambda at: int.from_bytes(x) if len(x := run.bytes(start, at, 4)) == 4 else None
+    for _ in range(3):
+        if (n := number(at)) is None:
+            return None
+        at += 4 + n
+    count = number(at)
+    if count is None or count > len(run.chars) // 4:
+        return None
+    at += 4
+    for _ in range(count + 1):
+        if (n := number(at)) is None:
+            return None
+        at += 4 + n
+    return at
+
+
+def _wrapped(text: str):
+    """(start, end) of keys in base64 over several lines. Each line is looked at as a first one, and decoded further only where it opens like a key."""
+    block: list[tuple[int, str]] = []
+    end = 0
+    for m in itertools.chain(_LINE.finditer(text), (None,)):
+        if block and (m is None or m.start() != end):
+            last = _LAST.match(text, end)
+            yield from _keys_of_block(text, [*block, (end, last[0].rstrip("="))] if last[0].rstrip("=") else block)
+            block = []
+        if m:
+            block.append((m.start(), m[1]))
+            end = m.end()
+
+
+def _keys_of_block(text: str, lines: list[tuple[int, str]]):
+    if len(lines) < 2:
+        return
+    run, done, found = _Run(lines), 0, False
+    for (begin, chars), start in zip(lines, run.offsets, strict=True):
+        if start < done or not chars.startswith(("M", _OPENSSH_B64)):
+            continue
+        n = _openssh_size(run, start) if chars.startswith(_OPENSSH_B64) else _der_size(run, start)
+        got = run.whole(start, n) if n else None
+        if got and start + len(chars) < got[1] and (openssh_key(got[0]) or private_key_der(got[0])):
+            done, found = got[1], True
+            yield begin, _PADDING.match(text, run.text_end(done)).end()
+    if not found:  # the text of a framed key or of a token, as far as it is text
+        data = base64.b64decode(run._even(run.chars))
+        data = data[: re.match(rb"[\x00-\x7f]*+", data).end()]
+        said = data.decode()
+        ends = [m.end() for m in _PEM.finditer(said) if _pem(m)] + [m.end() for m in _JWT.finditer(said) if _jwt(m)]
+        if ends:
+            k = min(bisect.bisect_left(run.offsets, (max(ends) * 4 + 2) // 3), len(lines))
+            yield lines[0][0], _PADDING.match(text, lines[k - 1][0] + len(lines[k - 1][1])).end()
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """All (start, kind's place in KINDS, end) of a text, in order."""
     out = []
@@ -174,8 +293,12 @@ def scan(text: str) -> list[tuple[int, int, int]]:
         if _key(_decoded(m[0])):
             out.append((m.start(), 5, m.end()))
         out += [(h.start() + m.start() + skip, 6, h.end() + m.start() - (len(h[0]) % 2 - skip)) for h in _HEXES.finditer(m[0]) for skip in range(1 + len(h[0]) % 2) if _hex_key(h[0], skip)]
-    framed = [(a, b) for a, k, b in out if k == 3]
-    out += [(m.start(), 5, m.end()) for m in _WRAPPED.finditer(text) if not any(a <= m.start() < b for a, b in framed) and _key(_decoded(m[0]))]
+    framed = [(a, b) for a, k, b in out if k == 3]  # in order, and apart from each other
+    begins = [a for a, _ in framed]
+    for a, b in _wrapped(text):
+        k = bisect.bisect_right(begins, a) - 1
+        if k < 0 or framed[k][1] <= a:
+            out.append((a, 5, b))
     return sorted(out)
 
 

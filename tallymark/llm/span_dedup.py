@@ -132,8 +132,5 @@ def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS, long_words: int = L
 
 
 def op10_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the sentences that repeat an earlier place of a span that several documents hold.
-
-    What one document alone repeats (a chant, a list) is its own and stays; dedup_spans() removes it too unless told `across`.
-    """
-    return dedup_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), across=True)
+    """All documents without the sentences that repeat an earlier place of a span, in another document or in their own."""
+    return dedup_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -4,6 +4,7 @@ import base64
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -306,3 +307,66 @@ def test_quality_rules(docs):
     prose = " ".join(f"word{i} the" for i in range(60))
     assert quality_rules.judge(docs((1, prose))).first().kept
     assert quality_rules.judge(docs((1, prose)).limit(0)).count() == 0
+
+
+def pkcs1(n):
+    rng = random.Random(n)
+    return der(0x30, integer(0), *(der(2, bytes([1, *rng.randbytes(n)])) for _ in range(8)))
+
+
+def test_wrapped_keys_of_every_length_whatever_follows():
+    """Keys whose last line has every length from 1 to 64, with and without padding, in front of whatever may come."""
+    last, tails = set(), ("", "\n", "\n\n", "\nSome prose follows.", "\n\nText", " and", "\r\nX", "\n" + "a" * 70 + "\nb", "=")
+    for n in range(20, 70):
+        for extra in range(3):
+            whole = base64.b64encode(der(0x30, integer(0), *(der(2, bytes([1, *random.Random(n).randbytes(n + (k < extra))])) for k in range(8)))).decode()
+            for run in {whole, whole.rstrip("=")}:
+                body = "\n".join(run[i : i + 64] for i in range(0, len(run), 64))
+                last.add(len(run.rstrip("=")) % 64)
+                for tail in tails[: None if run == whole.rstrip("=") else -1]:
+                    for head in ("", "key: ", "prose.\n", "x" * 50 + "\n"):
+                        text = head + body + tail
+                        spans = [(a, b) for a, k, b in secret_scan.scan(text) if k == 5]
+                        assert any(a == len(head) and abs(b - len(head) - len(body)) <= (tail == "=") for a, b in spans), (n, tail, head)
+    assert len(last) >= 24
+    two = "\n".join(base64.encodebytes(pkcs1(n)).decode().rstrip("=\n") for n in (40, 57)).replace("\n\n", "\n")
+    assert len([1 for _, k, _ in secret_scan.scan(two) if k == 5]) == 2  # one right behind the other
+    for bad in (pkcs1(40)[:-1], pkcs1(40) + b"x" * 5, b"\x30\x82" + b"y" * 400):
+        assert not [1 for _, k, _ in secret_scan.scan(base64.encodebytes(bad).decode()) if k == 5]
+    inner = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(pkcs1(30)).decode() + "-----END RSA PRIVATE KEY-----\n"
+    for tail in ("", "\nHello there", "!"):
+        run = base64.encodebytes(inner.encode()).decode().rstrip("=\n")
+        assert [(a, b) for a, k, b in secret_scan.scan(run + tail) if k == 5] == [(0, len(run))]
+    run = base64.encodebytes(openssh()).decode().rstrip("\n")
+    assert [(a, b) for a, k, b in secret_scan.scan("k=" + run + "\nnext") if k == 5] == [(2, 2 + len(run))]
+
+
+def test_texts_of_many_lines_take_time_in_proportion():
+    rng = random.Random(1)
+    line = lambda head="": head + base64.b64encode(rng.randbytes(36)).decode()
+    for head in ("", "MIIEpAIBAAKCAQEA", secret_scan._OPENSSH_B64[:16]):
+        seconds = []
+        for n in (5_000, 40_000):
+            text = "\n".join(line(head) for _ in range(n)) + "!"
+            began = time.process_time()
+            secret_scan.scan(text)
+            seconds.append(time.process_time() - began)
+        assert seconds[1] < 8 * 3 * seconds[0] + 0.5
+
+
+def test_long_texts_of_many_words_and_lines(docs):
+    """120,000 words on 20,000 lines go whole through counting, joining, rules and spans."""
+    from tallymark.llm import ngram_join, quality_rules, span_dedup
+
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(30_000)}" for _ in range(120_000)]
+    text = "".join(" ".join(words[i : i + 6]) + ".\n" for i in range(0, len(words), 6))
+    table = docs((1, text), (2, text.replace("\n", "\n\n") + "one more line."), (3, "short."))
+    said = text.split()
+    shingles = len(set(zip(said, said[1:], said[2:], strict=False)))
+    got = {r.doc_id: r for r in ngram_join.similar(table, 3, 9, 10).collect()}
+    assert got[1].n_shingles == shingles and got[1].component_id == got[2].component_id == 1 and got[3].component_id == 3
+    rules = {r.doc_id: r for r in quality_rules.judge(table).collect()}
+    assert rules[1].n_words == 120_000 and rules[2].n_words == 120_003
+    spans = {r.doc_id: r for r in span_dedup.dedup_spans(table).collect()}
+    assert spans[1].n_chars_removed == 0 and spans[2].text.split() == ["one", "more", "line."]
