@@ -8,8 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import components
 from .iterate import cut
 
+#: Pairs of a component that one task goes through.
+SMALL = 100_000
+
 
 def tfidf(units: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), sublinear: bool = False, fit: DataFrame | None = None) -> DataFrame:
     """unit, gram, w (L2-normalised), df. Weights are tf x (ln((1 + N) / (1 + df)) + 1); df and N come from `fit` if given."""
@@ -55,18 +59,39 @@ def cosine_pairs(vectors: DataFrame, threshold: float, among: DataFrame | None =
     return dots.filter(F.col("cosine") >= threshold)
 
 
-def greedy_removal(units: DataFrame, pairs: DataFrame) -> DataFrame:
+def greedy_removal(units: DataFrame, pairs: DataFrame, small: int = SMALL) -> DataFrame:
     """unit and the kept unit that removes it. units: unit, rank (0, 1, ...), can_win; pairs: i, j in either order.
 
-    Going by rank, a unit is removed by the first kept unit before it that can win and is similar. In rounds: a unit is kept
-    once every earlier winner beside it is removed, and removed once one of them is kept; each round decides the lowest open
-    unit of every chain at least, so the rounds end with the sequential answer.
+    Going by rank, a unit is removed by the first kept unit before it that can win and is similar. A component of up to `small` such pairs is gone through
+    by rank in its group, so a long chain costs no more rounds than a short one; larger ones are decided in rounds.
     """
+    kind = units.schema["unit"].dataType.simpleString()
     r = units.select("unit", "rank", "can_win")
     both = pairs.select("i", "j").union(pairs.select(F.col("j"), F.col("i")))
     edges = both.join(r.select(F.col("unit").alias("i"), F.col("rank").alias("ri"), F.col("can_win").alias("wins")), "i").join(r.select(F.col("unit").alias("j"), F.col("rank").alias("rj")), "j")
-    edges = cut(edges.filter("wins and ri < rj").select(F.col("i").alias("winner"), F.col("ri").alias("winner_rank"), F.col("j").alias("unit")))
-    state = cut(r.select("unit", F.lit(None).cast("boolean").alias("kept"), F.lit(None).cast(units.schema["unit"].dataType).alias("by")))
+    edges = cut(edges.filter("wins and ri < rj").select(F.col("i").alias("winner"), F.col("ri").alias("winner_rank"), F.col("j").alias("unit"), F.col("rj").alias("unit_rank")))
+    placed = cut(edges.join(components(edges.select(F.col("winner").alias("a"), F.col("unit").alias("b"))), F.col("winner") == F.col("node")).drop("node"))
+    sizes = cut(placed.groupBy("component").agg((F.count("*") > small).alias("large")))
+
+    def by_rank(key: tuple, table: pa.Table) -> pa.Table:
+        before, removed = {}, {}
+        for winner, rank, unit, at in zip(*(table[c].to_pylist() for c in ("winner", "winner_rank", "unit", "unit_rank")), strict=True):
+            before.setdefault((at, unit), []).append((rank, winner))
+        for (_, unit), winners in sorted(before.items(), key=lambda x: x[0][0]):
+            kept = [w for w in winners if w[1] not in removed]
+            if kept:
+                removed[unit] = min(kept)[1]
+        return pa.table([pa.array(list(x), table.schema.field("unit").type) for x in (removed, removed.values())], names=["unit", "kept_unit"])
+
+    done = placed.join(sizes.filter("not large"), "component").groupBy("component").applyInArrow(by_rank, f"unit {kind}, kept_unit {kind}")
+    rest = placed.join(sizes.filter("large"), "component", "left_semi")
+    return done if rest.isEmpty() else done.union(_in_rounds(r, cut(rest)))
+
+
+def _in_rounds(units: DataFrame, edges: DataFrame) -> DataFrame:
+    """A unit is kept once every earlier winner beside it is removed, and removed once one of them is kept; each round decides the lowest open unit of every chain at least."""
+    held = edges.select("winner").union(edges.select("unit")).distinct().select(F.col("winner").alias("unit"))
+    state = cut(held.select("unit", F.lit(None).cast("boolean").alias("kept"), F.lit(None).cast(units.schema["unit"].dataType).alias("by")))
     while True:
         w = state.select(F.col("unit").alias("winner"), F.col("kept").alias("winner_kept"))
         seen = edges.join(w, "winner").groupBy("unit").agg(F.bool_or(F.coalesce("winner_kept", F.lit(False))).alias("hit"), F.bool_and(F.coalesce(~F.col("winner_kept"), F.lit(False))).alias("free"), F.min_by(F.when(F.col("winner_kept"), F.col("winner")), F.when(F.col("winner_kept"), F.col("winner_rank"))).alias("who"))

@@ -1,5 +1,6 @@
 """Hygiene, attempt log, parsing, sources and similarity against small literal cases and plain loops."""
 
+import collections
 import json
 import random
 
@@ -231,3 +232,31 @@ def test_execute_keeps_every_job(spark):
 
     got = M.execute(spark.createDataFrame([("1",), ("2",), ("3",)], "job_id string"), predictor, ["x"]).collect()
     assert {r.job_id: r.status for r in got} == {"1": "valid", "2": "execution_error", "3": "execution_error"}
+
+
+def test_long_chains_and_large_components(spark):
+    """A chain of 1,000 units takes a bounded number of jobs; components too large for a group are decided in rounds; both equal the loop."""
+    rng = random.Random(8)
+    chain = [(i, i + 1) for i in range(1000)]
+    mesh = [(2000 + a, 2000 + b) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.3]
+    order = list(range(1001)) + rng.sample(range(2000, 2040), 40)
+    wins = {u: rng.random() < 0.8 if u >= 2000 else True for u in order}
+    u = spark.createDataFrame([(x, k, wins[x]) for k, x in enumerate(order)], "unit int, rank int, can_win boolean")
+    near, want, kept = collections.defaultdict(set), {}, []
+    for a, b in chain + mesh:
+        near[a].add(b)
+        near[b].add(a)
+    for x in order:
+        hit = next((k for k in kept if k in near[x] and wins[k]), None)
+        if hit is None:
+            kept.append(x)
+        else:
+            want[x] = hit
+    pairs = spark.createDataFrame(chain + mesh, "i int, j int").repartition(3)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("greedy", "")
+    assert dict(S.greedy_removal(u, pairs).collect()) == want
+    jobs = len(tracker.getJobIdsForGroup("greedy"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert jobs < 300
+    assert dict(S.greedy_removal(u.filter("unit >= 2000"), pairs.filter("i >= 2000"), small=10).collect()) == {k: v for k, v in want.items() if k >= 2000}
