@@ -58,6 +58,15 @@ def bootstrap_ci(spark, d):
     return b.select("figure", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
+@query(None)
+def bootstrap_split(spark, d):
+    """10,000 resamples of the groups, draws dealt out by splitting."""
+    from ..operators.resampling import bootstrap_split as split
+
+    b = split(*arms(spark, d), LABELS, 10_000, SEED)
+    return b.select("figure", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
 _PERMUTE = """, d AS (SELECT sum(right_a::INT - right_b::INT) AS d, row_number() OVER (ORDER BY {0}) - 1 AS place FROM p GROUP BY {0}),
 o AS (SELECT abs(sum(d)) AS observed, sum(d)::BIGINT AS difference, count(*) AS groups FROM d)"""
 
