@@ -39,7 +39,7 @@ def resolve_one(refs: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 # The repeats that each local family must have been fitted for.
-LOCAL_REPEATS = {"majority": 1, "lr": 1, "linear_svc": 1, "gbt": 5, "forest": 5}
+LOCAL_REPEATS = {"majority": 1, "lr": 1, "linear_svc": 1, "depthwise": 5, "leafwise": 5}
 _DIGEST = re.compile(r"[0-9a-f]{64}")
 
 

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hygiene import seeded
@@ -124,7 +125,7 @@ def paired_power(n: int, difference: float, discordance: float, alpha: float = 0
 
     favour, total = 0.5 + difference / (2 * discordance), 0.0
     for m, weight in enumerate(pmf(n, discordance)):
-        if m and weight > 0:
+        if m and weight > 1e-18:  # all others together are below what a double tells apart
             null, real, cut, cdf = pmf(m, 0.5), pmf(m, favour), -1, 0.0
             while cut + 1 <= m and cdf + null[cut + 1] <= alpha / 2 + 1e-15:
                 cut += 1
@@ -133,9 +134,14 @@ def paired_power(n: int, difference: float, discordance: float, alpha: float = 0
     return total
 
 
-def power_table(spark: SparkSession, rows: list[tuple[int, float, float, float]]) -> DataFrame:
-    """n, difference, discordance, alpha and power of each design."""
-    return spark.createDataFrame([(*r, paired_power(*r)) for r in rows], "n int, difference double, discordance double, alpha double, power double")
+def power_table(designs: DataFrame) -> DataFrame:
+    """The designs (n, difference, discordance, alpha) with the power of each."""
+
+    @F.pandas_udf("double")
+    def power(n: pd.Series, difference: pd.Series, discordance: pd.Series, alpha: pd.Series) -> pd.Series:
+        return pd.Series([paired_power(int(a), *map(float, rest)) for a, *rest in zip(n, difference, discordance, alpha, strict=True)], dtype="float64")
+
+    return designs.withColumn("power", power("n", "difference", "discordance", "alpha"))
 
 
 def wilson_half_width(n, z: float = 1.959963984540054):

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import attempts as A
 from ..operators import matrix as X
 from ..operators import run_states as R
+from ..operators.governance import REQUIRED_GATES
+from ..operators.governance import gate_failures as failures
 from ..operators.quantiles import percentiles
 from .base import MODELS, attempts, outcomes, query, records, table
 
@@ -223,10 +225,13 @@ def fastest_model(spark, d):
     return p.agg(F.min(F.struct("p95", "model")).alias("m")).select("m.model", F.round("m.p95", 6).alias("p95"))
 
 
-@query("WITH f AS (SELECT model, family, f1, i FROM (VALUES ('lr', 'lr', 0.81, 0), ('svc', 'svc', 0.80, 1), ('gbt', 'gbt', 0.81, 2)) v(model, family, f1, i)) SELECT model, round(f1::DOUBLE, 6) AS f1 FROM f ORDER BY f1 DESC, i LIMIT 1")
+@query("WITH f AS (SELECT split_part(model, ':', 1) AS family, model, repeat, count(*) FILTER (WHERE status = 'valid' AND prediction = gold_label) / count(*) AS score FROM outcomes WHERE split = 'validation' GROUP BY ALL) SELECT family, model, repeat, round(score, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY family ORDER BY score DESC, repeat, model) = 1")
 def best_candidate(spark, d):
-    f = spark.createDataFrame([("lr", 0.81, 0), ("svc", 0.80, 1), ("gbt", 0.81, 2)], "model string, f1 double, i int")
-    return f.agg(F.min(F.struct((-F.col("f1")).alias("s"), "i", "model", "f1")).alias("b")).select("b.model", F.round("b.f1", 6).alias("f1"))
+    """Each family's candidate of the highest score on validation, then of the first repeat and name."""
+    hit = F.coalesce((F.col("status") == "valid") & (F.col("prediction") == F.col("gold_label")), F.lit(False))
+    f = outcomes(spark, d).filter("split = 'validation'").groupBy(F.split_part("model", F.lit(":"), F.lit(1)).alias("family"), "model", "repeat").agg((F.count_if(hit) / F.count("*")).alias("score"))
+    best = f.groupBy("family").agg(F.min(F.struct((-F.col("score")).alias("low"), "repeat", "model")).alias("b"))
+    return best.select("family", "b.model", "b.repeat", F.round(-F.col("b.low"), 6).alias("score"))
 
 
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 100")
@@ -302,11 +307,22 @@ def status_snapshot(spark, d):
     return outcomes(spark, d).groupBy("split", "model").agg(F.count("*").alias("planned"), F.count("status").alias("terminal")).withColumn("complete", F.col("planned") == F.col("terminal"))
 
 
-@query("WITH g AS (SELECT v AS x FROM (VALUES ('provenance_license'), ('human_gold'), ('independent_test_units'), ('duplicate_audit'), ('local_validation_selection'), ('remote_dev_compatibility'), ('protocol_tests'), ('fixed_analysis'), ('model_identity'), ('executable_budget')) t(v)), s AS (SELECT 'human_gold' AS name, true AS passed, 'audit' AS evidence UNION ALL SELECT 'duplicate_audit', true, '' UNION ALL SELECT 'fixed_analysis', false, 'x') SELECT x AS name FROM g LEFT JOIN s ON s.name = x WHERE NOT coalesce(passed AND evidence <> '', false)")
-def gate_failures(spark, d):
-    from ..operators.governance import gate_failures as failures
+_GATES = """SELECT 'human_gold' AS name, count(*) = count(gold_label) AS passed, count(*) || ' records' AS evidence FROM records
+UNION ALL SELECT 'independent_test_units', count(DISTINCT group_id) >= 3, count(DISTINCT group_id) || ' groups' FROM records WHERE split = 'test'
+UNION ALL SELECT 'duplicate_audit', count(*) = count(DISTINCT text), count(*) - count(DISTINCT text) || ' copies' FROM records
+UNION ALL SELECT 'model_identity', count(DISTINCT model) = 4, '' FROM outcomes
+UNION ALL SELECT 'executable_budget', count(*) <= 1000000, count(*) || ' attempts' FROM attempts WHERE phase = 'started'
+UNION ALL SELECT 'protocol_tests', count(*) = count(status), count(status) || ' terminal' FROM outcomes"""
+
 
-    return failures(spark.createDataFrame([("human_gold", True, "audit"), ("duplicate_audit", True, ""), ("fixed_analysis", False, "x")], "name string, passed boolean, evidence string"))
+@query(f"WITH g(x) AS (VALUES {', '.join(f'({g!r})' for g in REQUIRED_GATES)}), s AS ({_GATES}) SELECT x AS name FROM g LEFT JOIN s ON s.name = x WHERE NOT coalesce(passed AND evidence <> '', false)")
+def gate_failures(spark, d):
+    """The gates that this data's own checks give no evidence for, or that don't pass."""
+    held = {n: f(spark, d) for n, f in (("records", records), ("outcomes", outcomes), ("attempts", attempts))}
+    sql = _GATES
+    for name in held:
+        sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}")
+    return failures(spark.sql(sql, **held))
 
 
 @query("WITH f AS (SELECT url AS path, sha256(html) AS sha256 FROM pages), c AS (SELECT url AS path, sha256(CASE WHEN page_id % 10 = 0 THEN html || 'x' ELSE html END) AS sha256 FROM pages WHERE page_id % 13 <> 0) SELECT f.path, CASE WHEN c.path IS NULL THEN 'missing' ELSE 'changed' END AS problem FROM f LEFT JOIN c USING (path) WHERE c.sha256 IS DISTINCT FROM f.sha256")
@@ -348,7 +364,7 @@ def contract_violations(spark, d):
         "execution": {"remote_models": {"j": "m1", "g": "m2"}, "remote_base_urls": {"j": "https://j.example/v1", "g": "https://g.example"}, "remote_repeats": 2, "max_http_attempts": 3, "order_seed": 7},
     }
     files = [("run.py", digest, "b" * 64), ("lost.json", digest, None), *((f"artifacts/{n}/{end}", digest, digest) for n in names for end in ("local_models", "local_dev_report.json"))]
-    families = lambda n: {k: v - (k == "gbt" and n == names[-1]) for k, v in LOCAL_REPEATS.items()}
+    families = lambda n: {k: v - (k == "depthwise" and n == names[-1]) for k, v in LOCAL_REPEATS.items()}
     return frozen_contract(
         policy, spark.createDataFrame(files, "path string, sha256 string, actual string"), spark.createDataFrame([(n, f"set:{n}", own) for n in names], "alias string, full_id string, labels array<string>"),
         spark.createDataFrame([(n, own[::-1] if n == names[0] else own) for n in names], "alias string, labels array<string>"), spark.createDataFrame([(n, "complete", False, own, families(n)) for n in names], "alias string, status string, test_used boolean, labels array<string>, families map<string, int>"), r,

@@ -115,9 +115,21 @@ def mcnemar_refusals(spark, d):
     return I.repeated_groups(pairs(spark, d))
 
 
-@query(None)
+@query("""WITH c AS (SELECT model, item_id, coalesce(status = 'valid' AND prediction = gold_label, false)::INT AS r FROM outcomes WHERE repeat = 0),
+d AS (SELECT b.model AS peer, count(*) AS n, abs(sum(a.r - b.r)) / count(*) AS difference, sum((a.r <> b.r)::INT) / count(*) AS discordance FROM c a JOIN c b USING (item_id) WHERE a.model = 'remote:j' AND b.model <> 'remote:j' GROUP BY ALL),
+m AS (SELECT *, unnest(range(1, n + 1)) AS m, 0.5::DOUBLE + difference / (2 * discordance) AS favour FROM d),
+w AS (SELECT * FROM (SELECT *, exp(lgamma(n + 1) - lgamma(m + 1) - lgamma(n - m + 1) + m * ln(discordance) + (n - m) * ln(1 - discordance)) AS weight FROM m) WHERE weight > 1e-18),
+k AS (SELECT *, unnest(range(0, m + 1)) AS k FROM w),
+t AS (SELECT *, lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) AS l, sum(exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + m * ln(0.5::DOUBLE))) OVER (PARTITION BY peer, m ORDER BY k) AS cdf FROM k),
+u AS (SELECT *, max(CASE WHEN cdf <= 0.0125::DOUBLE / 2 + 1e-15 THEN k ELSE -1 END) OVER (PARTITION BY peer, m) AS cut FROM t)
+SELECT peer, n, round(difference, 6) AS difference, round(discordance, 6) AS discordance, round(sum(weight * exp(l + k * ln(favour) + (m - k) * ln(1 - favour))) FILTER (WHERE k <= cut OR k >= m - cut), 6) AS power FROM u GROUP BY ALL""")
 def paired_power(spark, d):
-    return I.power_table(spark, [(558, 0.05, x, 0.0125) for x in (0.1, 0.2, 0.4, 0.6)])
+    """Power to tell a model from each peer, for the differences and discordances that are seen."""
+    o = outcomes(spark, d).filter("repeat = 0").withColumn("r", F.coalesce((F.col("status") == "valid") & (F.col("prediction") == F.col("gold_label")), F.lit(False)).cast("int"))
+    both = o.filter("model <> 'remote:j'").join(o.filter("model = 'remote:j'").select("item_id", F.col("r").alias("f")), "item_id")
+    designs = both.groupBy(F.col("model").alias("peer")).agg(F.count("*").alias("n"), (F.abs(F.sum(F.col("f") - F.col("r"))) / F.count("*")).alias("difference"), (F.sum((F.col("f") != F.col("r")).cast("int")) / F.count("*")).alias("discordance"))
+    p = I.power_table(designs.withColumn("alpha", F.lit(0.0125)))
+    return p.select("peer", "n", *(F.round(c, 6).alias(c) for c in ("difference", "discordance", "power")))
 
 
 @query("SELECT n, round(1.959963984540054 * sqrt(0.25 / n + 1.959963984540054 ** 2 / (4 * n * n)) / (1 + 1.959963984540054 ** 2 / n), 6) AS half_width FROM (SELECT count(*) AS n FROM documents GROUP BY source)")

@@ -252,9 +252,14 @@ def scan_journal(spark, d):
     return rows.select("job_id", "model", "repeat", "status", F.coalesce("events", F.lit(0)).alias("events"))
 
 
-@query("SELECT printf('demo-%03d', row_number() OVER (ORDER BY l, t, s)) AS id, label, text || suffix AS text, 'demo-' || label || '-' || t AS group_id FROM (VALUES (0, 'billing', 0, 'charged twice'), (0, 'billing', 1, 'refund missing'), (1, 'technical', 0, 'login fails'), (1, 'technical', 1, 'page is blank'), (2, 'complaint', 0, 'nobody answers')) v(l, label, t, text) CROSS JOIN (VALUES (0, ''), (1, ', please help'), (2, ' again')) x(s, suffix)")
+@query("""WITH n AS (SELECT r_regionkey AS l, lower(r_name) AS label, n_name AS text, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) - 1 AS t FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT printf('demo-%03d', row_number() OVER (ORDER BY l, t, s)) AS id, label, text || suffix AS text, 'demo-' || label || '-' || t AS group_id FROM n CROSS JOIN (VALUES (0, ''), (1, ', please help'), (2, ' again')) x(s, suffix)""")
 def gen_balanced(spark, d):
-    return S.balanced_records(spark, "demo", {"billing": ["charged twice", "refund missing"], "technical": ["login fails", "page is blank"], "complaint": ["nobody answers"]}, ["", ", please help", " again"])
+    """Regions as labels, their nations as templates, three suffixes."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"])  # 25 nations at every size
+    templates = n.groupBy(F.col("r_regionkey").alias("l"), F.lower("r_name").alias("label")).agg(texts.alias("texts"))
+    return S.balanced_records(templates, "demo", ["", ", please help", " again"])
 
 
 @query("SELECT 'b' || item_id || '-' || l || '-' || v AS id, 'q' || item_id || s AS query, CASE WHEN l = 'relevant' THEN text ELSE 'nothing' END AS passage, l AS label, 'b' || item_id AS group_id FROM benchmark CROSS JOIN (VALUES ('relevant'), ('irrelevant')) a(l) CROSS JOIN (VALUES (0, '?'), (1, '!')) b(v, s)")

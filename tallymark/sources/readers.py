@@ -56,12 +56,11 @@ def artifact_hashes(spark: SparkSession, root: str, names: list[str]) -> DataFra
     return files.select(inside.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
-def balanced_records(spark: SparkSession, prefix: str, templates: dict[str, list[str]], suffixes: list[str]) -> DataFrame:
-    """label x template x suffix, with a running id and the template as group."""
-    rows = spark.createDataFrame([(i, label, texts) for i, (label, texts) in enumerate(templates.items())], "l int, label string, texts array<string>")
-    each = rows.select("l", "label", F.posexplode("texts").alias("t", "text")).select("*", F.posexplode(F.array(*map(F.lit, suffixes))).alias("s", "suffix"))
+def balanced_records(templates: DataFrame, prefix: str, suffixes: list[str]) -> DataFrame:
+    """label x template x suffix, with a running id and the template as group. templates: l (the label's place), label, texts."""
+    each = templates.select("l", "label", F.posexplode("texts").alias("t", "text")).select("*", F.posexplode(F.array(*map(F.lit, suffixes))).alias("s", "suffix"))
     before = F.sum("n").over(Window.orderBy("l").rowsBetween(Window.unboundedPreceding, -1))
-    starts = rows.select("l", (F.size("texts") * len(suffixes)).alias("n")).select("l", F.coalesce(before, F.lit(0)).alias("start"))
+    starts = templates.select("l", (F.size("texts") * len(suffixes)).alias("n")).select("l", F.coalesce(before, F.lit(0)).alias("start"))  # a row a label
     k = F.col("start") + F.col("t") * len(suffixes) + F.col("s") + 1
     return each.join(F.broadcast(starts), "l").select(F.format_string("%s-%03d", F.lit(prefix), k).alias("id"), "label", F.concat("text", "suffix").alias("text"), F.concat_ws("-", F.lit(prefix), "label", "t").alias("group_id"))
 
