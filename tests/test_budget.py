@@ -96,7 +96,9 @@ def test_stream_equals_batch_and_stays_below_the_cap(spark, tmp_path):
     (tmp_path / "in").mkdir()
     by = sorted(rows, key=lambda r: r[1])
     for i in range(3):
-        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("budget", "seq", "kind", "request_id", "n"), r, strict=True))) for r in by[i * 80 : (i + 1) * 80]))
+        at = tmp_path / "in" / f"{i}.json"
+        at.write_text("\n".join(json.dumps(dict(zip(("budget", "seq", "kind", "request_id", "n"), r, strict=True))) for r in by[i * 80 : (i + 1) * 80]))
+        os.utime(at, (1_700_000_000 + i,) * 2)  # files are read in the order of their times
     for _ in range(2):  # the second query finds everything done
         source = spark.readStream.schema(leases.REQUEST).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
         q = leases.lease_stream(source, 12, 4).writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()

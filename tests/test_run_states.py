@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import os
 import random
 
 import pytest
@@ -79,7 +80,9 @@ def test_stream_equals_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(4):
         part = rows[i * len(rows) // 4 : (i + 1) * len(rows) // 4]
-        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps({"run_id": a, "event_id": n, "kind": k, "ts": datetime.datetime.fromtimestamp(ms / 1000, datetime.UTC).isoformat()}) for a, n, k, ms in part))
+        at = tmp_path / "in" / f"{i}.json"
+        at.write_text("\n".join(json.dumps({"run_id": a, "event_id": n, "kind": k, "ts": datetime.datetime.fromtimestamp(ms / 1000, datetime.UTC).isoformat()}) for a, n, k, ms in part))
+        os.utime(at, (1_700_000_000 + i,) * 2)  # files are read in the order of their times
     source = spark.readStream.schema(runs.RUN_EVENT).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     q = runs.run_stream(source).writeStream.format("memory").queryName("runs").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(180)
