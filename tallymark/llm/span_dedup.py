@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .shared import NULL_ID, materialise, slices
 
 MIN_WORDS, LONG_WORDS = 15, 40
+#: The bitmap of texts that lose something has at most 2 ** FILTER_BITS bits (16 MB).
+FILTER_BITS = 27
 _SENTENCE = re.compile(r"[^.!?。！？\n]*[.!?。！？\n]+|[^.!?。！？\n]+")
 
 
@@ -107,28 +109,71 @@ def _merge(ranges) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def _cut_out(text: str, ranges) -> str:
+    edges = [0, *(x for ab in ranges for x in ab), len(text)]
+    return "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+_OUT = "doc_id long, text string, n_chars_removed long, removed_spans string, n_repeats long"
+
+
+def _out(rows) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], [c.split()[0] for c in _OUT.split(", ")])
+
+
+def _bits(keys: DataFrame) -> np.ndarray:
+    """A bitmap of hashes h, of 16 bits a row and 2 ** FILTER_BITS at most; a set bit may be another row's."""
+    size = 1 << max(15, min(FILTER_BITS, (16 * keys.count()).bit_length()))
+    bit = F.pmod("h", F.lit(size)) + 1
+    wanted = np.zeros(size // 8, np.uint8)
+    for k, bits in keys.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect():
+        wanted[(k - 1) * 4096 : k * 4096] = np.frombuffer(bits, np.uint8)
+    return wanted
+
+
 def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS, across: bool = False) -> DataFrame:
-    """doc_id, text without the removed sentences, n_chars_removed, removed_spans, n_repeats."""
+    """doc_id, text without the removed sentences, n_chars_removed, removed_spans, n_repeats.
+
+    Only texts that may lose something move to their ranges; a bitmap of their hashes, sent to every task, lets the others through where they are read.
+    """
+    found = removals(docs, min_words, long_words, across).groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("rid", "ranges"))).alias("found"))
+    found = materialise(found, "removals")
+    wanted = docs.sparkSession.sparkContext.broadcast(_bits(found))
+
+    def told_apart(batches, losing: bool):
+        for batch in batches:
+            at = np.asarray(batch.column("h")) & (len(wanted.value) * 8 - 1)
+            batch = batch.filter(pa.array((wanted.value[at >> 3] >> (at & 7) & 1).astype(bool) == losing))
+            if batch.num_rows:
+                yield batch
+
+    def losing(batches):
+        yield from told_apart(batches, True)
+
+    def whole(batches):
+        for batch in told_apart(batches, False):
+            n = batch.num_rows
+            ids = batch.column("doc_id").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([None if i == NULL_ID else i for i in ids], pa.int64()), batch.column("text"), pa.array(np.zeros(n, np.int64)), pa.array([""] * n), pa.array(np.zeros(n, np.int64))], [c.split()[0] for c in _OUT.split(", ")])
 
     def cut(batches):
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                ranges, text = _merge(r["ranges"] or ()), r["text"]
-                if ranges:
-                    edges = [0, *(x for ab in ranges for x in ab), len(text)]
-                    text = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                ranges = _merge(r["ranges"] or ())
+                text = _cut_out(r["text"], ranges) if ranges else r["text"]
                 rows.append((None if r["doc_id"] == NULL_ID else r["doc_id"], text, sum(b - a for a, b in ranges), ",".join(f"{a}:{b}" for a, b in ranges), len(r["ranges"] or ())))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["doc_id", "text", "n_chars_removed", "removed_spans", "n_repeats"])
+            yield _out(rows)
 
-    found = removals(docs, min_words, long_words, across).groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("rid", "ranges"))).alias("found"))
-    joined = _keyed(docs).join(found, ["doc_id", "h"], "left")
+    keyed = _keyed(docs)
+    joined = keyed.mapInArrow(losing, "doc_id long, h long, text string").join(found.hint("merge"), ["doc_id", "h"], "left")
     # Of rows alike in id and text, the last ones lose what the written rows with the highest numbers lose.
     alike = Window.partitionBy("doc_id", "h")
     at = F.row_number().over(alike.orderBy(F.lit(1))) - F.count("*").over(alike).cast("int") + F.size("found")
     ranges = F.when(F.col("found").isNotNull() & (at > 0), F.get("found", at - 1)["ranges"])
-    return joined.select("doc_id", "text", ranges.alias("ranges")).mapInArrow(cut, "doc_id long, text string, n_chars_removed long, removed_spans string, n_repeats long")
+    shortened = joined.select("doc_id", "text", ranges.alias("ranges")).mapInArrow(cut, _OUT)
+    return keyed.mapInArrow(whole, _OUT).unionByName(shortened)
 
 
 def op10_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
