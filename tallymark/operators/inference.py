@@ -114,23 +114,35 @@ def holm(tests: DataFrame, p: str = "p_value", tie: str = "test", family: list[s
 
 
 def paired_power(n: int, difference: float, discordance: float, alpha: float = 0.05) -> float:
-    """Exact power of McNemar's test, by summing over the number of discordant pairs and the rejected tails."""
+    """Exact power of McNemar's test, by summing over the number of discordant pairs and the rejected tails.
+
+    One discordant pair more moves the rejected tail by one value at most, and its mass by one term, so a number of discordant pairs costs a few terms.
+    """
     if not (n >= 1 and 0 < discordance <= 1 and 0 <= difference <= discordance and 0 < alpha < 1):
         raise ValueError("invalid sample size, effect, discordance or alpha")
 
-    def pmf(m: int, p: float) -> list[float]:
+    def pmf(m: int, p: float, k: int) -> float:
         if p in (0.0, 1.0):
-            return [float(k == m * p) for k in range(m + 1)]
-        return [math.exp(math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1) + k * math.log(p) + (m - k) * math.log(1 - p)) for k in range(m + 1)]
-
-    favour, total = 0.5 + difference / (2 * discordance), 0.0
-    for m, weight in enumerate(pmf(n, discordance)):
-        if m and weight > 1e-18:  # all others together are below what a double tells apart
-            null, real, cut, cdf = pmf(m, 0.5), pmf(m, favour), -1, 0.0
-            while cut + 1 <= m and cdf + null[cut + 1] <= alpha / 2 + 1e-15:
-                cut += 1
-                cdf += null[cut]
-            total += weight * sum(v for k, v in enumerate(real) if k <= cut or k >= m - cut)
+            return float(k == m * p)
+        return math.exp(math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1) + k * math.log(p) + (m - k) * math.log(1 - p))
+
+    def least(m: int, p: float) -> int:  # all values below together have less than 1e-36
+        return max(0, math.ceil(m * p - 6.5 * math.sqrt(m)))
+
+    favour, total, m = 0.5 + difference / (2 * discordance), 0.0, max(1, min(n, int((n + 1) * discordance)))
+    while m > 1 and pmf(n, discordance, m - 1) > 1e-18:  # all others together are below what a double tells apart
+        m -= 1
+    # Masses of the values up to the cut: without an effect, and of the lower and the upper tail with it.
+    cut = least(m, 0.5) - 1
+    null, low, high = 0.0, 0.0, sum(pmf(m, 1 - favour, k) for k in range(least(m, 1 - favour), cut + 1))
+    while m <= n and (weight := pmf(n, discordance, m)) > 1e-18:
+        while cut + 1 <= m and null + pmf(m, 0.5, cut + 1) <= alpha / 2 + 1e-15:
+            cut += 1
+            null, low, high = (x + pmf(m, p, cut) for x, p in ((null, 0.5), (low, favour), (high, 1 - favour)))
+        total += weight * (low + high)
+        if cut >= 0:
+            null, low, high = (x - p * pmf(m, p, cut) for x, p in ((null, 0.5), (low, favour), (high, 1 - favour)))
+        m += 1
     return total
 
 

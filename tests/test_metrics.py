@@ -1,6 +1,7 @@
 """Closed-form expectations of the failure-aware metrics and of paired inference."""
 
 import math
+import statistics
 from itertools import product
 
 import pytest
@@ -131,6 +132,16 @@ def test_power_equals_enumeration():
     assert [round(I.paired_power(558, 0.05, d, 0.0125), 3) for d in (0.1, 0.2, 0.4, 0.6)] == [0.888, 0.526, 0.244, 0.152]  # published figures
 
 
+def test_power_of_a_large_design_takes_few_terms(monkeypatch):
+    terms, lgamma = [], math.lgamma
+    monkeypatch.setattr(I.math, "lgamma", lambda x: terms.append(x) or lgamma(x))
+    n, diff, disc, alpha = 200_000, 0.003, 0.25, 0.0125
+    z = statistics.NormalDist()
+    want = z.cdf(diff * math.sqrt(n / (disc - diff**2)) - z.inv_cdf(1 - alpha / 2))
+    assert I.paired_power(n, diff, disc, alpha) == pytest.approx(want, abs=0.005)
+    assert len(terms) < 40 * 18 * math.sqrt(n)  # not the square of their number
+
+
 def test_wilson(spark):
     from pyspark.sql import functions as F
 
