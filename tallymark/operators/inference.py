@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from .hygiene import seeded
 from .iterate import cut
 from .matrix import global_rank
@@ -68,7 +69,7 @@ def bootstrap(a: DataFrame, b: DataFrame, labels: list[str], iterations: int, se
     arms = group_vectors(pairs, "a").withColumn("arm", F.lit("a")).union(group_vectors(pairs, "b").withColumn("arm", F.lit("b")))
     sums = draws.join(arms, "group_id").groupBy("iteration", "arm", "label").agg(*(F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("gold", "predicted", "tp")))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("gold") + F.col("predicted")), F.lit(0.0))
-    each = sums.groupBy("iteration", "arm").agg((F.sum("tp") / F.sum("gold")).alias("accuracy"), (F.sum(F.round(f1, 12).cast("decimal(20,12)")).cast("double") / len(labels)).alias("macro_f1"))
+    each = sums.groupBy("iteration", "arm").agg((F.sum("tp") / F.sum("gold")).alias("accuracy"), (F.sum(rounded(f1, 12).cast("decimal(20,12)")).cast("double") / len(labels)).alias("macro_f1"))
     wide = each.groupBy("iteration").agg(*(F.max(F.when(F.col("arm") == k, F.col(m))).alias(f"{m}_{k}") for m in ("accuracy", "macro_f1") for k in "ab"))
     long = wide.select(F.explode(F.array(*(F.struct(F.lit(f"{m}_{k}").alias("figure"), v.alias("v")) for m in ("accuracy", "macro_f1") for k, v in (("a", F.col(f"{m}_a")), ("b", F.col(f"{m}_b")), ("difference", F.col(f"{m}_a") - F.col(f"{m}_b")))))).alias("x")).select("x.figure", "x.v")
     return long.groupBy("figure").agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))

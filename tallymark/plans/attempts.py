@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..operators import attempts as A
 from ..operators import matrix as X
 from ..operators import run_states as R
@@ -222,7 +223,7 @@ def model_order(spark, d):
 @query("SELECT model, round(p95, 6) AS p95 FROM (SELECT model, quantile_cont(latency_ms, 0.95) AS p95 FROM outcomes WHERE status = 'valid' GROUP BY ALL) WHERE p95 > 0 ORDER BY p95, model LIMIT 1")
 def fastest_model(spark, d):
     p = percentiles(outcomes(spark, d).filter("status = 'valid'"), ["model"], {"p95": ("latency_ms", 0.95)}).filter("p95 > 0")
-    return p.agg(F.min(F.struct("p95", "model")).alias("m")).select("m.model", F.round("m.p95", 6).alias("p95"))
+    return p.agg(F.min(F.struct("p95", "model")).alias("m")).select("m.model", rounded("m.p95", 6).alias("p95"))
 
 
 @query("WITH f AS (SELECT split_part(model, ':', 1) AS family, model, repeat, count(*) FILTER (WHERE status = 'valid' AND prediction = gold_label) / count(*) AS score FROM outcomes WHERE split = 'validation' GROUP BY ALL) SELECT family, model, repeat, round(score, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY family ORDER BY score DESC, repeat, model) = 1")
@@ -231,7 +232,7 @@ def best_candidate(spark, d):
     hit = F.coalesce((F.col("status") == "valid") & (F.col("prediction") == F.col("gold_label")), F.lit(False))
     f = outcomes(spark, d).filter("split = 'validation'").groupBy(F.split_part("model", F.lit(":"), F.lit(1)).alias("family"), "model", "repeat").agg((F.count_if(hit) / F.count("*")).alias("score"))
     best = f.groupBy("family").agg(F.min(F.struct((-F.col("score")).alias("low"), "repeat", "model")).alias("b"))
-    return best.select("family", "b.model", "b.repeat", F.round(-F.col("b.low"), 6).alias("score"))
+    return best.select("family", "b.model", "b.repeat", rounded(-F.col("b.low"), 6).alias("score"))
 
 
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 100")

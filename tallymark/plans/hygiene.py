@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.numbers import rounded
 from ..operators import hygiene as H
 from .base import LABELS, paired, query, records, table
 
@@ -90,7 +91,7 @@ def manifest_hash(spark, d):
 @query("WITH s AS (SELECT split, group_id, count(*) AS n FROM records GROUP BY ALL) SELECT split, count(*) AS groups, min(n) AS least, max(n) AS most, round(sum(n) ** 2 / sum(n * n), 6) AS kish_n, max(n) = 1 AS one_per_group FROM s GROUP BY ALL")
 def kish_n(spark, d):
     k = H.kish(base(spark, d), ["split"])
-    return k.withColumn("kish_n", F.round("kish_n", 6))
+    return k.withColumn("kish_n", rounded("kish_n", 6))
 
 
 @query("SELECT gold_label AS label, count(*) AS n FROM records WHERE split = 'train' GROUP BY gold_label ORDER BY n DESC, list_position(['good', 'poor', 'toxic', 'rare'], gold_label) LIMIT 1")
@@ -198,7 +199,7 @@ def token_jaccard(spark, d):
     t = table(spark, d, "benchmark").select("item_id", tok(F.col("text")).alias("q"))
     p = paired(spark, d).select("doc_id", "item_id", tok(F.col("text")).alias("w"))
     j = p.join(t, "item_id")
-    return j.select("doc_id", "item_id", F.size(F.array_intersect("q", "w")).cast("long").alias("shared"), F.round(T.jaccard(F.col("q"), F.col("w")), 6).alias("jaccard"), F.round(T.coverage(F.col("q"), F.col("w")), 6).alias("coverage"))
+    return j.select("doc_id", "item_id", F.size(F.array_intersect("q", "w")).cast("long").alias("shared"), rounded(T.jaccard(F.col("q"), F.col("w")), 6).alias("jaccard"), rounded(T.coverage(F.col("q"), F.col("w")), 6).alias("coverage"))
 
 
 @query(_FAMILY + f", s AS (SELECT id, split, 'lexical_text_repeat' AS reason, kept_id FROM (SELECT id, split, first_value(id) OVER (PARTITION BY {N.format('text')} ORDER BY {_P}, id) AS kept_id FROM r) WHERE id <> kept_id) SELECT id, split, CASE WHEN conflict THEN 'conflicting_official_labels' ELSE 'exact_input_duplicate' END AS reason, CASE WHEN NOT conflict THEN winner END AS kept_id FROM f WHERE conflict OR id <> winner UNION ALL SELECT * FROM s")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..operators import hygiene as H
 from ..operators import inference as I
 from .base import LABELS, outcomes, query, table
@@ -55,7 +56,7 @@ z AS (SELECT 'accuracy_a' AS figure, aa AS v FROM x UNION ALL SELECT 'accuracy_b
 SELECT figure, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM z GROUP BY ALL""")
 def bootstrap_ci(spark, d):
     b = I.bootstrap(*arms(spark, d), LABELS, 200, SEED)
-    return b.select("figure", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return b.select("figure", rounded("low", 6).alias("low"), rounded("high", 6).alias("high"))
 
 
 @query(None)
@@ -64,7 +65,7 @@ def bootstrap_split(spark, d):
     from ..operators.resampling import bootstrap_split as split
 
     b = split(*arms(spark, d), LABELS, 10_000, SEED)
-    return b.select("figure", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return b.select("figure", rounded("low", 6).alias("low"), rounded("high", 6).alias("high"))
 
 
 _PERMUTE = """, d AS (SELECT sum(right_a::INT - right_b::INT) AS d, row_number() OVER (ORDER BY {0}) - 1 AS place FROM p GROUP BY {0}),
@@ -75,14 +76,14 @@ o AS (SELECT abs(sum(d)) AS observed, sum(d)::BIGINT AS difference, count(*) AS
 SELECT 'Monte Carlo group sign permutation' AS method, groups AS independent_groups, difference, count(*) AS draws, round((count(*) FILTER (WHERE s >= observed) + 1) / (count(*) + 1), 6) AS p_value FROM s CROSS JOIN o GROUP BY groups, difference""")
 def permutation_test(spark, d):
     p = I.permutation(pairs(spark, d), 500, SEED)
-    return p.withColumn("p_value", F.round("p_value", 6))
+    return p.withColumn("p_value", rounded("p_value", 6))
 
 
 @query(f"WITH {_CELLS}" + _PERMUTE.format("item_id % 12") + """, s AS (SELECT iteration, abs(sum(CASE WHEN (iteration >> place) & 1 = 1 THEN d ELSE -d END)) AS s FROM range(4096) r(iteration) CROSS JOIN d GROUP BY ALL)
 SELECT 'exact group sign permutation' AS method, groups AS independent_groups, difference, count(*) AS draws, round(count(*) FILTER (WHERE s >= observed) / count(*), 6) AS p_value FROM s CROSS JOIN o GROUP BY groups, difference""")
 def permutation_exact(spark, d):
     p = I.permutation(pairs(spark, d).withColumn("group_id", F.col("item_id") % 12), 500, SEED)
-    return p.withColumn("p_value", F.round("p_value", 6))
+    return p.withColumn("p_value", rounded("p_value", 6))
 
 
 _MC = f"""WITH {_CELLS}, m AS (SELECT gold_label AS test, count(*) FILTER (WHERE right_a AND NOT right_b) AS a_only, count(*) FILTER (WHERE right_b AND NOT right_a) AS b_only FROM p GROUP BY ALL),
@@ -92,13 +93,13 @@ q AS (SELECT *, CASE WHEN a_only + b_only = 0 THEN 1.0 ELSE least(1.0::DOUBLE, 2
 @query(_MC + " SELECT test, a_only, b_only, round(p_value, 6) AS p_value FROM q")
 def mcnemar(spark, d):
     m = I.mcnemar(pairs(spark, d).withColumn("test", F.col("gold_label")), ["test"])
-    return m.withColumn("p_value", F.round("p_value", 6))
+    return m.withColumn("p_value", rounded("p_value", 6))
 
 
 @query(_MC + ", h AS (SELECT test, p_value, least(1.0, p_value * (count(*) OVER () - row_number() OVER (ORDER BY p_value, test) + 1)) AS raw FROM q) SELECT test, round(p_value, 6) AS p_value, round(max(raw) OVER (ORDER BY p_value, test ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM h")
 def holm(spark, d):
     m = I.mcnemar(pairs(spark, d).withColumn("test", F.col("gold_label")), ["test"])
-    return I.holm(m).select("test", F.round("p_value", 6).alias("p_value"), F.round("adjusted", 6).alias("adjusted"))
+    return I.holm(m).select("test", rounded("p_value", 6).alias("p_value"), rounded("adjusted", 6).alias("adjusted"))
 
 
 @query("""WITH c AS (SELECT *, coalesce(status = 'valid' AND prediction = gold_label, false)::INT AS r FROM outcomes WHERE repeat = 0)
@@ -107,7 +108,7 @@ def comparisons(spark, d):
     o = outcomes(spark, d).filter("repeat = 0").withColumn("r", F.coalesce((F.col("status") == "valid") & (F.col("prediction") == F.col("gold_label")), F.lit(False)).cast("int"))
     focal = o.filter("model = 'remote:j'").select("item_id", F.col("r").alias("f"))
     j = o.filter("model <> 'remote:j'").join(focal, "item_id").groupBy(F.col("model").alias("peer"))
-    return j.agg(F.count("*").alias("items"), F.sum("f").alias("focal_correct"), F.sum("r").alias("peer_correct"), F.count_if(F.col("f") > F.col("r")).alias("focal_only"), F.count_if(F.col("r") > F.col("f")).alias("peer_only"), F.round(F.sum(F.col("f") - F.col("r")) / F.count("*"), 6).alias("difference"))
+    return j.agg(F.count("*").alias("items"), F.sum("f").alias("focal_correct"), F.sum("r").alias("peer_correct"), F.count_if(F.col("f") > F.col("r")).alias("focal_only"), F.count_if(F.col("r") > F.col("f")).alias("peer_only"), rounded(F.sum(F.col("f") - F.col("r")) / F.count("*"), 6).alias("difference"))
 
 
 @query(f"WITH {_CELLS} SELECT group_id, count(*) AS rows FROM p GROUP BY ALL HAVING count(*) > 1")
@@ -129,20 +130,20 @@ def paired_power(spark, d):
     both = o.filter("model <> 'remote:j'").join(o.filter("model = 'remote:j'").select("item_id", F.col("r").alias("f")), "item_id")
     designs = both.groupBy(F.col("model").alias("peer")).agg(F.count("*").alias("n"), (F.abs(F.sum(F.col("f") - F.col("r"))) / F.count("*")).alias("difference"), (F.sum((F.col("f") != F.col("r")).cast("int")) / F.count("*")).alias("discordance"))
     p = I.power_table(designs.withColumn("alpha", F.lit(0.0125)))
-    return p.select("peer", "n", *(F.round(c, 6).alias(c) for c in ("difference", "discordance", "power")))
+    return p.select("peer", "n", *(rounded(c, 6).alias(c) for c in ("difference", "discordance", "power")))
 
 
 @query("SELECT n, round(1.959963984540054 * sqrt(0.25 / n + 1.959963984540054 ** 2 / (4 * n * n)) / (1 + 1.959963984540054 ** 2 / n), 6) AS half_width FROM (SELECT count(*) AS n FROM documents GROUP BY source)")
 def wilson_width(spark, d):
     n = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    return n.select("n", F.round(I.wilson_half_width(F.col("n")), 6).alias("half_width"))
+    return n.select("n", rounded(I.wilson_half_width(F.col("n")), 6).alias("half_width"))
 
 
 @query("SELECT model, round(avg(v) - 1.96 * stddev_samp(v) / sqrt(count(*)), 6) AS lo, round(avg(v) + 1.96 * stddev_samp(v) / sqrt(count(*)), 6) AS hi, CASE WHEN lo <= 0 AND hi >= 0 THEN 'covers_zero' WHEN lo > 0 THEN 'positive' ELSE 'negative' END AS sign FROM (SELECT model, (coalesce(status = 'valid' AND prediction = gold_label, false))::INT - 0.7 AS v FROM outcomes WHERE repeat = 0) GROUP BY model")
 def ci_sign(spark, d):
     v = F.coalesce((F.col("status") == "valid") & (F.col("prediction") == F.col("gold_label")), F.lit(False)).cast("int") - 0.7
     half = 1.96 * F.stddev_samp("v") / F.sqrt(F.count("*"))
-    s = outcomes(spark, d).filter("repeat = 0").withColumn("v", v).groupBy("model").agg(F.round(F.avg("v") - half, 6).alias("lo"), F.round(F.avg("v") + half, 6).alias("hi"))
+    s = outcomes(spark, d).filter("repeat = 0").withColumn("v", v).groupBy("model").agg(rounded(F.avg("v") - half, 6).alias("lo"), rounded(F.avg("v") + half, 6).alias("hi"))
     return s.withColumn("sign", F.when((F.col("lo") <= 0) & (F.col("hi") >= 0), "covers_zero").when(F.col("lo") > 0, "positive").otherwise("negative"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
+from ..functions.numbers import rounded
 from ..sources import readers as S
 from ..operators.iterate import cut, scratch
 from .base import LABELS, attempts, outcomes, query, records, table
@@ -148,7 +149,7 @@ def time_order(spark, d):
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE printf('%.2f%%', round(o_totalprice / 1000000, 4) * 100) END AS pct FROM orders")
 def fmt_metrics(spark, d):
-    v = F.when(F.col("o_orderkey") % 5 != 0, F.format_string("%.2f%%", F.round(F.col("o_totalprice") / 1000000, 4) * 100))
+    v = F.when(F.col("o_orderkey") % 5 != 0, F.format_string("%.2f%%", rounded(F.col("o_totalprice") / 1000000, 4) * 100))
     return table(spark, d, "orders").select("o_orderkey", F.coalesce(v, F.lit("n/a")).alias("pct"))
 
 
@@ -335,5 +336,5 @@ def ui_fallback(spark, d):
     v = values.withColumn("n", F.sum(known).over(own)).withColumn("upto", upto)
     at = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
     p95 = F.max(F.when(F.col("latency_ms").isNotNull() & (F.col("upto") - F.col("rows") <= at) & (at < F.col("upto")), F.col("latency_ms")))
-    cost = F.when(F.sum("rows") == F.max("n"), F.round(F.sum(F.col("latency_ms") * F.col("rows")), 6))
-    return v.groupBy("model").agg(F.sum("rows").alias("labelled"), F.round(F.sum("hits") / F.sum("rows"), 6).alias("accuracy"), p95.alias("p95_nearest"), cost.alias("total_cost"))
+    cost = F.when(F.sum("rows") == F.max("n"), rounded(F.sum(F.col("latency_ms") * F.col("rows")), 6))
+    return v.groupBy("model").agg(F.sum("rows").alias("labelled"), rounded(F.sum("hits") / F.sum("rows"), 6).alias("accuracy"), p95.alias("p95_nearest"), cost.alias("total_cost"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import percent_text
 from ..operators import metrics as M
 from ..operators.quantiles import percentiles
 from .base import LABELS, attempts, outcomes, query, table
@@ -184,7 +185,7 @@ def score_consistency(spark, d):
 @query(SCORE + "SELECT model || ' r' || repeat || ': accuracy ' || printf('%.2f%%', round(100 * correct / planned, 6)) || ', valid ' || valid || '/' || planned || CASE WHEN pending > 0 THEN ' (provisional)' ELSE '' END AS line FROM s")
 def fact_sheet(spark, d):
     s = M.score(outcomes(spark, d), LABELS)
-    return s.select(F.concat("model", F.lit(" r"), "repeat", F.lit(": accuracy "), F.format_string("%.2f%%", F.round(100 * F.col("correct") / F.col("planned"), 6)), F.lit(", valid "), "valid", F.lit("/"), "planned", F.when(F.col("pending") > 0, " (provisional)").otherwise("")).alias("line"))
+    return s.select(F.concat("model", F.lit(" r"), "repeat", F.lit(": accuracy "), percent_text(M.r6(100 * F.col("correct") / F.col("planned"))), F.lit(", valid "), "valid", F.lit("/"), "planned", F.when(F.col("pending") > 0, " (provisional)").otherwise("")).alias("line"))
 
 
 @query(SCORE + "SELECT model, round(correct / planned, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, planned AS denominator FROM s JOIN f USING (model, repeat) WHERE repeat = 0")

@@ -146,3 +146,17 @@ def test_wilson(spark):
     from pyspark.sql import functions as F
 
     assert one(spark.range(1).select(I.wilson_half_width(F.lit(200)).alias("w"))).w == pytest.approx(0.068639, abs=1e-6)
+
+
+def test_numbers_are_rounded_and_written_as_in_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from pyspark.sql import functions as F
+
+    from tallymark.functions.numbers import percent_text, rounded
+
+    values = [0.03235, 0.30065, 0.66125, 0.00015, -0.03235, 0.0, 0.5, 1.0]
+    x = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [tuple(r) for r in x.select("x", rounded("x", 4), F.format_string("%.2f%%", rounded("x", 4) * 100), percent_text(rounded(F.col("x") * 100))).collect()]
+    want = duckdb.sql("SELECT x, round(x, 4), printf('%.2f%%', round(x, 4) * 100), printf('%.2f%%', round(x * 100, 6)) FROM (SELECT unnest(?)::DOUBLE AS x)", params=[values]).fetchall()
+    assert got == want
+    assert got[0][1] == 0.0323 and got[2][3] == "66.12%"
