@@ -112,6 +112,8 @@ def frozen_contract(policy: dict, artifacts: DataFrame, candidates: DataFrame, s
 
 SHARED = ("attempt", "execution_id", "provider", "request_model", "endpoint", "timeout_seconds", "started_at", "request_body")
 TRANSPORT = ("network_error", "transport_error")
+#: Lawful events that one task sorts, about: tasks grow in number with the jobs, not in memory.
+EVENTS_A_TASK = 250_000
 
 
 def _canonical(body: Column) -> Column:
@@ -130,39 +132,57 @@ def evidence_chain(jobs: DataFrame, events: DataFrame, labels: list[str], most_a
     jobs: job_id, provider, model, endpoint, body (expected), status, prediction; null status: pending. events: job_id, event_id,
     attempt_id, phase, finished_at, outcome, said (prediction), http_status, raw_body, duration_ms, wait_seconds, will_retry,
     retry_reason, error and SHARED. Rules are columns of one table of events, of their pairs and of their sequence; a job's
-    events stand together once, by job_id.
+    events stand together once, by job_id. What is sorted by sequence are keys and flags.
     """
     j = jobs.select("job_id", F.col("provider").alias("j_provider"), F.col("model").alias("j_model"), F.col("endpoint").alias("j_endpoint"), _canonical(F.col("body")).alias("j_body"), F.col("status").alias("j_status"), F.col("prediction").alias("j_prediction"))
-    own = Window.partitionBy("job_id").orderBy("event_id")
+    tasks = max(int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-jobs.count() * 2 * most_attempts // EVENTS_A_TASK))
+    events = events.repartition(tasks, "job_id")
     started, finished = F.col("phase") == "started", F.col("phase") == "finished"
-    e = events.join(j, "job_id").withColumn("before", F.lag("phase").over(own))
-    e = e.withColumn("last", F.max_by("attempt_id", F.when(started, F.col("event_id"))).over(Window.partitionBy("job_id")))
-    e = e.withColumn("count", F.count_if(started).over(Window.partitionBy("job_id", "execution_id").orderBy("event_id")))
     reply = F.when(F.col("http_status").between(200, 299), parse_response(F.col("raw_body"), labels))
-    e = e.withColumn("reply", reply)
     bad_number = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.col(c) < 0)
     time = lambda c: F.try_to_timestamp(F.col(c))
     over = finished & ~F.col("will_retry")
-    is_last = F.col("attempt_id") == F.col("last")
-    rules = [
-        ("identity", (F.coalesce("attempt_id", F.lit("")) == "") | ~F.col("provider").eqNullSafe(F.col("j_provider")) | ~F.col("request_model").eqNullSafe(F.col("j_model")) | ~F.col("endpoint").eqNullSafe(F.col("j_endpoint")) | ~F.coalesce(F.col("timeout_seconds") > 0, F.lit(False))),
-        ("payload", ~_canonical(F.col("request_body")).eqNullSafe(F.col("j_body")) | F.col("j_body").isNull()),
+    # Rules of an event by itself, before it meets its job; then of both; then of the sequence.
+    alone = [
         ("time", time("started_at").isNull() | (finished & ~F.coalesce(time("finished_at") >= time("started_at"), F.lit(False)))),
-        ("overlap", started & (F.col("before") == "started")),
-        ("number", started & ((F.col("attempt") != F.col("count")) | (F.col("attempt") > most_attempts))),
         ("metadata", finished & (bad_number("duration_ms") | bad_number("wait_seconds") | F.col("will_retry").isNull() | ~F.coalesce(F.col("http_status").between(100, 599), F.lit(True)))),
         ("retry", finished & F.col("will_retry") & (F.col("outcome").isNotNull() | (F.coalesce("retry_reason", F.lit("")) == ""))),
         ("no_outcome", over & F.col("outcome").isNull()),
         ("transport", over & F.col("http_status").isNull() & ~F.coalesce(F.col("outcome").isin(*TRANSPORT) & (F.col("error") != ""), F.lit(False))),
         ("response", over & F.col("reply").isNotNull() & (~F.col("outcome").eqNullSafe(F.col("reply.status")) | ~F.col("said").eqNullSafe(F.col("reply.prediction")))),
         ("http_error", over & ~F.col("http_status").between(200, 299) & ~F.col("outcome").eqNullSafe(F.lit("http_error"))),
-        ("ended_early", over & ~is_last),
-        ("still_open", finished & F.col("will_retry") & is_last & F.col("j_status").isNotNull()),
-        ("journal", over & is_last & F.col("j_status").isNotNull() & (~F.col("outcome").eqNullSafe(F.col("j_status")) | ~F.col("said").eqNullSafe(F.col("j_prediction")))),
     ]
+    both = [
+        ("identity", (F.coalesce("attempt_id", F.lit("")) == "") | ~F.col("provider").eqNullSafe(F.col("j_provider")) | ~F.col("request_model").eqNullSafe(F.col("j_model")) | ~F.col("endpoint").eqNullSafe(F.col("j_endpoint")) | ~F.coalesce(F.col("timeout_seconds") > 0, F.lit(False))),
+        ("payload", ~F.col("e_body").eqNullSafe(F.col("j_body")) | F.col("j_body").isNull()),
+    ]
+    is_last = F.col("attempt_id") == F.col("last")
+    ordered = [
+        ("overlap", F.col("started") & F.col("before")),
+        ("number", F.col("started") & ((F.col("attempt") != F.col("count")) | (F.col("attempt") > most_attempts))),
+        ("ended_early", F.col("over") & ~is_last),
+        ("still_open", F.col("open") & is_last & F.col("terminal")),
+        ("journal", F.col("over") & is_last & F.col("terminal") & F.col("other")),
+    ]
+    bits = lambda rules, first: sum((F.when(F.coalesce(broken, F.lit(False)), 1 << i).otherwise(0) for i, (_, broken) in enumerate(rules, first)), F.lit(0))
+    keys = ("job_id", "event_id", "attempt_id", "execution_id", "attempt")
+    e = events.withColumn("reply", reply).select(*keys, started.alias("started"), over.alias("over"), (finished & F.col("will_retry")).alias("open"), "outcome", "said", "provider", "request_model", "endpoint", "timeout_seconds", _canonical(F.col("request_body")).alias("e_body"), bits(alone, 0).alias("alone"))
+    other = ~F.col("outcome").eqNullSafe(F.col("j_status")) | ~F.col("said").eqNullSafe(F.col("j_prediction"))
+    e = e.join(j, "job_id").select(*keys, "started", "over", "open", F.col("j_status").isNotNull().alias("terminal"), other.alias("other"), (F.col("alone") + bits(both, len(alone))).alias("broken"))
+    own = Window.partitionBy("job_id").orderBy("event_id")
+    e = e.withColumn("before", F.lag("started").over(own)).withColumn("last", F.max_by("attempt_id", F.when(F.col("started"), F.col("event_id"))).over(Window.partitionBy("job_id")))
+    e = e.withColumn("count", F.count_if("started").over(Window.partitionBy("job_id", "execution_id").orderBy("event_id")))
+    rules = [(name, F.col("broken").bitwiseAND(1 << i) != 0) for i, (name, _) in enumerate(alone + both)] + ordered
     single = e.select("job_id", "attempt_id", _said(rules).alias("problem"))
-    shape = F.struct(*SHARED)
-    pairs = events.groupBy("job_id", "attempt_id").agg(F.count_if(started).alias("s"), F.count_if(finished).alias("f"), (F.min(shape) != F.max(shape)).alias("changed"))
+    # The shared fields as a digest in four whole numbers: a hash aggregation holds these, where structs would be sorted whole.
+    written = {"started_at": F.col("started_at").cast("string"), "timeout_seconds": F.col("timeout_seconds") + F.lit(0)}
+    shape = F.sha2(F.to_json(F.struct(*(written.get(c, F.col(c)).alias(c) for c in SHARED)), {"ignoreNullFields": "false"}), 256)
+    quarter = lambda i: F.conv(F.substring("shape", 16 * i + 1, 16), 16, -10).cast("long")
+    shared = events.select("job_id", "attempt_id", started.alias("started"), finished.alias("finished"), shape.alias("shape")).select("job_id", "attempt_id", "started", "finished", *(quarter(i).alias(f"q{i}") for i in range(4)))
+    changed = F.lit(False)
+    for i in range(4):
+        changed = changed | (F.min(f"q{i}") != F.max(f"q{i}"))
+    pairs = shared.groupBy("job_id", "attempt_id").agg(F.count_if("started").alias("s"), F.count_if("finished").alias("f"), changed.alias("changed"))
     paired = pairs.join(jobs.select("job_id", F.col("status").isNotNull().alias("terminal")), "job_id")
     double = paired.select("job_id", "attempt_id", _said([("unpaired", (F.col("s") != 1) | (F.col("f") > 1) | (F.col("terminal") & (F.col("f") != 1))), ("request_changed", F.col("changed"))]).alias("problem"))
     none = jobs.filter("status is not null").join(events.select("job_id"), "job_id", "left_anti").select("job_id", F.lit(None).cast("string").alias("attempt_id"), F.lit("no_evidence").alias("problem"))

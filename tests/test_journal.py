@@ -129,3 +129,17 @@ def test_outputs_do_not_overwrite_inputs_or_journals(spark, tmp_path):
             check_output(spark, f"{tmp_path}/{bad}", [f"{tmp_path}/frozen/a.json"], [f"{tmp_path}/j"])
     for fine in ("frozen/b.json", "out/x", "jj"):
         check_output(spark, f"{tmp_path}/{fine}", [f"{tmp_path}/frozen/a.json"], [f"{tmp_path}/j"])
+
+
+def test_evidence_is_sorted_by_tasks_that_grow_with_the_jobs(spark, monkeypatch):
+    from tallymark import plans
+    from tallymark.operators import governance as G
+
+    audit = plans.queries()["audit_chain"]
+    want = audit(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(G, "EVENTS_A_TASK", 50)
+    some = audit(spark, "/root/testdata/sf0.001")
+    assert sorted(some.collect()) == sorted(want.collect()) and want.count() > 5
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    tasks = {int(x.split(")")[0]) for x in plan.split("hashpartitioning(job_id")[1:] for x in [x.split(", ", 1)[1]] if x.split(")")[0].isdigit()}
+    assert max(tasks) > int(spark.conf.get("spark.sql.shuffle.partitions"))
