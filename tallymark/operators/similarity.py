@@ -105,8 +105,7 @@ def _in_rounds(units: DataFrame, edges: DataFrame) -> DataFrame:
             return state.filter("not kept").select("unit", F.col("by").alias("kept_unit"))
 
 
-def near_dup_audit(units: DataFrame, pairs: DataFrame, removed: DataFrame, min_length: int) -> DataFrame:
-    """candidate_pairs counts every pair of a kept unit that can win, removed losers included."""
-    kept = units.filter("can_win").join(removed, "unit", "left_anti").select("unit", "rank")
-    oriented = pairs.select("i", "j").union(pairs.select("j", "i")).join(kept.select(F.col("unit").alias("i"), F.col("rank").alias("ri")), "i").join(units.select(F.col("unit").alias("j"), F.col("rank").alias("rj")), "j").filter("ri < rj")
-    return oriented.agg(F.count("*").alias("candidate_pairs")).crossJoin(removed.agg(F.count("*").alias("removed_groups"))).crossJoin(units.agg(F.count_if(F.char_length("text") < min_length).alias("short_units_exact_only")))
+def near_dup_audit(units: DataFrame, counted: DataFrame, min_length: int) -> DataFrame:
+    """candidate_pairs counts every pair of a kept unit that can win, removed losers included. counted: a row a removed unit, n: its pairs."""
+    pairs = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("candidate_pairs"), F.count("*").alias("removed_groups"))
+    return pairs.crossJoin(units.agg(F.count_if(F.char_length("text") < min_length).alias("short_units_exact_only")))

@@ -213,6 +213,57 @@ def test_near_copies_of_records(spark, tmp_path, monkeypatch):
     assert Q.near_dup_audit(spark, str(tmp_path)).first()[:] == (n_pairs, len(want), 1)
 
 
+@pytest.mark.parametrize("size", [1 << 20, 60])
+def test_first_kept_is_the_sequential_loop_over_whole_vectors(spark, monkeypatch, size):
+    """By several blocks, with grams beyond the matrix and beyond the table, copies, an empty text and one that is longer than a piece."""
+    import math
+    from collections import Counter
+
+    from tallymark.operators import leaders as L
+
+    for name, value in (("LEADERS", 7), ("DENSE", 16), ("TABLE", size), ("PORTION", 100)):
+        monkeypatch.setattr(L, name, value)
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefgh äß𝒳") for _ in range(160)) for _ in range(5)]
+    texts = [b[: (k := 60 + rng.randrange(100))] + rng.choice(base)[k - 20 :] for b in base * 10] + [base[0], base[0], ""]
+    rng.shuffle(texts)
+    wins = [rng.random() < 0.6 for _ in texts]
+    tf = [Counter(t[k : k + n] for n in (2, 3, 4) for k in range(len(t) - n + 1)) for t in texts]
+    df = Counter(g for c in tf for g in c)
+    vec = [{g: n * (math.log((1 + len(tf)) / (1 + df[g])) + 1) for g, n in c.items()} for c in tf]
+    dot = lambda a, b: sum(w * vec[b].get(g, 0) for g, w in vec[a].items())
+    want, pairs = {}, collections.Counter()
+    for i in range(len(texts)):
+        if wins[i] and i not in want and texts[i]:
+            for j in range(i + 1, len(texts)):
+                if texts[j] and dot(i, j) >= 0.5 * math.sqrt(dot(i, i) * dot(j, j)):
+                    want.setdefault(j, i)
+                    pairs[j] += 1
+    units = spark.createDataFrame([(f"u{i}", i, w, t) for i, (w, t) in enumerate(zip(wins, texts, strict=True))], "unit string, rank long, can_win boolean, text string")
+    removed, counted = L.first_kept(units.repartition(3), 0.5)
+    assert dict(removed.collect()) == {f"u{j}": f"u{i}" for j, i in want.items()} and len(want) > 20 and max(pairs.values()) > 1
+    assert dict(counted.collect()) == {f"u{j}": n for j, n in pairs.items()}
+    assert L.first_kept(units.limit(0), 0.5)[0].count() == 0
+
+
+def test_near_copies_write_little(spark, tmp_path):
+    """What is written for a group of alike texts stays within a few times the texts, whatever the number of alike pairs."""
+    from pathlib import Path
+
+    from tallymark.operators.iterate import shared_dir
+    from tallymark.plans import similarity as Q
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(200)]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    size = lambda: sum(f.stat().st_size for f in Path(shared_dir(spark)).rglob("*") if f.is_file())
+    before = size()
+    assert Q.near_dedup(spark, str(tmp_path)).count() > 100
+    assert size() - before < 4 * sum(map(len, texts))
+
+
 def test_every_benchmark_item_is_paired(spark, tmp_path):
     from tallymark.plans import QUERIES
 
