@@ -1,10 +1,10 @@
 """Whole-text encoding with the tokenizers library, one distinct word at a time.
 
 The word tokenizer drops white space between pieces, so a text's ids are its words' ids put end to end. Each distinct word
-of a slice of texts is encoded once, and the words met first are kept per worker up to a fixed number, as one Arrow array.
-Words of Latin-1 letters, digits and ASCII marks are cut into the tokenizer's pieces here and go through the library's BPE
-model by the thousand; the model ends every piece with a token that says so, which tells words apart again. All other words
-go through the whole tokenizer.
+of a slice of texts is encoded once, and the words met first are kept per worker up to a fixed number, as one Arrow array
+that is searched by hashes. Words of Latin-1 letters, digits and ASCII marks are cut into the tokenizer's pieces here; distinct
+pieces, kept in the same way, go through the library's BPE model by the thousand, which ends every piece with a token that
+says so and tells pieces apart again. All other words go through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -33,13 +33,79 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in kept} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+def hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit number of each word, none of which is empty: a polynomial of its bytes. Different words may share one."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    starts, lens = offsets[:-1], np.diff(offsets)
+    powers = np.full(int(lens.max()), 0x9E3779B97F4A7C15, np.uint64)
+    np.cumprod(powers, out=powers)
+    chars = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+    chars += np.uint64(1)
+    chars *= gather(np.zeros(len(words), np.int64), lens, powers)
+    return np.add.reduceat(chars, starts - offsets[0])
+
+
+class Known:
+    """The ids of at most `keep` words, those met first (about 30 bytes each)."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+        self.words = pa.array([], pa.string())
+        self.hashes, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # ascending, and whose they are
+        self.at = np.zeros(1, np.int64)  # where the words' ids begin, and the end of the last
+        self.pool = np.zeros(0, np.int32)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Each word's place here, or -1. Hashes lead to one place at most, where the words are compared."""
+        out = np.full(len(words), -1, np.int64)
+        if len(self.order) and len(words):
+            own = hashes(words)
+            at = np.searchsorted(self.hashes, own).clip(max=len(self.order) - 1)
+            maybe = np.flatnonzero(self.hashes[at] == own)
+            place = self.order[at[maybe]]
+            same = np.asarray(pc.equal(words.take(pa.array(maybe)), self.words.take(pa.array(place))))
+            out[maybe[same]] = place[same]
+        return out
+
+    def add(self, words: pa.Array, flat: np.ndarray, lens: np.ndarray) -> None:
+        """Keep new words, whose ids stand in flat end to end, as far as there is room."""
+        words = words.slice(0, self.keep - len(self.words))
+        if not len(words):
+            return
+        stops = np.cumsum(lens[: len(words)])
+        self.at = np.concatenate([self.at, len(self.pool) + stops])
+        self.pool = np.concatenate([self.pool, flat[: stops[-1]]])
+        self.words = pa.concat_arrays([self.words, words])
+        every = np.concatenate([self.hashes, hashes(words)])
+        self.order = np.concatenate([self.order, np.arange(len(self.words) - len(words), len(self.words), dtype=np.int32)])
+        by = np.argsort(every, kind="stable")
+        self.hashes, self.order = every[by], self.order[by]
+
+    def ids(self, words: pa.Array, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each of the distinct words' ids begin in the pool returned last, and their number; encode: for words not kept."""
+        words = words.cast(pa.string())
+        at = self.find(words)
+        old, new = at >= 0, np.flatnonzero(at < 0)
+        starts, lens, pool = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), self.pool
+        starts[old], lens[old] = self.at[at[old]], self.at[at[old] + 1] - self.at[at[old]]
+        if len(new):
+            fresh = words.take(pa.array(new))
+            flat, n = encode(fresh)
+            starts[new], lens[new] = len(pool) + np.cumsum(n) - n, n
+            pool = np.concatenate([pool, flat])
+            self.add(fresh, flat, n)
+        return starts, lens, pool
+
+
 class WordEncoder:
-    """Ids of texts; at most `keep` distinct words stay in memory (about 30 bytes each)."""
+    """Ids of texts; at most `keep` distinct words and as many pieces of words stay in memory."""
 
     def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer, models, pre_tokenizers
 
-        self.whole, self.keep = Tokenizer.from_file(path), keep
+        self.whole = Tokenizer.from_file(path)
         self.n_ids = self.whole.get_vocab_size()
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -51,22 +117,22 @@ class WordEncoder:
         self.letters = byte_letters() | {0x20: 0x20}
         self.ends = np.zeros(self.n_ids, bool)
         self.ends[[i for t, i in model["vocab"].items() if t.endswith(_END)]] = True
-        self.known = pa.array([], pa.string())
-        self.at = np.zeros(1, np.int64)  # where the known words' ids begin, and the end of the last
-        self.pool = np.zeros(0, np.int32)
+        self.known, self.known_pieces = Known(keep), Known(keep)
+
+    def _encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of pieces end to end, and each piece's number of ids."""
+        text = b" ".join(pieces.cast(pa.binary()).to_pylist()).decode("latin-1").translate(self.letters)
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
 
     def _pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Plain words' ids end to end and each word's number of ids."""
         words = pc.utf8_lower(words)
         mixed = pc.invert(pc.utf8_is_alpha(words))
-        spaced = pc.binary_join_element_wise(words, "", " ")
-        spaced = pc.replace_with_mask(spaced, mixed, pc.replace_substring_regex(words.filter(mixed), _PIECE, r"\1 "))
-        pieces = np.asarray(pc.count_substring(spaced, " "))
-        text = b"".join(np.asarray(spaced.cast(pa.binary()), dtype=object)).decode("latin-1").translate(self.letters)
-        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        upto = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(pieces)])]
-        return ids, np.diff(upto)
+        spaced = pc.replace_with_mask(words, mixed, pc.replace_substring_regex(words.filter(mixed), _PIECE, r"\1 "))
+        pieces, codes, ends = split_words(spaced)
+        starts, lens, pool = self.known_pieces.ids(pieces, self._encode)
+        return _put(starts, lens, pool, codes, ends)
 
     def _fresh(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         plain = np.asarray(pc.match_substring_regex(words, _PLAIN))
@@ -84,27 +150,15 @@ class WordEncoder:
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and each text's number of ids."""
         words, codes, ends = split_words(text)
-        at = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.known), -1)).astype(np.int64) if len(self.known) else np.full(len(words), -1)
-        new = np.flatnonzero(at < 0)
-        starts, lens = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        old = at >= 0
-        starts[old], lens[old] = self.at[at[old]], self.at[at[old] + 1] - self.at[at[old]]
-        pool = self.pool
-        if len(new):
-            fresh = words.take(pa.array(new))
-            flat, n = self._fresh(fresh)
-            stops = np.cumsum(n)
-            starts[new], lens[new] = len(self.pool) + stops - n, n
-            pool = np.concatenate([self.pool, flat])
-            stored = min(len(new), self.keep - len(self.known))
-            if stored:
-                self.at = np.concatenate([self.at, len(self.pool) + stops[:stored]])
-                self.pool = pool[: self.at[-1]]
-                self.known = pa.concat_arrays([self.known, fresh.slice(0, stored).cast(pa.string())])
-        per_word = lens[codes]
-        ids = gather(starts[codes], per_word, pool)
-        upto = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], ends])]
-        return ids, np.diff(upto)
+        starts, lens, pool = self.known.ids(words, self._fresh)
+        return _put(starts, lens, pool, codes, ends)
+
+
+def _put(starts: np.ndarray, lens: np.ndarray, pool: np.ndarray, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words (codes) end to end, and how many each text has; ends: of the texts in the words."""
+    per_word = lens[codes]
+    upto = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], ends])]
+    return gather(starts[codes], per_word, pool), np.diff(upto)
 
 
 def with_end(ids: np.ndarray, lens: np.ndarray, end_id: int) -> np.ndarray:

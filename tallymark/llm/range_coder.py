@@ -53,7 +53,7 @@ class _Order0:
 
     def inverse(self) -> np.ndarray:
         """The id at each place of the 2**20."""
-        return np.repeat(self.used, self.sizes).astype(np.int32)
+        return np.repeat(self.used.astype(np.uint16), self.sizes)
 
 
 class _Contexts:
@@ -62,125 +62,186 @@ class _Contexts:
     def __init__(self, n: int):
         lane = np.arange(n)
         self.slots = np.stack([lane * _SLOTS, (n + lane) * _SLOTS])
-        self.own = lane * 128
-        self.seen = np.zeros(2 * n * _SLOTS, np.int32)  # id * 8 + confidence
-        self.before = np.zeros(n, np.int64)  # the hash of the id before the last
+        self.own = (lane * 128).astype(np.uint32)
+        self.seen = np.zeros(2 * n * _SLOTS, np.uint32)  # id * 8 + confidence
         sure = np.arange(128)
         c2, c1, same = sure >> 4, sure >> 1 & 7, sure & 1
         first = np.where(c2 > 0, 256 + 420 * c2, 0)
         second = np.where((c1 > 0) & (same == 0), np.minimum(64 + 90 * c1, _MOST - first), 0)
         self.weights = np.tile((first << 16 | second).astype(np.int32), n)  # of order 2 above, of order 1 below
-
-    def expect(self, k: int, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the first k lanes whose last ids are given: what orders 2 and 1 expect (two rows), and their weights."""
-        h = last * np.int64(40_503)
-        at = np.empty((2, k), np.int64)
-        np.add(self.before[:k] >> 6, h, out=at[0])
-        at[0] ^= h >> 9
-        at[1] = h
+        self.fit(n)
+
+    def fit(self, k: int) -> None:
+        """Go on with the first k lanes. A step's arrays are made once for all steps, and casts are assignments: both cost less."""
+        self.base, self.cells = self.slots[:, :k], self.own[:k]
+        self.c, self.m = np.empty((2, k), np.uint32), np.empty((2, k), np.uint32)
+        self.place, self.same, self.cell = np.empty(k, np.uint32), np.empty(k, np.uint32), np.empty(k, np.int64)
+        self.gain, self.fade = np.empty((2, k), np.int32), np.empty(k, np.int32)
+
+    def places(self, before: np.ndarray, last: np.ndarray, at: np.ndarray) -> None:
+        """Where orders 2 and 1 keep what followed these last two ids, given as id * _HASH: into at, whose next to last axis has two rows."""
+        two, one = at[..., 0, :], at[..., 1, :]
+        np.right_shift(before, 6, out=two)
+        two += last
+        two ^= last >> 9
+        one[...] = last
         at >>= 4
         at &= _SLOTS - 1
-        at += self.slots[:, :k]
-        self.before = h
-        self.at, self.entry = at, self.seen.take(at)
-        self.i, self.c = self.entry >> 3, self.entry & 7
-        self.cell = self.own[:k] + ((self.c[0] << 4) + (self.c[1] << 1) + (self.i[0] == self.i[1]))
-        held = self.weights.take(self.cell)
-        self.v2, self.v1 = held >> 16, held & 0xFFFF
-        return self.i, self.v2, self.v1
-
-    def learn(self, x: np.ndarray, hit: np.ndarray) -> None:
-        step = _STEP.take(self.c + (hit.view(np.int8) << 3))
-        self.seen[self.at] = np.where(step == _NEW, (x << 3) + 1, self.entry + step)
-        one = hit[1] & ~hit[0]
-        v2 = self.v2 + (hit[0] * np.int32(_MOST) - self.v2 >> 5)
-        v1 = self.v1 + (one * np.int32(_MOST) - self.v1 >> 5)
-        self.weights[self.cell] = v2 << 16 | v1
-
-
-#: By confidence, then by confidence of a hit: what is added to an entry, or _NEW where it goes to the new id.
-_NEW = -100
-_STEP = np.array([_NEW, _NEW, *(-(c + 1 >> 1) for c in range(2, 8)), *[1] * 7, 0], np.int32)
+        at += self.base
+
+    def expect(self, at: np.ndarray, entry: np.ndarray, held: np.ndarray) -> None:
+        """What orders 2 and 1 expect there, with their confidence (two rows of entry), and their weights."""
+        c, m, place = self.c, self.m, self.place
+        entry[...] = self.seen[at]
+        np.bitwise_and(entry, 7, out=c)
+        np.multiply(c, _PLACE, out=m)
+        np.add(m[0], m[1], out=place)
+        place += self.cells
+        np.bitwise_xor(entry[0], entry[1], out=self.same)
+        self.same[...] = self.same < 8
+        place += self.same
+        self.cell[...] = place
+        held[...] = self.weights.take(self.cell)
+
+    def learn(self, at: np.ndarray, entry: np.ndarray, held: np.ndarray, x8: np.ndarray, hit: np.ndarray) -> None:
+        """x8: the ids that came, times 8. hit: gets whether they were expected."""
+        c, m, gain, fade = self.c, self.m, self.gain, self.fade
+        np.bitwise_xor(entry, x8, out=m)  # the confidence of a hit, 8 + the confidence of a miss at least
+        np.less(m, 8, out=hit)
+        c |= 8
+        np.minimum(m, c, out=m)
+        step = _STEP.take(m)
+        self.seen[at] = np.where(step == _NEW, x8 + _FIRST, entry + step)
+        # Both weights at once: each loses a 32nd, rounded up, and the one that was right gets a 32nd of _MOST.
+        np.add(held, _ROUND, out=fade)
+        fade >>= 5
+        fade &= _BOTH
+        np.subtract(held, fade, out=fade)
+        gain[0] = hit[0]
+        gain[1] = hit[1] > hit[0]
+        gain *= _GAINS
+        fade += gain[0]
+        fade += gain[1]
+        self.weights[self.cell] = fade
+
+
+_HASH = 40_503
+#: By confidence of a hit, then by confidence of a miss: what is added to an entry, or _NEW where it goes to the new id.
+_NEW, _FIRST = np.uint32(2**32 - 100), np.uint32(1)
+_STEP = np.array([*[1] * 7, 0, int(_NEW), int(_NEW), *(2**32 - (c + 1 >> 1) for c in range(2, 8))], np.uint32)
+_PLACE = np.array([[16], [2]], np.uint32)
+_GAINS = np.array([[_MOST >> 5 << 16], [_MOST >> 5]], np.int32)
+_ROUND, _BOTH = np.int32(31 << 16 | 31), np.int32(0x07FF07FF)
+_FULL, _WIDE, _LEAST, _TWICE = np.uint64(16), np.uint64(1 << 48), np.uint64(1 << 40), np.uint64(1 << 32)
+_TOP = np.uint64(48)
 
 
 class _Coder:
     """The interval of each lane: 64-bit low end and width, put out or taken in by 16 bits."""
 
     def __init__(self, n: int):
-        self.low, self.width = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
-        self.at = np.zeros(n, np.int64)
-        self.lanes = np.arange(n)
-
-    def narrow(self, k: int, begin: np.ndarray, size: np.ndarray) -> None:
-        """Of the first k lanes, go on with the part of this begin and size."""
-        low = self.low[:k] + begin
-        self.low[:k], self.width[:k] = low, size
-        lanes, width = self.lanes[:k], size
-        while True:
-            # Put out 16 bits where they are settled; where the interval is small yet straddles them, cut it off at the border.
-            open_ = (low ^ (low + width)) >= np.uint64(1 << 48)
-            need = np.flatnonzero(~open_ | (width < np.uint64(1 << 40)))
-            if not len(need):
-                return
-            lanes, low, width, open_ = lanes.take(need), low.take(need), width.take(need), open_.take(need)
-            width = np.where(open_, (~low + np.uint64(1)) & np.uint64((1 << 40) - 1), width)
-            self.shift(lanes, low)
-            low, width = low << np.uint64(16), width << np.uint64(16)
-            self.low[lanes], self.width[lanes] = low, width
+        self.lows, self.widths = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
+        self.fit(n)
+
+    def fit(self, k: int) -> None:
+        """Go on with the first k lanes."""
+        self.low, self.width = self.lows[:k], self.widths[:k]
+        self.unit, self.u0, self.by, self.high = (np.empty(k, np.uint64) for _ in range(4))
+        self.sum = np.empty((2, k), np.uint64)
+
+    def units(self, w0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The width of one of the weights' 4,096 parts, and of one of order 0's 2**20 parts, whose weight is w0."""
+        np.right_shift(self.width, _TWELVE, out=self.unit)
+        np.multiply(self.unit, w0, out=self.u0)
+        self.u0 >>= _TWENTY
+        return self.unit, self.u0
+
+    def narrow(self, begin: np.ndarray, size: np.ndarray) -> None:
+        """Go on with the part of this begin and size."""
+        low, width, high, by = self.low, self.width, self.high, self.by
+        low += begin
+        width[...] = size
+        # Put out 16 bits where they are settled; where the interval is small yet straddles them, cut it off at the border.
+        np.add(low, width, out=high)
+        high ^= low
+        settled, small = high < _WIDE, width < _LEAST
+        cut = (small > settled).nonzero()[0]
+        if len(cut):
+            width[cut] = _to_border(low.take(cut))
+        again = (width < _TWICE).nonzero()[0]  # no other lane can need more than one round
+        settled |= small
+        self.shift(settled.nonzero()[0])
+        by[...] = settled
+        by <<= _FOUR
+        low <<= by
+        width <<= by
+        while len(again):
+            l, w = low.take(again), width.take(again)
+            open_ = (l ^ (l + w)) >= _WIDE
+            need = (~open_ | (w < _LEAST)).nonzero()[0]
+            again, l, w = again.take(need), l.take(need), w.take(need)
+            w = np.where(open_.take(need), _to_border(l), w)
+            self.shift(again)
+            low[again], width[again] = l << _FULL, w << _FULL
+
+
+def _to_border(low: np.ndarray) -> np.ndarray:
+    return (~low + _ONCE) & (_LEAST - _ONCE)
 
 
 class _Encoder(_Coder):
-    def __init__(self, n: int, block: int):
+    def __init__(self, n: int):
         super().__init__(n)
-        self.room = 2 * block + 16
-        self.out = np.zeros(n * self.room, np.uint16)
+        self.lanes, self.words = [], []
+        self.kind = np.uint16 if n <= 1 << 16 else np.int32
 
-    def shift(self, lanes, low) -> None:
-        at = self.at.take(lanes)
-        self.out[lanes * self.room + at] = low >> np.uint64(48)
-        self.at[lanes] = at + 1
+    def shift(self, lanes) -> None:
+        self.lanes.append(lanes.astype(self.kind))
+        self.words.append((self.low.take(lanes) >> _TOP).astype(np.uint16))
 
     def done(self) -> list[bytes]:
-        low = self.low.copy()
+        """Each lane's words: what it put out, and its low end."""
+        self.fit(len(self.lows))
         for _ in range(4):
-            self.shift(self.lanes, low)
-            low <<= np.uint64(16)
-        return [self.out[i * self.room : i * self.room + n].astype("<u2").tobytes() for i, n in enumerate(self.at)]
+            self.shift(np.arange(len(self.low)))
+            self.low <<= _FULL
+        lanes = np.concatenate(self.lanes)
+        words = np.concatenate(self.words)[np.argsort(lanes, kind="stable")].astype("<u2")
+        ends = np.cumsum(np.bincount(lanes, minlength=len(self.low))).tolist()
+        return [words[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
 
 
 class _Decoder(_Coder):
     def __init__(self, payloads: list[bytes]):
-        super().__init__(len(payloads))
+        n = len(payloads)
         self.room = max(map(len, payloads)) // 2 + 8
-        self.data = np.zeros(len(payloads) * self.room, np.uint16)
+        self.data = np.zeros(n * self.room, np.uint16)
         for i, p in enumerate(payloads):
             self.data[i * self.room : i * self.room + len(p) // 2] = np.frombuffer(p, "<u2")
-        self.code = np.zeros(len(payloads), np.uint64)
+        self.at = np.arange(n) * self.room
+        self.places = np.zeros(n, np.uint64)  # of the code above the low end
+        super().__init__(n)
         for _ in range(4):
-            self.shift(self.lanes, None)
-
-    def shift(self, lanes, low) -> None:
-        at = self.at.take(lanes)
-        self.code[lanes] = self.code.take(lanes) << np.uint64(16) | self.data.take(lanes * self.room + at)
-        self.at[lanes] = at + 1
+            self.shift(np.arange(n))
 
+    def fit(self, k: int) -> None:
+        super().fit(k)
+        self.place = self.places[:k]
 
-_TWELVE, _TWENTY = np.uint64(12), np.uint64(_BITS)
+    def narrow(self, begin: np.ndarray, size: np.ndarray) -> None:
+        self.place -= begin
+        super().narrow(begin, size)
 
-
-def _units(width: np.ndarray, v2: np.ndarray, v1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The widths of orders 2 and 1 (two rows), and of one of order 0's 2**20 parts."""
-    unit = width >> _TWELVE
-    v = np.empty((2, len(v2)), np.uint64)
-    v[0], v[1] = v2, v1
-    return unit * v, unit * (_ONE - v2 - v1).astype(np.uint64) >> _TWENTY
+    def shift(self, lanes) -> None:
+        at = self.at.take(lanes)
+        self.place[lanes] = self.place.take(lanes) << _FULL | self.data.take(at)
+        at += 1
+        self.at[lanes] = at
 
 
-def _share(zero: _Order0, x: np.ndarray, i: np.ndarray, hit: np.ndarray, u: np.ndarray, u0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and size of x in the mixture."""
-    part = zero.parts.take(x)
-    before, own = u * (i < x), u * hit
-    return u0 * (part >> _PART) + before[0] + before[1], u0 * (part & _PART_MASK) + own[0] + own[1]
+_ONCE, _FOUR, _TWELVE, _TWENTY = np.uint64(1), np.uint64(4), np.uint64(12), np.uint64(_BITS)
+_WHOLE = np.uint64(_ONE)
+_STEPS = 32  # of all lanes, encoded at once as far as they don't depend on each other
 
 
 def encode(ids: np.ndarray, first: bytes, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
@@ -193,20 +254,40 @@ def encode(ids: np.ndarray, first: bytes, block: int = BLOCK) -> list[tuple[int,
     lens = np.minimum(block, total - np.arange(n) * block)  # only the last is shorter, so active lanes are a prefix
     grid = np.zeros(n * block, np.int32)
     grid[:total] = ids
-    grid = grid.reshape(n, block).T.copy()
-    m, c = _Contexts(n), _Encoder(n, block)
-    last = np.zeros(n, np.int32)
-    for t in range(block):
-        k = n if t < lens[-1] else n - 1
-        if not k:
-            break
-        x = grid[t, :k]
-        i, v2, v1 = m.expect(k, last[:k])
-        u, u0 = _units(c.width[:k], v2, v1)
-        hit = i == x
-        c.narrow(k, *_share(zero, x, i, hit, u, u0))
-        m.learn(x, hit)
-        last = x
+    grid = np.concatenate([np.zeros((2, n), np.int32), grid.reshape(n, block).T])
+    m, c = _Contexts(n), _Encoder(n)
+    short = int(lens[-1])
+    edges = [*range(0, short, _STEPS), *range(short, block if n > 1 else short, _STEPS), block if n > 1 else short]
+    for a, b in zip(edges, edges[1:], strict=False):
+        k = n if b <= short else n - 1
+        if a == short:
+            m.fit(k)
+            c.fit(k)
+        x = grid[a + 2 : b + 2, :k]
+        x8 = x.astype(np.uint32) << 3
+        at = np.empty((b - a, 2, k), np.int64)
+        hashes = grid[a : b + 1, :k] * np.int64(_HASH)
+        m.places(hashes[:-1], hashes[1:], at)
+        entry, hit, held = np.empty((b - a, 2, k), np.uint32), np.empty((b - a, 2, k), bool), np.empty((b - a, k), np.int32)
+        for t in range(b - a):
+            m.expect(at[t], entry[t], held[t])
+            m.learn(at[t], entry[t], held[t], x8[t], hit[t])
+        # Begin and size of an id in its interval, in parts of order 0 and of the weights.
+        part = zero.parts.take(x)
+        small, large = np.empty((b - a, 2, k), np.uint64), np.empty((b - a, 2, k), np.uint64)
+        np.right_shift(part, _PART, out=small[:, 0])
+        np.bitwise_and(part, _PART_MASK, out=small[:, 1])
+        v2, v1 = held >> 16, held & 0xFFFF
+        for j, found in enumerate((entry < x8[:, None], hit)):
+            found = found.astype(np.int32)
+            large[:, j] = v2 * found[:, 0] + v1 * found[:, 1]
+        w0 = (_ONE - v2 - v1).astype(np.uint64)
+        for t in range(b - a):
+            unit, u0 = c.units(w0[t])
+            s = small[t]
+            s *= u0
+            s += np.multiply(large[t], unit, out=c.sum)
+            c.narrow(s[0], s[1])
     raw = np.ascontiguousarray(ids, "<u4")
     return [(int(k), zlib.crc32(raw[i * block : i * block + k].tobytes()), p) for i, (k, p) in enumerate(zip(lens, c.done(), strict=True))]
 
@@ -222,26 +303,63 @@ def decode(blocks: list[tuple[int, int, bytes]], first: bytes) -> np.ndarray:
     n, longest = len(blocks), int(lens.max())
     running = np.searchsorted(-lens[order], -np.arange(longest), side="left").tolist()
     m, c = _Contexts(n), _Decoder([blocks[i][2] for i in order])
-    grid = np.zeros((longest, n), np.int32)
-    last = np.zeros(n, np.int32)
+    grid = np.zeros((longest, n), np.uint16)
+    before, last, now = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
     for t, k in enumerate(running):
-        i, v2, v1 = m.expect(k, last[:k])
-        u, u0 = _units(c.width[:k], v2, v1)
-        place = c.code[:k] - c.low[:k]
-        # Where the expected ids' own parts end: what lies beyond has their shares before it, and the rest is order 0's.
-        part, other = zero.parts.take(i), u[::-1]
-        begin = u0 * (part >> _PART) + other * (i[::-1] < i)
-        end = begin + u0 * (part & _PART_MASK) + u + other * (i[0] == i[1])
-        past = place >= end
-        hit = (place >= begin) & ~past
-        shares = u * past
-        left = (place - shares[0] - shares[1]) // np.maximum(u0, np.uint64(1))
-        x = inverse.take(np.minimum(left, final).view(np.int64))
-        x = np.where(hit[0], i[0], np.where(hit[1], i[1], x))
-        c.narrow(k, *_share(zero, x, i, hit, u, u0))
-        m.learn(x, hit)
-        last = x
+        if k != now:
+            now, before, last = k, before[:k], last[:k]
+            m.fit(k)
+            c.fit(k)
+            at, entry, hit, held = np.empty((2, k), np.int64), np.empty((2, k), np.uint32), np.empty((2, k), bool), np.empty(k, np.int32)
+            v, u, begin, size, lead = (np.empty((2, k), np.uint64) for _ in range(5))
+            ids, x = np.empty((2, k), np.int64), np.empty(k, np.int64)
+        m.places(before, last, at)
+        m.expect(at, entry, held)
+        v[0] = held >> 16
+        v[1] = held & 0xFFFF
+        w0 = _WHOLE - v[0]
+        w0 -= v[1]
+        unit, u0 = c.units(w0)
+        np.multiply(v, unit, out=u)
+        # Where the expected ids' own parts lie: what lies beyond has their shares before it, and the rest is order 0's. Where
+        # both orders expect the same id, order 1 has no share.
+        ids[...] = entry
+        ids >>= 3
+        part = zero.parts.take(ids)
+        np.right_shift(part, _PART, out=begin)
+        begin *= u0
+        lead[0] = ids[1] < ids[0]
+        lead[1] = ids[0] < ids[1]
+        lead *= u[::-1]
+        begin += lead
+        part &= _PART_MASK
+        np.multiply(part, u0, out=size)
+        size += u
+        own = c.place - begin < size
+        begin += size
+        lead[...] = begin <= c.place
+        lead *= u
+        start = lead[0] + lead[1]
+        left = c.place - start
+        left //= u0
+        np.minimum(left, final, out=left)
+        x[...] = inverse.take(left.view(np.int64))
+        np.copyto(x, ids[1], where=own[1])
+        np.copyto(x, ids[0], where=own[0])
+        part = zero.parts.take(x)
+        lead[...] = own
+        lead *= u
+        width = part & _PART_MASK
+        width *= u0
+        width += lead[0]
+        width += lead[1]
+        part >>= _PART
+        part *= u0
+        start += part
+        c.narrow(start, width)
+        m.learn(at, entry, held, (x << 3).astype(np.uint32), hit)
         grid[t, :k] = x
+        before, last = last, x * np.int64(_HASH)
     out = [None] * n
     for j, i in enumerate(order):
         out[i] = grid[: lens[i], j]

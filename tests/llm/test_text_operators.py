@@ -5,6 +5,7 @@ import json
 import random
 import re
 import time
+import types
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from tallymark.llm import curve_packing, quality_rules, range_coder, secret_scan, token_counts, token_file
+from tallymark.llm import curve_packing, encode, quality_rules, range_coder, secret_scan, token_counts, token_file
 from tallymark.llm.encode import WordEncoder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -41,6 +42,39 @@ def test_word_by_word_is_the_whole_text(whole):
             assert lens.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_a_piece_goes_through_the_library_once(whole):
+    """However many words hold it, and whatever slice they are in."""
+    e, sent = WordEncoder(WORDS), []
+    bare = e.bare
+    e.bare = types.SimpleNamespace(encode_batch_fast=lambda texts, **how: sent.extend(t for text in texts for t in text.split()) or bare.encode_batch_fast(texts, **how))
+    for texts in (["cat, dog, (cat) dog; cat-dog", "cat"], ["Dog. (dog) cat; bird,", None]):
+        ids, _ = e(pa.array(texts, pa.string()))
+        assert ids.tolist() == [i for t in texts for i in whole.encode(t or "", add_special_tokens=False).ids]
+    assert len(sent) == len(set(sent)) and {"cat", "dog", "bird"} < set(sent)
+
+
+def test_words_of_one_hash_stay_apart(whole, monkeypatch):
+    monkeypatch.setattr(encode, "hashes", lambda words: np.full(len(words), 7, np.uint64))
+    e = WordEncoder(WORDS)
+    for text in ("cat dog, bird", "dog, cat-bird dog", "bird dog,"):
+        assert e(pa.array([text]))[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_hashes_are_of_the_words_alone():
+    words = ["a", "ab", "ba", "é", "x" * 3000, "abc"]
+    one = encode.hashes(pa.array(words))
+    assert len(set(one.tolist())) == len(words) and encode.hashes(pa.array(words[:0], pa.string())).tolist() == []
+    assert encode.hashes(pa.array(["zz", *words])[2:5]).tolist() == one[1:4].tolist()
+
+
+def test_range_coder_writes_the_same_files_as_before():
+    """The bytes that the first coder of this format gave."""
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random(50_000) < 0.5, np.arange(50_000) % 37, rng.zipf(1.3, 50_000) % 49_408)
+    payloads = [p for *_, p in range_coder.encode(x, range_coder.head(x), 1024)]
+    assert (len(b"".join(payloads)), zlib.crc32(b"".join(payloads))) == (37_672, 614_170_348)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 31, 32, 33, 255, 256, 257, 1000])
 def test_range_coder_round_trip(n):
     rng = np.random.default_rng(n)
