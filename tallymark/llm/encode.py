@@ -62,9 +62,10 @@ class Known:
         out = np.full(len(words), -1, np.int64)
         if len(self.order) and len(words):
             own = hashes(words)
-            at = np.searchsorted(self.hashes, own).clip(max=len(self.order) - 1)
-            maybe = np.flatnonzero(self.hashes[at] == own)
-            place = self.order[at[maybe]]
+            by = np.argsort(own)  # searched in order, they find the memory they need at hand
+            at = np.searchsorted(self.hashes, own[by]).clip(max=len(self.order) - 1)
+            found = self.hashes[at] == own[by]
+            maybe, place = by[found], self.order[at[found]]
             same = np.asarray(pc.equal(words.take(pa.array(maybe)), self.words.take(pa.array(place))))
             out[maybe[same]] = place[same]
         return out

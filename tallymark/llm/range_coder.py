@@ -183,6 +183,7 @@ class _Coder:
             w = np.where(open_.take(need), _to_border(l), w)
             self.shift(again)
             low[again], width[again] = l << _FULL, w << _FULL
+            again = again.take((w < _TWICE).nonzero()[0])
 
 
 def _to_border(low: np.ndarray) -> np.ndarray:
